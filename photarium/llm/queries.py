@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from photarium.llm import mixing
+from photarium.llm import langid, mixing, simhash
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op2_language_id": langid.op2_language_id,
+    "op3_simhash_dedup": simhash.op3_simhash_dedup,
 }
 
 ORACLES = {
