@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -61,6 +62,12 @@ def drop(df: DataFrame) -> None:
         _stored.remove(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove shuffle files that no plan reaches any more, instead of when the driver next collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
