@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from photarium.llm import langid, mixing, recompression, simhash
+from photarium.llm import byte_bpe, langid, mixing, recompression, simhash
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_language_id": langid.op2_language_id,
     "op3_simhash_dedup": simhash.op3_simhash_dedup,
+    "op4_byte_bpe": byte_bpe.op4_byte_bpe,
     "op6_substring_dedup": recompression.op6_substring_dedup,
 }
 
