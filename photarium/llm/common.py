@@ -44,16 +44,22 @@ def store(df: DataFrame, name: str) -> DataFrame:
     The folder lives as long as the driver, since lazy results may read it; drop() removes it sooner.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    if not _stored:
-        atexit.register(_drop_all)
-    _stored.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the driver ends."""
+    if not _stored:
+        atexit.register(_drop_all)
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _stored.append(path)
+    return path
+
+
 def drop(df: DataFrame) -> None:
     """Delete what store() wrote. Nothing may read the frame afterwards."""
     path = df._stored_at
