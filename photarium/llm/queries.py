@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from photarium.llm import byte_bpe, langid, mixing, recompression, simhash, tokenfile, urlfilter
+from photarium.llm import byte_bpe, langid, mixing, quality, recompression, simhash, tokenfile, urlfilter
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_simhash_dedup": simhash.op3_simhash_dedup,
     "op4_byte_bpe": byte_bpe.op4_byte_bpe,
     "op6_substring_dedup": recompression.op6_substring_dedup,
+    "op7_quality_rules": quality.op7_quality_rules,
     "op8_url_filter": urlfilter.op8_url_filter,
     "op9_token_file": tokenfile.op9_token_file,
 }
