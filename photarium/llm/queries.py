@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from photarium.llm import byte_bpe, langid, mixing, quality, recompression, simhash, tokenfile, urlfilter
+from photarium.llm import byte_bpe, embeddings, langid, mixing, quality, recompression, simhash, tokenfile, urlfilter
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_url_filter": urlfilter.op8_url_filter,
     "op9_token_file": tokenfile.op9_token_file,
+    "op10_embedding_dedup": embeddings.op10_embedding_dedup,
 }
 
 ORACLES = {
