@@ -1,6 +1,559 @@
-"""Named queries over the driver's tables, each with its DuckDB twin."""
+"""Named queries over the driver's tables, each with its DuckDB twin.
+
+The tables stand in for a library: parts, documents, pages and orders for indexed files, embeddings for fingerprints (64 values, of which
+hashes are made), line items for pixels.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from photarium.functions import bits, colour, dates, geometry, hashes, text
+from photarium.operators import candidates, cluster, histogram, index_ops, merge, sweep
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def long(*names: str):
+    return [F.col(n).cast("long").alias(n) for n in names]
+
+
+# candidate groups
+
+
+def _part_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
+    keys = {"brand": text.nocase(F.col("p_brand")), "size": F.col("p_size"), "price": F.round(F.col("p_retailprice") / 100, 0)}
+    return candidates.candidate_groups(part, keys, [F.col("p_retailprice"), F.col("p_partkey")])
+
+
+_PART_GROUPS = """
+k AS (SELECT p_partkey, p_retailprice, translate(p_brand, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k0, p_size AS k1,
+        round(p_retailprice / 100, 0) AS k2 FROM part),
+n AS (SELECT *, count(*) OVER (PARTITION BY k0, k1, k2) AS n FROM k WHERE k0 IS NOT NULL AND k1 IS NOT NULL AND k2 IS NOT NULL),
+g AS (SELECT p_partkey, p_retailprice, dense_rank() OVER (ORDER BY k0, k1, k2)::BIGINT AS group_id FROM n WHERE n > 1),
+c AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY p_retailprice, p_partkey)::BIGINT AS cand_seq FROM g)
+"""
+
+
+@query(f"WITH {_PART_GROUPS} SELECT p_partkey, group_id, cand_seq FROM c")
+def candidate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _part_groups(spark, sf_dir).select(*long("p_partkey", "group_id", "cand_seq"))
+
+
+@query(
+    f"WITH {_PART_GROUPS}, m AS (SELECT group_id, count(*) AS m FROM c GROUP BY group_id) "
+    "SELECT count(*)::BIGINT AS groups, sum(m)::BIGINT AS rows, sum(m * (m - 1) // 2)::BIGINT AS planned FROM m"
+)
+def comparisons_planned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates.comparisons(_part_groups(spark, sf_dir)).select(*long("groups", "rows", "planned"))
+
+
+@query(
+    f"WITH {_PART_GROUPS}, k2 AS (SELECT * FROM c WHERE p_partkey % 3 <> 0) "
+    "SELECT p_partkey, group_id, (100 + row_number() OVER (ORDER BY group_id, cand_seq))::BIGINT AS row_id FROM k2"
+)
+def keep_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = candidates.keep_mask(_part_groups(spark, sf_dir), F.col("p_partkey") % 3 != 0, id_base=100)
+    return kept.select(*long("p_partkey", "group_id", "row_id"))
+
+
+@query(
+    "SELECT translate(p_brand, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS brand, p_size::BIGINT AS size, count(*)::BIGINT AS n, "
+    "min(p_partkey)::BIGINT AS first FROM part GROUP BY ALL HAVING count(*) > 1"
+)
+def grouped_having(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    groups = part.groupBy(text.nocase(F.col("p_brand")).alias("brand"), F.col("p_size").cast("long").alias("size"))
+    return groups.agg(F.count("*").alias("n"), F.min("p_partkey").alias("first")).where("n > 1")
+
+
+@query("SELECT doc_id, count(*) OVER (PARTITION BY md5(text))::BIGINT AS copies FROM documents QUALIFY copies > 1")
+def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("h"))
+    copies = docs.groupBy("h").agg(F.count("*").alias("copies")).where("copies > 1")
+    return docs.join(copies, docs.h.eqNullSafe(copies.h)).select("doc_id", "copies")
+
+
+# hashes of vectors and the sweep over them
+
+_HASHED = """
+v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE label IS NOT NULL),
+h AS (SELECT vec_id, label, list_sum(list_transform(range(64), lambda k: CASE WHEN e[k + 1] > list_sum(e) / 64 THEN 1::HUGEINT << (63 - k)::INT ELSE 0::HUGEINT END))::UBIGINT AS h FROM v),
+n AS (SELECT *, count(*) OVER (PARTITION BY label) AS n FROM h),
+c AS (SELECT vec_id, h, dense_rank() OVER (ORDER BY label)::BIGINT AS group_id, row_number() OVER (PARTITION BY label ORDER BY vec_id)::BIGINT AS seq FROM n WHERE n > 1)
+"""
+
+
+def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").withColumn("hash", hashes.threshold_hash(F.col("embedding")))
+    found = candidates.candidate_groups(vectors, {"label": F.col("label")}, [F.col("vec_id")])
+    return found.select("group_id", "cand_seq", F.col("vec_id").alias("id"), "hash")
+
+
+PAIR = ("group_id", "id_a", "id_b", "variant", "ham_dist")
+
+
+@query(f"WITH {_HASHED} SELECT vec_id, lower(printf('%x', h)) AS hash_text FROM h")
+def vector_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").where("label is not null")
+    bit = hashes.threshold_hash(F.col("embedding"))
+    return vectors.select("vec_id", bits.to_hex(bits.parse_hex(bits.to_hex(bit))).alias("hash_text"))
+
+
+@query(
+    f"WITH {_HASHED} SELECT a.group_id, b.vec_id AS id_a, a.vec_id AS id_b, 0::BIGINT AS variant, bit_count(xor(a.h, b.h) >> 44)::BIGINT AS ham_dist "
+    "FROM c a JOIN c b ON a.group_id = b.group_id AND a.seq < b.seq WHERE bit_count(xor(a.h, b.h) >> 44) < 5"
+)
+def hash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near pairs in the 20 highest bits, by bands."""
+    return sweep.sweep(_hashed(spark, sf_dir), 5, left_crop=44).select(*long(*PAIR))
+
+
+@query(
+    f"WITH {_HASHED}, p AS (SELECT a.group_id, b.vec_id AS id_a, a.vec_id AS id_b, bit_count(xor(a.h, b.h))::BIGINT AS d FROM c a JOIN c b ON a.group_id = b.group_id AND a.seq < b.seq) "
+    "SELECT group_id, id_a, id_b, 0::BIGINT AS variant, d AS ham_dist FROM p WHERE d < 22 UNION ALL SELECT group_id, id_a, id_b, 1::BIGINT, 64 - d FROM p WHERE 64 - d < 22"
+)
+def hash_pairs_inverted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near pairs, directly or inverted, by tiles."""
+    return sweep.sweep(_hashed(spark, sf_dir), 22, inverted=True).select(*long(*PAIR))
+
+
+_PAIRS = f"""
+{_HASHED}, p AS (SELECT a.group_id, b.vec_id AS id_a, a.vec_id AS id_b, bit_count(xor(a.h, b.h))::BIGINT AS d
+  FROM c a JOIN c b ON a.group_id = b.group_id AND a.seq < b.seq WHERE bit_count(xor(a.h, b.h)) < 24),
+e AS (SELECT group_id, id_a AS x, id_b AS y, d FROM p UNION ALL SELECT group_id, id_b, id_a, d FROM p)
+"""
+_CLUSTERS = f"""
+{_PAIRS}, r(x, root) AS (SELECT DISTINCT x, x FROM e UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.x),
+roots AS (SELECT x AS id, min(root) AS root FROM r GROUP BY x),
+near AS (SELECT group_id, x AS id, min(d) AS ham_dist FROM e GROUP BY group_id, x),
+t AS (SELECT near.*, root, min(ham_dist) OVER (PARTITION BY root) AS tag, row_number() OVER (ORDER BY near.id)::BIGINT AS position,
+  row_number() OVER (PARTITION BY root ORDER BY near.id) AS nth FROM near JOIN roots USING (id)),
+l AS (SELECT *, root || '_' || tag AS gid, lpad(root::VARCHAR, 9, '0') || 'y' || root || '_' || tag || 'z' || lpad(position::VARCHAR, 9, '0') AS sort_key FROM t)
+"""
+
+
+def _near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sweep.without_scores(sweep.sweep(_hashed(spark, sf_dir), 24))
+
+
+CLUSTER = ("group_id", "id", "root", "tag", "ham_dist", "position")
+
+
+@query(f"WITH RECURSIVE {_CLUSTERS} SELECT group_id, id, root, tag, ham_dist, position, gid, sort_key FROM l")
+def hash_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: hashes, pairs, clusters, in the order of the result list."""
+    return cluster.apply_filter(_near_pairs(spark, sf_dir)).select(*long(*CLUSTER), "gid", "sort_key")
+
+
+@query(f"WITH RECURSIVE {_CLUSTERS} SELECT group_id, id, root, tag, ham_dist, position, gid FROM l WHERE gid IN (SELECT gid FROM l WHERE nth > 2)")
+def hash_clusters_without_singles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.apply_filter(_near_pairs(spark, sf_dir), singles=2).select(*long(*CLUSTER), "gid")
+
+
+@query(
+    f"WITH {_PAIRS}, b AS (SELECT * FROM p WHERE d BETWEEN 18 AND 21 AND id_a % 2 = 0) "
+    "SELECT group_id, id_a, id_b, d AS ham_dist FROM b"
+)
+def bounded_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inclusive bounds, and a filter that looks at a pair's first image only."""
+    pairs = _near_pairs(spark, sf_dir)
+    keep = table(spark, sf_dir, "embeddings").where("vec_id % 2 = 0").select(F.col("vec_id").alias("id"))
+    return cluster.within_bounds(pairs, ham=(18, 21), mse=(0, 10), keep_ids=keep).select(*long("group_id", "id_a", "id_b", "ham_dist"))
+
+
+@query(f"WITH {_PAIRS} SELECT x AS id, min(d) AS ham_dist, 2500::BIGINT AS mse FROM e GROUP BY x")
+def nearest_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.nearest(_near_pairs(spark, sf_dir)).select(*long("id", "ham_dist", "mse"))
+
+
+def _grays(column: str = "embedding"):
+    """Vectors as gray values, 0..255."""
+    return F.transform(column, lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((x.cast("double") + 1.0) * 127.5))).cast("int"))
+
+
+_GRAYS = "list_transform(embedding, lambda x: greatest(0, least(255, floor((x::DOUBLE + 1.0) * 127.5)))::INT)"
+
+
+@query(
+    f"WITH {_PAIRS}, g AS (SELECT vec_id, {_GRAYS} AS v FROM embeddings) "
+    "SELECT p.id_a, p.id_b, d AS ham_dist, floor(sqrt(list_sum(list_transform(range(64), lambda k: (floor(x.v[k + 1] / 2.0 + 0.5) - floor(y.v[k + 1] / 2.0 + 0.5)) ** 2)) * 4 / 32.0) + 0.5)::BIGINT AS mse "
+    "FROM p JOIN g x ON x.vec_id = id_a JOIN g y ON y.vec_id = id_b"
+)
+def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean-squared scores of near pairs at compressor level 2."""
+    pixels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), _grays().alias("values"))
+    return sweep.with_scores(_near_pairs(spark, sf_dir), pixels, 2).select(*long("id_a", "id_b", "ham_dist", "mse"))
+
+
+@query(f"WITH {_PAIRS} SELECT false AS have_msd")
+def have_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sweep.have_scores(_near_pairs(spark, sf_dir))
+
+
+_SMALL = f"list_concat({_GRAYS}, ({_GRAYS})[1:8])"
+
+
+@query(
+    f"WITH g AS (SELECT vec_id, {_SMALL} AS v FROM embeddings) SELECT vec_id, lower(printf('%x', list_sum(list_transform(range(64), lambda k: "
+    "CASE WHEN v[k // 8 * 9 + k % 8 + 1] < v[k // 8 * 9 + k % 8 + 2] THEN 1::HUGEINT << (63 - k)::INT ELSE 0::HUGEINT END))::UBIGINT)) AS d_hash FROM g"
+)
+def difference_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = F.concat(_grays(), F.slice(_grays(), 1, 8))
+    return table(spark, sf_dir, "embeddings").select("vec_id", bits.to_hex(hashes.d_hash(values)).alias("d_hash"))
+
+
+@query(
+    f"WITH g AS (SELECT vec_id, {_SMALL} AS v FROM embeddings), m AS (SELECT *, list_transform(range(8), lambda r: list_sum(list_transform(range(8), lambda c: v[r * 9 + c + 1]))::DOUBLE / 8) AS rm, "
+    "list_transform(range(8), lambda c: list_sum(list_transform(range(8), lambda r: v[r * 9 + c + 1]))::DOUBLE / 8) AS cm FROM g) "
+    "SELECT vec_id, lower(printf('%x', list_sum(list_transform(range(64), lambda k: CASE WHEN v[k // 8 * 9 + k % 8 + 1] > (cm[k % 8 + 1] + rm[k // 8 + 1]) / 2 THEN 1::HUGEINT << (63 - k)::INT ELSE 0::HUGEINT END))::UBIGINT)) AS l_hash FROM m"
+)
+def local_mean_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = F.concat(_grays(), F.slice(_grays(), 1, 8))
+    return table(spark, sf_dir, "embeddings").select("vec_id", bits.to_hex(hashes.l_hash(values)).alias("l_hash"))
+
+
+# histograms
+
+_LEVELS = "h AS (SELECT l_returnflag AS flag, l_linestatus AS status, l_quantity::INT AS level, count(*)::BIGINT AS n FROM lineitem GROUP BY ALL)"
+
+
+def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), "l_quantity")
+    return histogram.histogram_of(rows, ["flag", "status"], "l_quantity")
+
+
+@query(
+    f"WITH {_LEVELS}, w AS (SELECT *, sum(n) OVER (PARTITION BY flag, status)::BIGINT AS t, sum(n) OVER (PARTITION BY flag, status ORDER BY level)::BIGINT AS run FROM h), "
+    "s AS (SELECT flag, status, max(t)::DOUBLE AS t, sum(n * (level + 1))::DOUBLE AS s, sum(n * level * level)::DOUBLE AS q, min(level) FILTER (run > t // 2) AS med, max(level) AS hi, min(level) AS lo, "
+    "arg_min(level, {'a': -n, 'b': level}) AS mode, arg_min(level, {'a': n, 'b': level}) FILTER (n < t) AS minu FROM w GROUP BY flag, status), "
+    "m AS (SELECT *, s / t - 1 AS mean FROM s) SELECT flag, status, floor((mean + 1) / 256 * 100000 + 0.5) / 100000 AS avg, floor((med + 1) / 256.0::DOUBLE * 100000 + 0.5) / 100000 AS median, "
+    "floor((hi + 1) / 256.0::DOUBLE * 100000 + 0.5) / 100000 AS peak, floor((lo + 1) / 256.0::DOUBLE * 100000 + 0.5) / 100000 AS low, floor(sqrt(greatest(q / t - mean * mean, 0)) / 256 * 100000 + 0.5) / 100000 AS rms, "
+    "floor((hi - lo + 1) / 256.0::DOUBLE * 100000 + 0.5) / 100000 AS range, floor((mode + 1) / 256.0::DOUBLE * 100000 + 0.5) / 100000 AS mode, floor((coalesce(minu, 0) + 1) / 256.0::DOUBLE * 100000 + 0.5) / 100000 AS minu FROM m"
+)
+def histogram_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return histogram.histogram_statistics(_levels(spark, sf_dir), ["flag", "status"])
+
+
+@query(
+    f"WITH {_LEVELS}, r AS (SELECT *, row_number() OVER (PARTITION BY flag, status ORDER BY n DESC, level) AS p FROM h) "
+    "SELECT flag, status, coalesce(max(n) FILTER (p = 2), 0) <= sum(n) * 0.0065::DOUBLE + 1 AS uniform, avg(level) AS avg_level FROM r GROUP BY flag, status"
+)
+def uniformity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return histogram.uniformity(_levels(spark, sf_dir), ["flag", "status"])
+
+
+# merging and collecting
+
+
+@query(
+    "WITH m AS (SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer WHERE c_custkey <= 800), "
+    "o AS (SELECT c_custkey + 5000 AS c_custkey, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_name || '!' END AS c_name0, c_name AS k, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_nationkey END AS c_nationkey, "
+    "upper(c_mktsegment) AS c_mktsegment FROM customer WHERE c_custkey > 600 AND c_custkey <= 1200), "
+    "j AS (SELECT m.c_custkey AS old_main, o.c_custkey AS old_other, CASE WHEN o.k IS NOT NULL AND o.k <> '' THEN o.k ELSE coalesce(m.c_name, o.k) END AS c_name, "
+    "CASE WHEN o.c_nationkey IS NOT NULL AND o.c_nationkey <> 0 THEN o.c_nationkey ELSE coalesce(m.c_nationkey, o.c_nationkey) END AS c_nationkey, "
+    "CASE WHEN o.c_mktsegment IS NOT NULL AND o.c_mktsegment <> '' THEN o.c_mktsegment ELSE coalesce(m.c_mktsegment, o.c_mktsegment) END AS c_mktsegment FROM m FULL JOIN o ON lower(m.c_name) = lower(o.k)) "
+    "SELECT row_number() OVER (ORDER BY old_main IS NULL, coalesce(old_main, old_other))::BIGINT AS c_custkey, old_main, old_other, c_name, c_nationkey::BIGINT AS c_nationkey, c_mktsegment FROM j"
+)
+def import_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    other = rows.where("c_custkey > 600 and c_custkey <= 1200").select(
+        (F.col("c_custkey") + 5000).alias("c_custkey"), "c_name", F.expr("CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_nationkey END").alias("c_nationkey"), F.upper("c_mktsegment").alias("c_mktsegment")
+    )
+    merged = merge.import_merge(rows.where("c_custkey <= 800"), other, F.lower("c_name"), "c_custkey")
+    return merged.select(*long("c_custkey", "old_main", "old_other"), "c_name", F.col("c_nationkey").cast("long").alias("c_nationkey"), "c_mktsegment")
+
+
+@query(
+    "SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment FROM customer UNION ALL SELECT c_custkey + 1000000, 'NEW' FROM customer WHERE c_custkey % 100 = 0"
+)
+def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    new = rows.where("c_custkey % 10 = 0").select("c_custkey", F.lit("NEW").alias("c_mktsegment"))
+    more = rows.where("c_custkey % 100 = 0").select((F.col("c_custkey") + 1000000).alias("c_custkey"), F.lit("NEW").alias("c_mktsegment"))
+    return merge.upsert(rows, new.union(more), ["c_custkey"])
+
+
+@query(
+    "SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 4 = 0 THEN 'X' END, o_orderstatus) AS o_orderstatus, CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority FROM orders"
+)
+def updated_with_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    results = rows.where("o_orderkey % 2 = 0").select(
+        "o_orderkey", F.expr("CASE WHEN o_orderkey % 4 = 0 THEN 'X' END").alias("o_orderstatus"), F.lit(None).cast("string").alias("o_orderpriority")
+    )
+    return merge.coalesce_update(rows, results, "o_orderkey", ["o_orderstatus"], ["o_orderpriority"])
+
+
+@query("SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1)")
+def collect_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels")
+    return merge.missing(docs, labels, "doc_id", F.col("quality") == 1)
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 1000 ORDER BY o_orderkey LIMIT 512")
+def next_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.next_page(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 1000, 512)
+
+
+@query(
+    "WITH a AS (SELECT c_nationkey, c_mktsegment FROM customer WHERE c_custkey % 2 = 0), b AS (SELECT c_nationkey, c_mktsegment FROM customer WHERE c_custkey % 3 = 0) "
+    "SELECT 'a' AS side, count(*)::BIGINT AS n FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT 'b', count(*)::BIGINT FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)"
+)
+def compared_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer")
+    side = lambda k: rows.where(F.col("c_custkey") % k == 0).select("c_nationkey", "c_mktsegment")
+    return index_ops.compare_sets(side(2), side(3))
+
+
+# services over an index
+
+
+@query(
+    "SELECT CASE WHEN n_chars IS NULL THEN 'unknown' WHEN n_chars <= 0 THEN 'empty' WHEN n_chars < 1024 THEN 'under 1 KB' WHEN n_chars < 102400 THEN 'under 100 KB' WHEN n_chars < 1048576 THEN 'under 1 MB' "
+    "WHEN n_chars < 10485760 THEN 'under 10 MB' ELSE '10 MB and more' END AS category, count(*)::BIGINT AS files, coalesce(sum(n_chars), 0)::BIGINT AS bytes FROM documents GROUP BY 1"
+)
+def size_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index_ops.statistics(table(spark, sf_dir, "documents"), index_ops.size_bin(F.col("n_chars")), "n_chars")
+
+
+@query(
+    "SELECT CASE WHEN o_totalprice < 0 THEN 0 WHEN o_totalprice >= 500000 THEN 51 ELSE floor(o_totalprice / 10000)::BIGINT + 1 END::BIGINT AS bin, count(*)::BIGINT AS n FROM orders WHERE o_totalprice IS NOT NULL GROUP BY 1"
+)
+def price_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index_ops.histogram(table(spark, sf_dir, "orders"), "o_totalprice", 0.0, 500000.0, 50)
+
+
+@query("SELECT date_trunc('day', ts) AS period, count(*)::BIGINT AS views FROM events GROUP BY 1")
+def viewing_habits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index_ops.habits(table(spark, sf_dir, "events"), "ts", "day")
+
+
+@query(
+    "SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d%H%M%S')::BIGINT AS stamp14, strftime(o_orderdate, '%Y%m%d%H%M')::BIGINT AS stamp12, strftime(o_orderdate, '%Y-%m') AS month, "
+    "strftime(o_orderdate, '%Y%m%d%H%M%S')::BIGINT AS from_ticks FROM orders"
+)
+def time_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ts = F.col("o_orderdate").cast("timestamp")
+    ticks = (F.unix_micros(ts) + dates.EPOCH) * 10
+    s = dates.stamp(ts)
+    return table(spark, sf_dir, "orders").select("o_orderkey", s.alias("stamp14"), dates.stamp(ts, 12).alias("stamp12"), dates.month_folder(s).alias("month"), dates.file_time(ticks).alias("from_ticks"))
+
+
+@query(
+    "WITH w AS (SELECT DISTINCT page_id, unnest(regexp_split_to_array(lower(url), '[^\\p{L}]+')) AS word FROM pages) SELECT word, count(*)::BIGINT AS n FROM w WHERE length(word) >= 3 GROUP BY word"
+)
+def keyword_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index_ops.keywords(table(spark, sf_dir, "pages"), "url")
+
+
+@query(
+    "WITH p AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS path FROM pages) SELECT CASE WHEN regexp_matches(path, '\\.[^.\\\\/]*$') THEN lower(regexp_extract(path, '\\.([^.\\\\/]*)$', 1)) ELSE '' END AS category, "
+    "count(*)::BIGINT AS files, sum(page_id)::BIGINT AS bytes FROM p GROUP BY 1"
+)
+def extension_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "[?#].*$", "").alias("path"))
+    return index_ops.statistics(pages, text.file_extension(F.col("path")), "page_id")
+
+
+@query("SELECT page_id, replace(url, '/en/', '/english/') AS url, replace(url, '/en/', '/english/') <> url AS changed FROM pages")
+def search_and_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index_ops.search_replace(table(spark, sf_dir, "pages").select("page_id", "url"), "url", "/en/", "/english/")
+
+
+@query("SELECT page_id, url FROM pages WHERE contains(lower(url), 'blog') AND page_id % 2 = 0")
+def filtered_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index_ops.filtered(table(spark, sf_dir, "pages").select("page_id", "url"), "BLOG", ("url",), where=F.col("page_id") % 2 == 0)
+
+
+@query("SELECT page_id, url FROM pages WHERE regexp_matches(url, '/(fr|es)/') AND page_id > 100 ORDER BY page_id LIMIT 1")
+def search_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index_ops.search(table(spark, sf_dir, "pages").select("page_id", "url"), "/(fr|es)/", "url", "page_id", after=100)
+
+
+@query(
+    "SELECT p_partkey, 'a_' || replace(p_name, 'e', 'E') || '_z' || lpad(row_number() OVER (ORDER BY p_retailprice, p_partkey)::VARCHAR, 9, '0') AS new_name FROM part WHERE NOT contains(p_name, '.')"
+)
+def multi_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").where("NOT contains(p_name, '.')")
+    counted = merge.renumbered(part, [F.col("p_retailprice"), F.col("p_partkey")], "_counter")
+    return counted.select("p_partkey", text.renamed(F.col("p_name"), F.col("_counter"), "a_", "_z", "e", "E", 9).alias("new_name"))
+
+
+@query(
+    "WITH p AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey)::BIGINT AS position FROM part), r AS (SELECT p_partkey, (SELECT max(position) FROM p) + 1 - position AS position FROM p) "
+    "SELECT p_partkey, CASE WHEN position = 3 THEN 9 WHEN position BETWEEN 4 AND 9 THEN position - 1 ELSE position END::BIGINT AS position FROM r"
+)
+def reordered_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reversed list with one entry moved."""
+    part = merge.renumbered(table(spark, sf_dir, "part").select("p_partkey"), [F.col("p_partkey")], "position")
+    return index_ops.moved(index_ops.reversed_list(part), 3, 9)
+
+
+@query(f"WITH {_PART_GROUPS} SELECT p_partkey, group_id FROM c WHERE cand_seq > 1")
+def rest_of_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index_ops.rest_of_group(_part_groups(spark, sf_dir), [F.col("cand_seq")]).select(*long("p_partkey", "group_id"))
+
+
+@query(
+    "SELECT doc_id, contains(lower(source), 'src1') AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS selected FROM documents"
+)
+def selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1")
+    return index_ops.selected(table(spark, sf_dir, "documents").select("doc_id", "source"), "SRC1", "source", good, "doc_id").select("doc_id", "selected")
+
+
+@query("SELECT doc_id, source FROM documents WHERE source IN (SELECT source FROM documents WHERE doc_id % 97 = 0)")
+def same_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return index_ops.same_folder(docs, docs.where("doc_id % 97 = 0"), "source").select("doc_id", "source")
+
+
+@query(
+    "SELECT doc_id, source, 0::BIGINT AS version FROM documents WHERE source NOT IN ('src1', 'src2') UNION ALL SELECT doc_id, source, 1::BIGINT FROM documents WHERE source IN ('src1', 'src2') AND doc_id % 2 = 0"
+)
+def refreshed_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    listing = docs.where("doc_id % 2 = 0").withColumn("version", F.lit(1).cast("long"))
+    folders = docs.where("source IN ('src1', 'src2')").select("source").distinct()
+    return index_ops.refreshed(docs.withColumn("version", F.lit(0).cast("long")), listing, folders, "source").select("doc_id", "source", "version")
+
+
+@query(
+    "SELECT c_custkey, c_name, CASE WHEN c_custkey % 2 = 0 THEN 'a' ELSE 'b' END AS origin FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0"
+)
+def united_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return index_ops.union_lists(rows.where("c_custkey % 2 = 0").withColumn("origin", F.lit("a")), rows.where("c_custkey % 3 = 0").withColumn("origin", F.lit("b")), ["c_custkey"])
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*)::BIGINT AS n FROM orders WHERE o_totalprice > 100000 AND o_orderpriority <> '5-LOW' GROUP BY ALL")
+def parameterised_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements with bound parameters, as prepared statements have them."""
+    return spark.sql(
+        "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM {orders} WHERE o_totalprice > :price AND o_orderpriority <> :not GROUP BY ALL",
+        args={"price": 100000, "not": "5-LOW"}, orders=table(spark, sf_dir, "orders"),
+    )
+
+
+# colours and geometry, with parts' numbers as channels and sizes
+
+
+def _channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select("p_partkey", (key * 37 % 256).cast("int").alias("r"), (key * 91 % 256).cast("int").alias("g"), (key * 151 % 256).cast("int").alias("b"))
+
+
+_CHANNELS = "ch AS (SELECT p_partkey, (p_partkey * 37 % 256)::INT AS r, (p_partkey * 91 % 256)::INT AS g, (p_partkey * 151 % 256)::INT AS b FROM part)"
+
+
+@query(
+    f"WITH {_CHANNELS} SELECT p_partkey, least(255, round(r * 0.299701::DOUBLE + g * 0.587130::DOUBLE + b * 0.114180::DOUBLE))::BIGINT AS gray, "
+    "((((r * 65536 + g * 256 + b) & 15790320)::BIGINT * 133637) >> 20) & 255 AS fast_gray, greatest(0, least(255, floor((r - 128) * 1.5::DOUBLE) + 128))::BIGINT AS contrast FROM ch"
+)
+def gray_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _channels(spark, sf_dir)
+    r, g, b = F.col("r"), F.col("g"), F.col("b")
+    packed = (r * 65536 + g * 256 + b).cast("int")
+    return rows.select("p_partkey", colour.gray(r, g, b).cast("long").alias("gray"), colour.fast_gray(packed).cast("long").alias("fast_gray"), colour.contrast(r, 1.5).cast("long").alias("contrast"))
+
+
+@query(
+    f"WITH {_CHANNELS}, k AS (SELECT *, least(255.0 - r, 255.0 - g, 255.0 - b)::DOUBLE AS k FROM ch), "
+    "x AS (SELECT *, CASE WHEN k >= 255 THEN 0 ELSE (255.0 - r - k) * 255 / (255 - k) END AS c FROM k) "
+    "SELECT p_partkey, round(c, 6)::DOUBLE AS c, round(k, 6)::DOUBLE AS k, round(255 - k - c * (255 - k) / 255, 6)::DOUBLE AS red FROM x"
+)
+def cmyk_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _channels(spark, sf_dir).withColumn("p", colour.rgb_to_cmyk(F.col("r"), F.col("g"), F.col("b")))
+    back = colour.cmyk_to_rgb(F.col("p.c"), F.col("p.m"), F.col("p.y"), F.col("p.k"))
+    return p.select("p_partkey", F.round("p.c", 6).cast("double").alias("c"), F.round("p.k", 6).cast("double").alias("k"), F.round(back["r"], 6).alias("red"))
+
+
+@query(
+    f"WITH {_CHANNELS}, x AS (SELECT p_partkey, r / 255.0::DOUBLE AS o, g / 255.0::DOUBLE AS u FROM ch) SELECT p_partkey, round(o * u, 6) AS multiply, round(1 - (1 - o) * (1 - u), 6) AS screen, "
+    "round(least(1, CASE WHEN o < 1 THEN u / (1 - o) ELSE 1 END), 6) AS dodge, round(abs(u - o), 6) AS difference FROM x"
+)
+def blended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, u = F.col("r") / 255.0, F.col("g") / 255.0
+    return _channels(spark, sf_dir).select("p_partkey", *[F.round(colour.blend(m, o, u), 6).alias(n) for m, n in ((2, "multiply"), (6, "screen"), (13, "dodge"), (18, "difference"))])
+
+
+@query(
+    f"WITH {_CHANNELS}, l AS (SELECT p_partkey, list_transform([r, g, b], lambda v: CASE WHEN v / 255.0::DOUBLE > 0.0404482362771076::DOUBLE THEN ((v / 255.0::DOUBLE + 0.055) / 1.055) ** 2.4 ELSE v / 255.0::DOUBLE / 12.92 END) AS c FROM ch), "
+    "y AS (SELECT p_partkey, c[1] * 0.2125862307855956::DOUBLE + c[2] * 0.7151703037034108::DOUBLE + c[3] * 0.0722004986433362::DOUBLE AS y FROM l) "
+    "SELECT p_partkey, round(CASE WHEN y >= 0.00000885645167903563082::DOUBLE THEN cbrt(y) ELSE y * 841 / 108.0 + 4 / 29.0::DOUBLE END * 116 - 16, 4) AS lightness FROM y"
+)
+def lab_lightness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _channels(spark, sf_dir).select("p_partkey", F.round(colour.rgb_to_lab(F.col("r"), F.col("g"), F.col("b"))["L"], 4).alias("lightness"))
+
+
+@query(f"WITH {_CHANNELS} SELECT p_partkey, r::DOUBLE AS red, g::DOUBLE AS green, b::DOUBLE AS blue FROM ch")
+def hsl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _channels(spark, sf_dir).withColumn("h", colour.rgb_to_hsl(F.col("r"), F.col("g"), F.col("b")))
+    back = colour.hsl_to_rgb(F.col("h.h"), F.col("h.s"), F.col("h.l"))
+    return rows.select("p_partkey", F.round(back["r"], 6).alias("red"), F.round(back["g"], 6).alias("green"), F.round(back["b"], 6).alias("blue"))
+
+
+@query(
+    "WITH s AS (SELECT p_partkey, (p_partkey * 7 % 900 + 1)::BIGINT AS w, (p_size * 13)::BIGINT AS h FROM part), q AS (SELECT *, floor(w / h::DOUBLE * 100000 + 0.5) / 100000 AS ratio FROM s WHERE h > 0) "
+    "SELECT p_partkey, greatest(1, CASE WHEN w <= 320 AND h <= 200 THEN CASE WHEN floor(320 / ratio + 0.5) > 200 THEN floor(200 * ratio + 0.5) ELSE 320 END WHEN ratio > 1.6 THEN 320 ELSE floor(least(h, 200) * ratio + 0.5) END)::BIGINT AS fit_w, "
+    "greatest(1, CASE WHEN w <= 320 AND h <= 200 THEN CASE WHEN floor(320 / ratio + 0.5) > 200 THEN 200 ELSE floor(320 / ratio + 0.5) END WHEN ratio > 1.6 THEN floor(320 / ratio + 0.5) ELSE least(h, 200) END)::BIGINT AS fit_h FROM q"
+)
+def fitted_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w, h = (F.col("p_partkey") * 7 % 900 + 1).cast("int"), (F.col("p_size") * 13).cast("int")
+    fit = table(spark, sf_dir, "part").where("p_size > 0").select("p_partkey", geometry.fit_size(w, h, F.lit(320), F.lit(200)).alias("f"))
+    return fit.select("p_partkey", F.col("f.w").cast("long").alias("fit_w"), F.col("f.h").cast("long").alias("fit_h"))
+
+
+@query(
+    "WITH s AS (SELECT p_partkey, p_partkey * 7 % 100 AS x, p_partkey * 13 % 100 AS y FROM part) "
+    "SELECT p_partkey, x BETWEEN 10 AND 80 AND y > 20 AND y <= 60 AS inside, (x - 50) ** 2 + (y - 50) ** 2 <= 900 AS in_circle FROM s WHERE x NOT IN (10, 80) AND y NOT IN (20, 60)"
+)
+def points_in_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y = F.col("p_partkey") * 7 % 100, F.col("p_partkey") * 13 % 100
+    corners = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in ((10, 20), (80, 20), (80, 60), (10, 60))])
+    rows = table(spark, sf_dir, "part").select("p_partkey", x.alias("x"), y.alias("y")).where("x NOT IN (10, 80) AND y NOT IN (20, 60)")
+    return rows.select("p_partkey", geometry.in_polygon(F.col("x"), F.col("y"), corners).alias("inside"), geometry.in_circle(F.col("x"), F.col("y"), F.lit(50), F.lit(50), F.lit(30)).alias("in_circle"))
+
+
+@query(
+    "WITH t AS (SELECT c_custkey, c_acctbal FROM customer) SELECT (c_custkey // 100)::BIGINT AS page, max(c_acctbal) AS top, count(*)::BIGINT AS n FROM t GROUP BY 1"
+)
+def paged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 100).cast("long").alias("page"), "c_acctbal")
+    return rows.groupBy("page").agg(F.max("c_acctbal").alias("top"), F.count("*").alias("n"))
+
+
+@query(
+    f"WITH {_LEVELS} SELECT flag, status, level::BIGINT AS level, n, n / (sum(n) OVER (PARTITION BY flag, status))::DOUBLE AS share FROM h"
+)
+def level_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return histogram.equalized(_levels(spark, sf_dir), ["flag", "status"]).select("flag", "status", F.col("level").cast("long").alias("level"), "n", "share")
+
+
+@query(
+    "SELECT c_nationkey::BIGINT AS nation, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey)::BIGINT AS rank FROM customer QUALIFY rank <= 3"
+)
+def top_of_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("nation"), "c_custkey", "c_nationkey", "c_acctbal")
+    return rows.withColumn("rank", rank.cast("long")).where("rank <= 3").select("nation", "c_custkey", "rank")
