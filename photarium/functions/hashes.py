@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -14,30 +12,46 @@ from photarium.functions.bits import discretize, to_hex
 SMALL, BIG = 72, 1024
 
 
-def _bits(tests: list[Column]) -> Column:
-    """Most significant bit first."""
-    n = len(tests)
-    return reduce(lambda x, y: x.bitwiseOR(y), [F.when(t, F.lit((1 << (n - 1 - k)) - (1 << 64 if n - 1 - k == 63 else 0)).cast("long")).otherwise(F.lit(0).cast("long")) for k, t in enumerate(tests)])
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _bits(places: Column, test) -> Column:
+    """A bit for each place, most significant first."""
+    return F.aggregate(places, F.lit(0).cast("long"), lambda bits, k: F.shiftleft(bits, 1).bitwiseOR(F.when(test(k), F.lit(1)).otherwise(F.lit(0)).cast("long")))
+
+
+def _span(n: int) -> Column:
+    return F.sequence(F.lit(0), F.lit(n - 1))
 
 
 def d_hash(values: Column, level: int = 1) -> Column:
     """values: 72 gray values, 8 rows of 9. A bit for each value that is less than its right neighbour."""
     v = F.transform(values, lambda x: discretize(x, level))
-    return F.when(F.size(values) == SMALL, _bits([v[i] < v[i + 1] for i in range(SMALL) if (i + 1) % 9]))
+    places = F.filter(_span(SMALL), lambda i: (i + 1) % 9 != 0)
+    return F.when(F.size(values) == SMALL, _let(v, lambda a: _bits(places, lambda i: F.get(a, i) < F.get(a, i + 1))))
 
 
 def l_hash(values: Column, level: int = 1) -> Column:
     """A bit for each value of the left 8 x 8 block above the mean of its row's and its column's mean."""
     v = F.transform(values, lambda x: discretize(x, level).cast("double"))
-    rows = [sum((v[r * 9 + c] for c in range(1, 8)), v[r * 9]) / 8.0 for r in range(8)]
-    columns = [sum((v[r * 9 + c] for r in range(1, 8)), v[c]) / 8.0 for c in range(8)]
-    return F.when(F.size(values) == SMALL, _bits([v[r * 9 + c] > (columns[c] + rows[r]) / 2.0 for r in range(8) for c in range(8)]))
+    add = lambda t, x: t + x
+
+    def hashed(a: Column) -> Column:
+        rows = F.transform(_span(8), lambda r: F.aggregate(F.slice(a, r * 9 + 1, 8), F.lit(0.0), add) / 8.0)
+        columns = F.transform(_span(8), lambda c: F.aggregate(_span(8), F.lit(0.0), lambda t, r: t + F.get(a, r * 9 + c)) / 8.0)
+        row = lambda k: F.shiftright(k, 3)
+        return _let(F.struct(rows.alias("r"), columns.alias("c")), lambda m: _bits(_span(64), lambda k: F.get(a, row(k) * 9 + k % 8) > (F.get(m["c"], k % 8) + F.get(m["r"], row(k))) / 2.0))
+
+    return F.when(F.size(values) == SMALL, _let(v, hashed))
 
 
 def threshold_hash(values: Column, n: int = 64) -> Column:
     """A bit for each of n values above their mean, most significant first; for vectors that stand in for fingerprints."""
-    mean = F.aggregate(values, F.lit(0.0), lambda t, x: t + x.cast("double")) / n
-    return F.when(F.size(values) == n, _bits([values[k].cast("double") > mean for k in range(n)]))
+    v = F.transform(values, lambda x: x.cast("double"))
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda t, x: t + x) / n
+    return F.when(F.size(values) == n, _let(v, lambda a: _let(mean(a), lambda m: _bits(_span(n), lambda k: F.get(a, k) > m))))
 
 
 def _cosines(size: int = 32) -> np.ndarray:

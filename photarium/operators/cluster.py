@@ -128,6 +128,10 @@ def nearest(pairs: DataFrame) -> DataFrame:
 
 
 def apply_filter(pairs: DataFrame, ham=(0, 64), mse=(0, NO_SCORE), incremental: bool = False, singles: int = 0, keep_ids: DataFrame | None = None) -> DataFrame:
-    """Bounds, clustering, order and removal of singles in one; positions count before the removal."""
+    """Bounds, clustering, order and removal of singles in one; positions count before the removal.
+
+    The pairs are kept in memory or on disk for the passes over them, and for other bounds tried later.
+    """
+    pairs = pairs.persist()
     rows = in_result_order(cluster(within_bounds(pairs, ham, mse, keep_ids), incremental))
     return drop_singles(rows, singles)
