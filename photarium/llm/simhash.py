@@ -96,11 +96,11 @@ def link(fps: DataFrame) -> DataFrame:
     if some_hot:
         usual = index.join(hot, "key", "left_anti")
     other = usual.select(F.col("fp").alias("other"), "key")
-    looked_up = usual.withColumn("exact", F.lit(True)).union(probes.withColumn("exact", F.lit(False)))
+    looked_up = usual.withColumn("exact", F.lit(True)).unionByName(probes.withColumn("exact", F.lit(False)))
     found = looked_up.join(other, "key").where((~F.col("exact") | (F.col("fp") < F.col("other"))) & _chain_fits("fp", "other", F.col("key")))
     edges = found.select(F.col("fp").alias("a"), F.col("other").alias("b")).distinct()
     if some_hot:
-        members = index.union(probes).join(hot, "key").distinct()
+        members = index.unionByName(probes).join(hot, "key").distinct()
         edges = edges.union(_tiles(members))
     return edges
 
