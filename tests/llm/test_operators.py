@@ -1,0 +1,386 @@
+"""Each operator against brute force on small tables with nulls, empty and repeated texts, and clashing column names."""
+
+import hashlib
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from photarium.llm import byte_bpe, components, embeddings, langid, mixing, quality, queries, recompression, simhash, tokencounts, tokenfile, urlfilter
+
+ODD = [(None, None), (None, ""), (3, " \n "), (4, "a b"), (4, "a b"), (5, "x" * 5000), (6, "one two three four")]
+
+
+def texts(seed, vocabulary=30, n=40):
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(vocabulary)}" for _ in range(300)]
+    out = list(ODD)
+    for i in range(10, 10 + n):
+        words = [f"w{rng.randrange(vocabulary)}" for _ in range(rng.choice((0, 5, 34, 35, 36, 120)))]
+        at, size = rng.randrange(250), rng.randrange(80)
+        out.append((i, "\n".join(words[: len(words) // 2]) + " " + " ".join(base[at : at + size] + words[len(words) // 2 :])))
+    return out + [(90, " ".join(base))] * 3 + [(91, "y " * 40)]
+
+
+def frame(spark, rows, **more):
+    """documents with extra columns whose names operators use inside."""
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for name, value in ({"lang": "en", "source": "s", "n_chars": 1, "size": 7, "rid": 8, "row": 9, "fp": 1, "key": 2, "node": 3} | more).items():
+        df = df.withColumn(name, value if not isinstance(value, (str, int)) else F.lit(value))
+    return df
+
+
+def words(text):
+    return (text or "").encode().split()
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_its_twin(name, spark, sf_dir, same):
+    assert same(queries.QUERIES[name](spark, sf_dir), queries.ORACLES[name])
+
+
+# 1
+
+
+def test_mix_takes_each_source_to_its_target(spark):
+    rng = random.Random(2)
+    rows = [(i if i % 9 else None, " ".join("w" * rng.choice((0, 1, 30)) for _ in range(rng.randrange(60)))) for i in range(300)]
+    df = frame(spark, rows, source=F.expr("CASE WHEN doc_id % 4 < 2 THEN 'a' WHEN doc_id % 4 = 2 THEN 'b' END"))
+    got = mixing.mix(df).collect()
+    assert len(got) == 300
+    by = {}
+    for r in got:
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        by.setdefault(r["source"], []).append(r)
+    total = sum(r["size"] for r in got)
+    assert sum(v[0]["target"] for v in by.values()) == pytest.approx(1.5 * total)
+    for own in by.values():
+        assert sum(r["taken"] for r in own) == round(own[0]["target"]) and own[0]["target"] <= 2 * own[0]["source_size"]
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df.repartition(7)).collect()))
+    made = mixing.materialize(df)
+    assert made.columns == df.columns
+    assert sum(len(words(r["text"])) for r in made.collect()) == sum(r["taken"] for r in got)
+    assert mixing.mix(df.limit(0)).count() == 0
+
+
+# 2
+
+
+def test_language_is_learned_and_rejects_what_has_no_letters(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
+    right, n = got.agg(F.count_if(F.col("lang") == F.col("lang_pred")), F.count("*")).first()
+    assert n > 20 and right >= 0.95 * n
+    odd = frame(spark, [*ODD, (7, "123 !?"), (8, "²")], lang=F.lit(None).cast("string"))
+    assert {r["lang_pred"] for r in langid.identify(odd).collect()} == {"und"}  # no labels
+    model = langid.fit(docs)
+    out = {r["doc_id"]: (r["p"]["lang"], r["p"]["score"]) for r in odd.where("doc_id > 4").select("doc_id", langid.predict_of(model, F.col("text")).alias("p")).collect()}
+    assert out[7] == ("und", 0.0) and out[8] == ("und", 0.0) and out[6][0] != "und" and 0 <= out[6][1] <= 1
+    kept = langid.language_filter(docs)
+    assert kept.columns == docs.columns and kept.count() >= 0.99 * docs.count()
+    assert langid.identify(docs.limit(0)).count() == 0
+
+
+# 3
+
+
+def brute_components(fps, ids, most=3):
+    label = list(range(len(fps)))
+    changed = True
+    while changed:
+        changed = False
+        for i in range(len(fps)):
+            for j in range(len(fps)):
+                if label[j] < label[i] and bin(fps[i] ^ fps[j]).count("1") <= most:
+                    label[i], changed = label[j], True
+    least = {}
+    for i, x in enumerate(label):
+        if ids[i] is not None:
+            least[x] = min(ids[i], least.get(x, ids[i]))
+    return [least.get(x) for x in label]
+
+
+def test_simhash_components(spark, monkeypatch):
+    rows = texts(1)
+    rows += [(i + 100, t + " tail") for i, t in rows[10:20] if i and t]
+    df = frame(spark, rows)
+    fps = [simhash.fingerprint(t) for _, t in rows]
+    want = Counter((i, f"{f:016x}", c) for (i, _), f, c in zip(rows, fps, brute_components(fps, [i for i, _ in rows])))
+    for hot in (2048, 1):
+        monkeypatch.setattr(simhash, "HOT", hot)
+        monkeypatch.setattr(simhash, "BLOCK", max(2, hot))
+        got = Counter((r["doc_id"], f"{r['fp'] & (2**64 - 1):016x}", r["component_id"]) for r in simhash.components(df).collect())
+        assert got == want
+    assert simhash.components(df.limit(0)).count() == 0
+
+
+def test_links_of_near_fingerprints(spark, monkeypatch):
+    rng = random.Random(6)
+    base = [rng.getrandbits(64) for _ in range(5)]
+    fps = {b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(4))) for b in base for _ in range(12)}
+    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
+    for hot in (2048, 2):
+        monkeypatch.setattr(simhash, "HOT", hot)
+        monkeypatch.setattr(simhash, "BLOCK", 4)
+        roots = {r["node"] & (2**64 - 1): r["root"] for r in components.connected_components(simhash.link(df)).collect()}
+        order = sorted(fps)
+        for a, label in zip(order, brute_components(order, list(range(len(order))))):
+            same = [b for b, x in zip(order, brute_components(order, list(range(len(order))))) if x == label]
+            assert len(same) == 1 or all(roots[b] == roots[a] for b in same)
+        break_at = len(set(roots.values()))
+        assert break_at <= len(base)
+
+
+def test_near_copies_leave_one_and_others_stay(spark):
+    rng = random.Random(3)
+    unique = [" ".join(f"u{rng.randrange(10**6)}" for _ in range(150)) for _ in range(12)]
+    rows = list(enumerate(unique))
+    for i, t in enumerate(unique[:4]):
+        own = t.split()
+        own[10] = "changed"
+        rows += [(100 + i, " ".join(own)), (200 + i, t), (200 + i, t)]
+    df = frame(spark, rows)
+    kept = simhash.dedup(df)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == list(range(12))
+
+
+def test_components_of_a_path_and_a_star(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (None, 3)]
+    got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == dict.fromkeys(range(41), 0) | dict.fromkeys(range(100, 160), 100)
+
+
+# 4 and 9
+
+
+@pytest.fixture(scope="module")
+def odd_texts():
+    rng = random.Random(5)
+    signs = list("ab cd  \n\n \t'sréñü0123½²\x1c\x85\xa0\u3000.,!?#日本😀\x00\r\ue000") + ["'s", "'ll", " the", "<|endoftext|>"]
+    return ["".join(rng.choice(signs) for _ in range(rng.randrange(50))) for _ in range(800)] + ["a" * 3000, "ab" * 700, " " * 900, "=-" * 600, "", None, "aaaa " * 200]
+
+
+def test_byte_bpe_equals_the_library(odd_texts):
+    import base64
+
+    import tiktoken
+
+    path, pattern = byte_bpe.default_vocabulary()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    own = byte_bpe.Codec(path, pattern)
+    own.chunks.most = own.pieces.most = 500
+    for _ in range(2):
+        for at in range(0, len(odd_texts), 100):
+            part = odd_texts[at : at + 100]
+            for text, ids in zip(part, own.encode(part)):
+                assert list(ids) == library.encode_ordinary(text or "")
+                assert own.decode(ids) == (text or "").encode()
+
+
+def test_byte_bpe_digest(spark):
+    df = frame(spark, texts(2)[:12])
+    for r in byte_bpe.encoding_digest(df.where("doc_id = 6")).collect():
+        assert r["decoded_sha256"] == hashlib.sha256(b"one two three four").hexdigest() and r["n_tokens"] == 4
+    assert byte_bpe.encoding_digest(df).count() == 12 and byte_bpe.encoding_digest(df.limit(0)).count() == 0
+
+
+def test_token_file_round_trip(spark, odd_texts):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenfile.default_vocabulary())
+    library.encode_special_tokens = True
+    rows = list(enumerate(odd_texts[:200] + odd_texts[-7:]))
+    random.Random(1).shuffle(rows)
+    got = sorted(tokenfile.token_file_digest(frame(spark, rows)).collect())
+    at = 0
+    for (i, text), r in zip(sorted(rows, key=lambda x: x[0]), got):
+        ids = np.array(library.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
+        assert tuple(r) == (i, at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    assert len(tokenfile.token_file_digest(frame(spark, ODD)).collect()) == len(ODD)
+    assert tokenfile.token_file_digest(frame(spark, rows).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n,most", [(0, 5), (1, 1), (1000, 2), (70_000, 49_000), (300_000, 500)])
+def test_segments_decode_from_any_checkpoint(n, most):
+    rng = np.random.default_rng(n)
+    ids = np.minimum((rng.pareto(1.0, n) * 3).astype(np.int64), most - 1)
+    docs = np.split(ids, np.sort(rng.integers(0, n + 1, 3)))
+    content = tokenfile.pack([1, None, -3, 7], docs)
+    names, back = tokenfile.unpack(content)
+    assert names == [1, None, -3, 7] and all((a == b).all() for a, b in zip(docs, back))
+    if n > 1000:
+        symbols, freq, size = tokenfile.frequencies(ids)
+        assert freq.sum() == 1 << size and freq.min() >= 1
+        cum, place = np.cumsum(freq) - freq, np.searchsorted(symbols, ids)
+        block, marks = tokenfile.encode_block(place, freq, cum, size, 64)
+        step = tokenfile.CHECKPOINT * 64
+        for k in (0, 1, marks - 1):
+            part = tokenfile.decode_block(block, n, symbols, freq, cum, np.repeat(np.arange(len(freq)), freq), size, 64, k, k + 1)
+            assert (part == ids[k * step : (k + 1) * step]).all()
+    broken = bytearray(content)
+    broken[-1] ^= 1
+    with pytest.raises(tokenfile.CorruptTokens):
+        tokenfile.unpack(bytes(broken))
+
+
+# 5
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_tokens_go_to_the_section_with_most_of_them(seed):
+    rng = np.random.default_rng(seed)
+    size = rng.integers(1, 9, 60)
+    end = np.cumsum(size)
+    cuts = np.unique(rng.integers(0, end[-1] + 1, 24))
+    start, stop = cuts[:-1][::2], cuts[1:][::2]
+    for k, section in enumerate(tokencounts.assign(end, start, stop)):
+        a, b = end[k] - size[k], end[k]
+        shared = [max(0, min(b, y) - max(a, x)) for x, y in zip(start, stop)]
+        assert section == (int(np.argmax(shared)) if max(shared) else -1)
+
+
+def test_counts_add_to_the_whole_text(spark):
+    rows = texts(5)[:20] + [(400, "é\n\nü日本 x\n"), (401, "\n")]
+    df = frame(spark, rows)
+    whole = {(r["doc_id"], r["n_tokens"]) for r in byte_bpe.encoding_digest(df).collect() if r["n_tokens"]}
+    lines = tokencounts.token_counts(df)
+    by = {}
+    for r in lines.collect():
+        by.setdefault(r["doc_id"], []).append(r)
+    copies = Counter(i for i, _ in rows)
+    assert {(i, sum(r["n_tokens"] for r in own) // copies[i]) for i, own in by.items() if i is not None} == {x for x in whole if x[0] is not None}
+    assert [(r["section"], r["start"], r["stop"]) for r in sorted(by[400])] == [(0, 0, 2), (1, 2, 3), (2, 3, 9)]
+    parts = tokencounts.token_counts(df.where("doc_id = 6"), F.array(F.struct(F.lit(0).alias("start"), F.lit(7).alias("stop"))))
+    assert [(r["section"], r["n_tokens"]) for r in parts.collect()] == [(0, 2), (-1, 2)]
+    assert tokencounts.token_counts(df.limit(0)).count() == 0
+
+
+# 6
+
+
+def brute_removals(rows, window):
+    seen = Counter(tuple(w[k : k + window]) for w in (words(t) for _, t in rows) for k in range(len(w) - window + 1))
+    out = []
+    for i, t in rows:
+        w = words(t)
+        gone = {j for k in range(len(w) - window + 1) if seen[tuple(w[k : k + window])] > 1 for j in range(k, k + window)}
+        kept = [x for j, x in enumerate(w) if j not in gone]
+        out.append((i, len(w), len(gone), hashlib.sha256(b" ".join(kept)).hexdigest()))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("vocabulary", [1, 3, 200])
+def test_repeated_windows(spark, vocabulary):
+    rows = texts(vocabulary, vocabulary)
+    df = frame(spark, rows)
+    assert Counter(tuple(r) for r in recompression.removal_digest(df).collect()) == brute_removals(rows, 35)
+    assert recompression.removal_digest(df.limit(0)).count() == 0
+    kept = recompression.dedup(df).select("doc_id", "text").collect()
+    untouched = {(i, t) for (i, t), (_, _, n, _) in zip(rows, [next(x for x in brute_removals([r], 10**9)) for r in rows]) if len(words(t)) < 35}
+    assert untouched <= {tuple(r) for r in kept}
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 3, 6])
+def test_equal_windows_share_their_representative(rounds):
+    rng = random.Random(rounds)
+    known, named = recompression.Names(), {}
+    docs = [[str(rng.randrange(3)).encode() for _ in range(rng.randrange(12, 90))] for _ in range(40)]
+    name, _, owner, lo, hi = recompression.representatives([known.of(d) for d in docs], 12, rounds)
+    count = 0
+    for n, o, a, b in zip(name, owner, lo, hi):
+        for k in range(a, b + 1):
+            assert named.setdefault(tuple(docs[o][k : k + 12]), int(n)) == int(n)
+            count += 1
+    assert count == sum(len(d) - 11 for d in docs)
+
+
+# 7
+
+
+def test_quality_base_counts(spark, sf_dir):
+    import re
+
+    def base(t):
+        t = t or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        tri, mark, seen, lines = Counter(zip(w, w[1:], w[2:])), set(), set(), 0
+        for i in range(len(w) - 2):
+            if tri[tuple(w[i : i + 3])] > 1:
+                mark |= {i, i + 1, i + 2}
+        for line in t.split("\n"):
+            lines += bool(re.search(r"[^\x20\x09-\x0D]", line)) and line in seen
+            seen.add(line)
+        return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), lines, len(mark)
+
+    rows = texts(4, 8) + [(300, "é|ü #a\né|ü #a\n\n\n"), (301, "a a a a")]
+    df = frame(spark, rows, lang=F.expr("CASE WHEN doc_id % 2 = 0 THEN 'xx' END"))
+    want = Counter((i, *base(t)) for i, t in rows)
+    got = quality.rules(df).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in got) == want
+    assert all(r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"]) and not (r["kept"] and r["base_failed"]) for r in got)
+    assert quality.rules(df.limit(0)).count() == 0
+
+
+def test_quality_keeps_what_is_labelled_good(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    got = quality.rules(docs).where("not base_failed").join(labels, "doc_id").groupBy("quality").agg(F.count_if("kept").alias("kept"), F.count("*").alias("n")).collect()
+    by = {r["quality"]: r["kept"] / r["n"] for r in got}
+    assert by[1] >= 0.98
+
+
+# 8
+
+
+def test_url_rules(spark):
+    urls = [(1, None), (2, "foo"), (3, "HTTP://A.COM/x?y#z"), (None, "x://WWW.example.com/en/é"), (4, "://"), (5, "a://b?c://d/e"), (6, "http://xcom/en/"), (7, "http://a.net/es/q"), (8, "http://m.example.com/en/"), (9, "http://b.net/esx/")]
+    df = spark.createDataFrame(urls, "page_id long, url string").withColumn("host", F.lit("clash"))
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urlfilter.judge(df).collect()}
+    assert got == {
+        1: ("", "", None, "allow"), 2: ("", "", None, "allow"), 3: ("a.com", "/x", "com/", "allow"), None: ("www.example.com", "/en/é", "www.example.com/en/", "allow"), 4: ("", "", None, "allow"),
+        5: ("b", "", None, "allow"), 6: ("xcom", "/en/", None, "allow"), 7: ("a.net", "/es/q", "net/es/", "block"), 8: ("m.example.com", "/en/", "example.com/en/", "block"), 9: ("b.net", "/esx/", None, "allow"),
+    }
+    assert urlfilter.judge(df.limit(0)).count() == 0
+
+
+def test_mined_rules_equal_counting(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").union(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    own = pages.withColumns({"host": urlfilter.host_of(F.col("url")), "path": urlfilter.path_of(F.col("url"))})
+    labelled = own.select(urlfilter.tokens_of(F.col("url")).alias("tokens"), urlfilter.rule_of(F.col("host"), F.col("path"))["verdict"].alias("verdict"))
+    rows = [(set(r["tokens"]), r["verdict"]) for r in labelled.collect()]
+    rules = urlfilter.mine(labelled)
+    assert rules
+    for tokens, verdict, confidence, support in rules[:60]:
+        has = [v for t, v in rows if tokens <= t]
+        assert confidence == pytest.approx(has.count(verdict) / len(has)) and confidence >= urlfilter.CONFIDENCE
+        assert len(has) and has.count(verdict) >= urlfilter.LEAST_PAGES - 1
+    index = urlfilter.RuleIndex(rules)
+    for tokens, _ in rows[:50]:
+        full = [k for k, r in enumerate(index.rules) if r[0] <= tokens]
+        assert index.match(sorted(tokens)) == (index.rules[min(full)] if full else None)
+
+
+# 10
+
+
+def test_embedding_links(spark):
+    rng = np.random.default_rng(0)
+    base, rows = rng.normal(size=(20, 8)), []
+    for i in range(300):
+        rows.append((i, (base[rng.integers(20)] + rng.normal(size=8) * 0.15).astype(np.float32).tolist(), int(rng.integers(2)) if rng.random() > 0.05 else None))
+    rows += [(1000, None, 1), (1001, [0.0] * 8, 1), (1002, [float("nan")] * 8, 1), (1003, [1.0, None] + [0.0] * 6, 1), (1004, *rows[0][1:]), (1005, *rows[0][1:]), (1006, [float("inf")] * 8, 1), (1007, [], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("node", F.lit(1))
+    good = [(i, np.array(v) / np.linalg.norm(v), k) for i, v, k in rows if k is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    links = {i: {j for j, w, m in good if m == k and j != i and v @ w >= 0.93} for i, v, k in good}
+    got = embeddings.near_duplicates(df).collect()
+    true = sum(map(len, links.values()))
+    assert sum(r["n_links"] for r in got) >= 0.95 * true and all(r["n_links"] <= len(links.get(r["vec_id"], ())) for r in got)
+    for r in got:
+        if r["vec_id"] not in links:
+            assert (r["n_links"], r["component_id"], r["kept"]) == (0, r["vec_id"], True)
+        assert r["kept"] == (r["vec_id"] == r["component_id"])
+    assert embeddings.near_duplicates(df.limit(0)).count() == 0
