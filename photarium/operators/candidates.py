@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from photarium import schema
 from photarium.functions.bits import is_hex, parse_hex
 from photarium.functions.text import nocase
+from photarium.operators.merge import renumbered, sums_before
 
 
 def key_column(name: str, precision: int) -> Column:
@@ -28,7 +29,7 @@ def candidate_groups(files: DataFrame, keys: dict[str, Column], order: list[Colu
     rows = files.where(live) if live is not None else files
     keyed = rows.withColumns(dict(zip(names, keys.values()))).dropna(subset=names)
     members = keyed.withColumn("_n", F.count("*").over(Window.partitionBy(*names))).where("_n > 1").drop("_n")
-    ordinals = keyed.groupBy(*names).agg(F.count("*").alias("_n")).where("_n > 1").select(*names, F.row_number().over(Window.orderBy(*names)).alias("group_id"))
+    ordinals = renumbered(keyed.groupBy(*names).agg(F.count("*").alias("_n")).where("_n > 1").select(*names), [F.col(n) for n in names], "group_id")
     numbered = members.join(ordinals, names)
     return numbered.withColumn("cand_seq", F.row_number().over(Window.partitionBy("group_id").orderBy(*order))).drop(*names)
 
@@ -50,7 +51,7 @@ def strict_runs(images: DataFrame, columns: tuple[str, ...], precision: int, has
     bad = (~is_hex(F.col(hash_column))).cast("int")
     island = rows.withColumn("_island", F.sum(bad).over(order.rowsBetween(Window.unboundedPreceding, 0))).where(is_hex(F.col(hash_column)))
     keyed = island.withColumn("_n", F.count("*").over(Window.partitionBy(*names, "_island"))).where("_n > 1").drop("_n")
-    ordinals = keyed.select(*names, "_island").distinct().withColumn("group_id", F.row_number().over(Window.orderBy(*names, "_island")))
+    ordinals = renumbered(keyed.select(*names, "_island").distinct(), [F.col(n) for n in (*names, "_island")], "group_id")
     out = keyed.join(ordinals, [*names, "_island"]).withColumn("hash", parse_hex(F.col(hash_column)))
     return out.withColumn("cand_seq", F.row_number().over(Window.partitionBy("group_id").orderBy("imgmegapix", "fsize", "imgidu"))).drop(*names, "_island")
 
@@ -59,7 +60,7 @@ def keep_mask(candidates: DataFrame, keep: Column, id_base: int = 0) -> DataFram
     """Candidates after a row filter: groups keep their ordinals, even of one member, and rows get new ids id_base + 1, ... in order."""
     kept = candidates.where(keep)
     counts = kept.groupBy("group_id").agg(F.count("*").alias("_m"))
-    before = counts.select("group_id", F.coalesce(F.sum("_m").over(Window.orderBy("group_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    before = sums_before(counts, "group_id", "_m", "_before")
     place = F.row_number().over(Window.partitionBy("group_id").orderBy("cand_seq"))
     return kept.withColumn("_place", place).join(before, "group_id").withColumn("row_id", (F.col("_before") + F.col("_place") + id_base).cast("long")).drop("_place", "_before")
 

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from photarium.functions.bits import NO_SCORE
 from photarium.functions.text import group_label, pad9
+from photarium.operators.merge import sums_before
 from photarium.operators.sweep import PAIR_ORDER
+from photarium.session import settled
 
 TASK_PAIRS = 200_000
 ROW = "group_id long, id long, root long, tag int, ham_dist int, mse int"
@@ -84,7 +86,8 @@ def _large(pairs: DataFrame) -> DataFrame:
         stepped = labels.join(near, "id").withColumn("new", F.least("root", "least"))
         jump = labels.select(F.col("id").alias("new"), F.col("root").alias("further"))
         stepped = stepped.join(jump, "new", "left").withColumn("next", F.least("new", F.coalesce("further", "new")))
-        stepped = stepped.select("group_id", "id", "ham_dist", "mse", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")).checkpoint()
+        stepped = stepped.select("group_id", "id", "ham_dist", "mse", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved"))
+        stepped = settled(stepped)
         changed = stepped.where("moved").limit(1).count()
         labels = stepped.drop("moved")
     tags = labels.groupBy("root").agg(F.min("ham_dist").alias("tag"))
@@ -114,7 +117,7 @@ def drop_singles(rows: DataFrame, singles: int = 0) -> DataFrame:
 def in_result_order(rows: DataFrame) -> DataFrame:
     """Adds sort_key: result rows are listed by root, then label and position as text, so label 5_10 comes before 5_1."""
     counts = rows.withColumn("_part", F.floor(F.col("id") / 65536)).groupBy("_part").agg(F.count("*").alias("_m"))
-    before = counts.select("_part", F.coalesce(F.sum("_m").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    before = sums_before(counts, "_part", "_m", "_before")
     placed = rows.withColumn("_part", F.floor(F.col("id") / 65536)).withColumn("_p", F.row_number().over(Window.partitionBy("_part").orderBy("id")))
     numbered = placed.join(before, "_part").withColumn("position", (F.col("_p") + F.col("_before")).cast("long")).drop("_part", "_p", "_before")
     gid = group_label(F.col("root"), F.col("tag"))

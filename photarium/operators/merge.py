@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from photarium.functions.text import nocase
+from photarium.session import settled
 
 
 def truthy(column: str | Column, kind: str) -> Column:
@@ -32,14 +33,27 @@ def import_merge(main: DataFrame, other: DataFrame, key: Column, id_column: str,
 
 
 def renumbered(rows: DataFrame, order: list[Column], id_column: str, start: int = 1) -> DataFrame:
-    """Ids start, start + 1, ... in the given order, numbered by partitions: ranges are sorted on their own, and start where the ones before end."""
+    """Ids start, start + 1, ... in the given order, numbered by ranges: each is sorted on its own, and starts where the ones before end.
+
+    The ranges are settled first: sampled anew for each use, they could differ.
+    """
     ordered = rows.withColumn("_o", F.struct(*[c.alias(f"c{i}") for i, c in enumerate(order)])).repartitionByRange("_o").withColumn("_part", F.spark_partition_id())
+    ordered = settled(ordered)
     counts = ordered.groupBy("_part").agg(F.count("*").alias("_m"))
     before = counts.select("_part", F.coalesce(F.sum("_m").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     placed = ordered.withColumn("_p", F.row_number().over(Window.partitionBy("_part").orderBy("_o")))
     return placed.join(before, "_part").withColumn(id_column, (F.col("_p") + F.col("_before") + (start - 1)).cast("long")).drop("_o", "_part", "_p", "_before")
 
 
+def sums_before(rows: DataFrame, key: str, value: str, name: str, block: int = 65536) -> DataFrame:
+    """(key, name): the sum of value over all smaller keys, for whole numbers as keys: within blocks of keys, and over the blocks."""
+    own = rows.withColumn("_b", F.floor(F.col(key) / block))
+    blocks = own.groupBy("_b").agg(F.sum(value).alias("_s"))
+    earlier = blocks.select("_b", F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_e"))
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return own.withColumn("_i", inside).join(earlier, "_b").select(key, (F.col("_i") + F.col("_e")).alias(name))
+
+
 def merge_blobs(merged: DataFrame, main: DataFrame, other: DataFrame, id_column: str, blobs: list[str]) -> DataFrame:
     """The side table of a merged index: each blob from the other index, else from main; ids without any blob have no row."""
     m = main.select(F.col(id_column).alias("old_main"), *[F.col(b).alias(f"m_{b}") for b in blobs])

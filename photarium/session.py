@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -20,3 +22,12 @@ def session(master: str | None = None, app: str = "photarium", **settings) -> Sp
     for key, value in (SETTINGS | settings).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df as a reliable checkpoint, so that all that is derived from it sees the same rows in the same partitions. The folder is that of
+    spark.checkpoint.dir; only where it is unset a temporary one."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="photarium-"))
+    return df.checkpoint(eager=True)
