@@ -20,11 +20,13 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from photarium.llm.common import scratch
+from photarium.llm.known import Known
 
 END = 2
 #: Ids in a segment, after which the next document starts another; ids in a block; lanes at most; steps between checkpoints.
@@ -36,7 +38,9 @@ MAGIC = b"PTOK"
 HEADER = struct.Struct("<4sHBxIQQIQI")
 LOW = np.uint64(1 << 31)
 SCHEMA = "shard int, seq int, n_docs long, n_ids long, content binary"
+#: Words remembered in a task, and twice as many pieces; characters encoded at once.
 CHUNKS = 1 << 19
+BATCH_CHARS = 1 << 21
 
 
 class CorruptTokens(ValueError):
@@ -185,7 +189,11 @@ def unpack(content: bytes) -> tuple[list[int | None], list[np.ndarray]]:
 
 
 class WordTokens:
-    """Ids of whole texts by a tokenizers file whose pieces never cross white space: distinct words are encoded once a task."""
+    """Ids of whole texts by a tokenizers file whose pieces never cross white space.
+
+    Words are looked up as they stand between white space; new ones are cut into the tokenizer's pieces, and the library encodes all new
+    pieces of a batch as one text. Each ends with a token that marks an end, which tells them apart again.
+    """
 
     def __init__(self, path: str):
         import os
@@ -195,34 +203,87 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.words, self.pieces = Known(CHUNKS), Known(2 * CHUNKS)
+
+    def _pieces(self, new: list[str]) -> None:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.flatnonzero(self.ends[ids])
+        if len(ends) != len(new):  # a piece the pattern and the library cut differently: one by one
+            each = [np.array(x.ids, np.int64) for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            self.pieces.add(new, np.array([len(x) for x in each], np.int64), np.concatenate(each))
+        else:
+            self.pieces.add(new, np.diff(ends, prepend=-1), ids)
+
+    def _learn(self, new: list[bytes]) -> None:
+        """New words that Latin-1 can write are cut here, their lower case being the library's; others are encoded by it as they are."""
+        plain, odd = new, []
+        try:
+            text = b"\n".join(new).decode()
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            odd = [w for w in new if _beyond(w.decode())]
+            plain = list(set(new).difference(odd))
+            text = b"\n".join(plain).decode()
+        if plain:
+            if "\n" not in self.pieces.at:
+                self.pieces.add(["\n"], np.zeros(1, np.int64), np.zeros(0, np.int32))
+            cut = _PIECE.findall(text.lower())
+            place = self.pieces.places(cut)
+            fresh = list({cut[k] for k in np.flatnonzero(place < 0)})
+            if fresh:
+                self._pieces(fresh)
+            place = self.pieces.meet(cut, place)
+            flat, size = self.pieces.ids(place)
+            owner = np.cumsum(place == self.pieces.at["\n"])
+            self.words.add(plain, np.bincount(owner, size, len(plain)).astype(np.int64), flat)
+        if odd:
+            each = [np.array(x.ids, np.int64) for x in self.tokenizer.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False)]
+            self.words.add(odd, np.array([len(x) for x in each], np.int64), np.concatenate(each))
 
     def encode(self, texts: list[str | None], end: int = END) -> list[np.ndarray]:
-        if len(self.known) > CHUNKS:
-            self._forget()
-        cut = [t.encode("utf-8", "replace").split() if t else [] for t in texts]
-        new = list(set().union(*cut) - self.known.keys())
-        if new:
-            found = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-            size = np.array([len(x) for x in found], np.int64)
-            begin, count = len(self.flat), len(self.size)
-            self.flat = np.append(self.flat, np.fromiter((i for x in found for i in x), np.int64, int(size.sum())))
-            self.start = np.append(self.start, begin + np.cumsum(size) - size)
-            self.size = np.append(self.size, size)
-            self.known.update(zip(new, range(count, count + len(new))))
-        out = []
-        for words in cut:
-            place = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-            size = self.size[place]
-            ends = np.cumsum(size)
-            ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[place] - ends + size, size)]
-            out.append(np.append(ids, end))
+        out: list = []
+        at, chars = 0, 0
+        for i, text in enumerate(texts):
+            chars += len(text or "")
+            if chars >= BATCH_CHARS or i + 1 == len(texts):
+                out += self._encode(texts[at : i + 1], end)
+                at, chars = i + 1, 0
         return out
 
+    def _encode(self, texts: list[str | None], end: int) -> list[np.ndarray]:
+        self.words.trim()
+        self.pieces.trim()
+        cut = [_words(t) if t else [] for t in texts]
+        places = [self.words.places(words) for words in cut]
+        new = {words[k] for words, p in zip(cut, places) for k in np.flatnonzero(p < 0)}
+        if new:
+            self._learn(list(new))
+        return [np.append(self.words.ids(self.words.meet(words, p))[0], np.int32(end)) for words, p in zip(cut, places)]
+
+
+#: The tokenizer's pieces, and the line feed that parts words here.
+_PIECE = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
+
+def _beyond(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+        return False
+    except UnicodeEncodeError:
+        return True
+
+
+def _words(text: str) -> list[bytes]:
+    """Words between ASCII white space; A-Z in lower case where no character could combine with them."""
+    try:
+        text.encode("latin-1")
+        return text.encode().lower().split()
+    except UnicodeEncodeError:
+        return text.encode("utf-8", "replace").split()
+
 
 @lru_cache(maxsize=2)
 def word_tokens(path: str) -> WordTokens:
@@ -254,14 +315,13 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end:
 
         for batch in batches:
             texts, own = batch["text"].tolist(), [None if pd.isna(x) else int(x) for x in batch["doc_id"].astype(object)]
-            for at in range(0, len(texts), 256):
-                for name, x in zip(own[at : at + 256], tokens.encode(texts[at : at + 256], end)):
-                    names.append(name)
-                    ids.append(x.astype(np.int32))
-                    total += len(x)
-                    if total >= SEGMENT_IDS:
-                        yield flush()
-                        names, ids, total, seq = [], [], 0, seq + 1
+            for name, x in zip(own, tokens.encode(texts, end)):
+                names.append(name)
+                ids.append(x)
+                total += len(x)
+                if total >= SEGMENT_IDS:
+                    yield flush()
+                    names, ids, total, seq = [], [], 0, seq + 1
         if names:
             yield flush()
 
