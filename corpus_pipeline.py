@@ -34,9 +34,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def byte_bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, token ids, and whether they decode to the text."""
-    ids = docs.select("doc_id", "source", "text", byte_bpe.encode_of(F.col("text")).alias("ids"))
-    same = byte_bpe.decode_of(F.col("ids")) == F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
-    return ids.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
+    coded = docs.select("doc_id", "source", byte_bpe.checked_of(F.col("text")).alias("c"))
+    return coded.select("doc_id", "source", "c.ids", F.size("c.ids").cast("long").alias("n_tokens"), "c.round_trip")
 
 
 STAGES = [
