@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from photarium.llm.known import Known
+
 #: Rank of no pair.
 NONE = np.int32(2**31 - 1)
 #: Bytes of a piece above which a heap takes the place of the matrix: its row would be as wide as all of the piece.
@@ -27,8 +29,19 @@ LONG_PIECE = 512
 CHUNKS = 1 << 18
 BATCH_CHARS = 1 << 21
 
-#: A blank between blanks (or at the end after one): there, blanks belong together and the text is not cut at single blanks.
-_BLANKS = re.compile(r"\s (?:\s|\Z)")
+#: Where white space follows white space it belongs together, and the text is not cut there.
+_BLANKS = re.compile(r"\s\s")
+#: Marks a text's first chunk, which no blank precedes.
+START = "\ue000"
+
+
+def _chunks(text: str) -> list[str] | None:
+    """A text cut before each blank and line feed, across which no piece reaches. A blank that a chunk begins with is left out, and a
+    text's first chunk is marked by START. None for texts that can't be cut so: with runs of white space, or the mark in them."""
+    if _BLANKS.search(text) or START in text:
+        return None
+    first, *rest = text.replace("\n", " \n").split(" ")
+    return [START + first, *rest]
 
 
 class PairTable:
@@ -79,13 +92,7 @@ class Codec:
         self.single = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         pairs = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         self.table = PairTable(*(np.array(x, np.int32) for x in zip(*pairs))) if pairs else PairTable(*[np.zeros(0, np.int32)] * 3)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.led: dict[str, int] = {}  # chunks after a blank, which is part of them
-        self.bare: dict[str, int] = {}  # chunks at the start
-        self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.piece_ids: dict[str, np.ndarray] = {}
+        self.chunks, self.pieces = Known(CHUNKS), Known(CHUNKS)
 
     # pieces
 
@@ -182,24 +189,19 @@ class Codec:
 
     # texts
 
-    def _learn(self, led: set[str], bare: set[str], pieces: set[str]) -> None:
-        """Give the new chunks their places in the flat table of ids."""
-        cut = {("led", c): self.pattern.findall(" " + c) for c in led} | {("bare", c): self.pattern.findall(c) for c in bare}
-        new = sorted({p for own in cut.values() for p in own if p not in self.piece_ids} | {p for p in pieces if p not in self.piece_ids})
-        for piece, ids in zip(new, self.encode_pieces([p.encode("utf-8", "surrogatepass") for p in new])):
-            self.piece_ids[piece] = ids
-        parts, sizes, at = [], [], len(self.size)
-        for (kind, chunk), own in cut.items():
-            ids = [self.piece_ids[p] for p in own]
-            parts += ids
-            sizes.append(sum(map(len, ids)))
-            (self.led if kind == "led" else self.bare)[chunk] = at
-            at += 1
-        if sizes:
-            begin = len(self.flat)
-            self.flat = np.concatenate([self.flat, *parts]).astype(np.int32)
-            self.size = np.append(self.size, np.array(sizes, np.int64))
-            self.start = np.append(self.start, begin + np.cumsum(sizes) - np.array(sizes))
+    def _learn(self, chunks: list[str], pieces: set[str]) -> None:
+        """Take in new chunks, and pieces of texts that aren't cut into chunks."""
+        cut = [self.pattern.findall(c[1:] if c[:1] == START else c if c[:1] == "\n" else " " + c) for c in chunks]
+        new = list(pieces.union(*cut) - self.pieces.at.keys())
+        if new:
+            each = self.encode_pieces([p.encode("utf-8", "surrogatepass") for p in new])
+            self.pieces.add(new, np.array([len(x) for x in each], np.int64), np.concatenate(each))
+        if chunks:
+            place = np.fromiter((self.pieces.at[x] for own in cut for x in own), np.int64)
+            np.add.at(self.pieces.met, place, 1)
+            flat, size = self.pieces.ids(place)
+            owner = np.repeat(np.arange(len(cut)), [len(own) for own in cut])
+            self.chunks.add(chunks, np.bincount(owner, size, len(cut)).astype(np.int64), flat)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; null is encoded like the empty text."""
@@ -213,28 +215,19 @@ class Codec:
         return out
 
     def _encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.size) > CHUNKS or len(self.piece_ids) > CHUNKS:
-            self._forget()
-        cut = [t.split(" ") if t and not _BLANKS.search(t) else None for t in texts]
+        self.chunks.trim()
+        self.pieces.trim()
+        cut = [_chunks(t) if t else None for t in texts]
         odd = {i: self.pattern.findall(t) for i, t in enumerate(texts) if t and cut[i] is None}
-        led, bare, pieces = set(), set(), set()
-        for chunks in cut:
-            if chunks:
-                bare.add(chunks[0])
-                led.update(chunks[1:])
-        for own in odd.values():
-            pieces.update(own)
-        self._learn(led - self.led.keys(), bare - self.bare.keys(), pieces)
+        places = [self.chunks.places(c) if c else None for c in cut]
+        new = {c[k] for c, p in zip(cut, places) if c for k in np.flatnonzero(p < 0)}
+        self._learn(list(new), set().union(*odd.values()))
         out = []
-        for i, chunks in enumerate(cut):
-            if chunks:
-                place = np.fromiter(map(self.led.__getitem__, chunks[1:]), np.int64, len(chunks) - 1)
-                place = np.append(np.int64(self.bare[chunks[0]]), place)
-                size = self.size[place]
-                end = np.cumsum(size)
-                out.append(self.flat[np.arange(end[-1]) + np.repeat(self.start[place] - end + size, size)])
-            elif i in odd:
-                out.append(np.concatenate([self.piece_ids[p] for p in odd[i]]))
+        for i, own in enumerate(cut):
+            if i in odd:
+                out.append(self.pieces.ids(np.fromiter((self.pieces.at[p] for p in odd[i]), np.int64, len(odd[i])))[0])
+            elif own:
+                out.append(self.chunks.ids(self.chunks.meet(own, places[i]))[0])
             else:
                 out.append(np.zeros(0, np.int32))
         return out
@@ -277,6 +270,20 @@ def decode_of(ids: Column, path: str | None = None, pattern: str | None = None)
     return of(ids)
 
 
+def checked_of(text: Column, path: str | None = None, pattern: str | None = None) -> Column:
+    """struct(ids, round_trip): the ids, and whether they decode to the text's bytes (those of a null text: none)."""
+    path, pattern = (path, pattern) if path else default_vocabulary()
+
+    @F.pandas_udf("ids array<int>, round_trip boolean")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        own = codec(path, pattern)
+        ids = own.encode(texts.tolist())
+        same = [own.decode(x) == (t or "").encode("utf-8", "surrogatepass") for x, t in zip(ids, texts)]
+        return pd.DataFrame({"ids": ids, "round_trip": same})
+
+    return of(text)
+
+
 def digest_of(text: Column, path: str | None = None, pattern: str | None = None) -> Column:
     """Encode, decode the ids, and hash both: ids as little-endian unsigned 32-bit integers, and the decoded bytes."""
     path, pattern = (path, pattern) if path else default_vocabulary()

@@ -37,7 +37,7 @@ ROUNDS = 3
 #: Words handled at once; longer documents are handled alone.
 BATCH_WORDS = 1 << 17
 #: Word names remembered in a task.
-NAMES = 1 << 20
+NAMES = 1 << 19
 
 _U = np.uint64
 _K1, _K2, _K3 = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
@@ -237,18 +237,21 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS
     """docs(rid, text) to (rid, spans): ranges of windows found more than once, first << 32 | last, for the texts that have any."""
     names = store(docs.mapInPandas(lambda it: _scan(it, window, rounds), "name long, stretch long, rid long, span long"), "recompression-names")
     shared = names.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+    # stored, so that both sides of the join are plain exchanges, which adaptive execution may split where a name is hot
+    shared = store(shared, "recompression-repeated")
     ranges = store(names.join(shared, "name"), "recompression-shared")
     drop(names)
+    drop(shared)
     release(docs.sparkSession)
     kinds = store(ranges.groupBy("name", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("rid", "span")).alias("one")), "recompression-kinds")
     whole = ranges.join(kinds.where("n > 1").select("name", "stretch"), ["name", "stretch"]).select("rid", "span")
-    mixed = kinds.groupBy("name").agg(F.count("*").alias("kinds")).where("kinds > 1").select("name")
+    mixed = store(kinds.groupBy("name").agg(F.count("*").alias("kinds")).where("kinds > 1").select("name"), "recompression-mixed")
     ends = kinds.join(mixed, "name").groupBy("one.rid").agg(F.collect_list(F.struct("one.span", (F.col("n") == 1).alias("single"))).alias("spans"))
     hashes = store(docs.join(ends, "rid").mapInPandas(lambda it: _verify(it, window), "h1 long, h2 long, rid long, span long, single boolean"), "recompression-ends")
-    twice = hashes.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
+    twice = store(hashes.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "recompression-twice")
     partly = hashes.where("single").join(twice, ["h1", "h2"]).select("rid", "span")
     found = store(whole.union(partly).groupBy("rid").agg(F.collect_set("span").alias("spans")), "recompression-found")
-    for table in (ranges, kinds, hashes):
+    for table in (ranges, kinds, mixed, hashes, twice):
         drop(table)
     release(docs.sparkSession)
     return found
