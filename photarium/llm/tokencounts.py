@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from photarium.llm.byte_bpe import codec, default_vocabulary
 
 OUTSIDE = -1
-COUNTS = "array<struct<section:int,start:int,stop:int,n_tokens:long>>"
+COUNTS = "section array<int>, start array<int>, stop array<int>, n_tokens array<long>"
 
 
 def assign(token_end: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -45,49 +45,51 @@ def line_spans(text: str) -> tuple[np.ndarray, np.ndarray]:
     return (stop - sizes)[keep], stop[keep]
 
 
-def count(ids: np.ndarray, raw: bytes, start: np.ndarray, stop: np.ndarray, length: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(section, start, stop, tokens) of one text, given by its bytes; sections by characters, in order of their starts."""
+def count(ids: np.ndarray, raw: bytes, start: np.ndarray, stop: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sections, starts, stops and tokens of one text, given by its bytes; sections by characters, in order of their starts."""
     chars = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
     edge = np.append(chars, len(raw))
     a, b = (edge[np.clip(x, 0, len(chars))] for x in (start, stop))
-    found = assign(np.cumsum(length[ids]), a, b)
-    counts = np.bincount(found + 1, minlength=len(start) + 1)
-    rows = [(k, int(start[k]), int(stop[k]), int(counts[k + 1])) for k in range(len(start))]
-    return rows + ([(OUTSIDE, None, None, int(counts[0]))] if counts[0] else [])
+    counts = np.bincount(assign(np.cumsum(length[ids]), a, b) + 1, minlength=len(start) + 1)
+    section = np.arange(len(start))
+    if counts[0]:
+        return np.append(section, OUTSIDE), np.append(start, -1), np.append(stop, -1), np.append(counts[1:], counts[0])
+    return section, start, stop, counts[1:]
 
 
 def counts_of(text: Column, sections: Column | None = None, path: str | None = None, pattern: str | None = None) -> Column:
-    """Array of struct(section, start, stop, n_tokens). sections: array of struct(start, stop) in characters that don't overlap; lines if
+    """struct of arrays (section, start, stop, n_tokens). sections: array of struct(start, stop) in characters that don't overlap; lines if
     not given. Null texts have no sections and no tokens."""
     path, pattern = (path, pattern) if path else default_vocabulary()
+    none = np.zeros(0, np.int64)
 
-    def counted(texts: list[str | None], spans) -> list:
+    def counted(texts: list[str | None], spans) -> pd.DataFrame:
         own = codec(path, pattern)
         length = np.array([len(own.bytes_of.get(k, b"")) for k in range(max(own.bytes_of) + 1)], np.int64)
         out = []
         for text, ids, span in zip(texts, own.encode(texts), spans):
             if text is None:
-                out.append([])
+                out.append((none, none, none, none))
                 continue
             if span is None:
                 start, stop = line_spans(text)
             else:
                 pairs = sorted((int(x["start"]), int(x["stop"])) for x in span if x is not None and x["stop"] > x["start"])
                 start, stop = (np.array(x, np.int64) for x in (zip(*pairs) if pairs else ((), ())))
-            out.append([dict(zip(("section", "start", "stop", "n_tokens"), r)) for r in count(ids, text.encode("utf-8", "surrogatepass"), start, stop, length)])
-        return out
+            out.append(count(ids, text.encode("utf-8", "surrogatepass"), start, stop, length))
+        return pd.DataFrame(out, columns=["section", "start", "stop", "n_tokens"])
 
     if sections is None:
 
         @F.pandas_udf(COUNTS)
-        def of_lines(texts: pd.Series) -> pd.Series:
-            return pd.Series(counted(texts.tolist(), [None] * len(texts)), dtype=object)
+        def of_lines(texts: pd.Series) -> pd.DataFrame:
+            return counted(texts.tolist(), [None] * len(texts))
 
         return of_lines(text)
 
     @F.pandas_udf(COUNTS)
-    def of(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series(counted(texts.tolist(), [[] if x is None else x for x in spans]), dtype=object)
+    def of(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        return counted(texts.tolist(), [[] if x is None else x for x in spans])
 
     return of(text, sections)
 
@@ -99,7 +101,9 @@ def token_counts(docs: DataFrame, sections: Column | None = None) -> DataFrame:
     columns that no section is made of are not read.
     """
     found = docs.select("doc_id", counts_of(F.col("text"), sections).alias("c"))
-    return found.select("doc_id", F.explode("c").alias("s")).select("doc_id", "s.section", "s.start", "s.stop", "s.n_tokens")
+    each = found.select("doc_id", F.explode(F.arrays_zip("c.section", "c.start", "c.stop", "c.n_tokens")).alias("s"))
+    inside = F.col("s.section") != OUTSIDE
+    return each.select("doc_id", "s.section", F.when(inside, F.col("s.start")).alias("start"), F.when(inside, F.col("s.stop")).alias("stop"), "s.n_tokens")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
