@@ -136,6 +136,9 @@ def _tiles(members: DataFrame) -> DataFrame:
 WIDE = 24
 BAND = 20
 BANDS = 3
+#: Words of a wide fingerprint that go with a key. Members of a band above which its blocks are compared instead of joined.
+SKETCH = 2
+HOT_WIDE = 64
 
 
 def wide_fingerprint(text: str | None, shingle: int) -> np.ndarray:
@@ -163,27 +166,93 @@ def most_bits(similarity: float) -> int:
     return int(bits * angle + 2 * np.sqrt(bits * angle * (1 - angle)))
 
 
+def most_sketch(similarity: float) -> int:
+    """Differing bits of the first SKETCH words at that similarity, and seven standard deviations: what lies beyond is no near copy."""
+    angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    bits = SKETCH * BITS
+    return int(bits * angle + 7 * np.sqrt(bits * angle * (1 - angle)))
+
+
+def _wide(bits) -> np.ndarray:
+    return np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), WIDE)
+
+
 def wide_links(wide: DataFrame, similarity: float) -> DataFrame:
-    """Edges (a, b) of wide(fp, bits, keys): pairs that share a band with its smallest member, and are within the bits of that similarity.
+    """Edges (a, b) of wide(fp, bits, keys), whose components are those of all pairs that share a band and are within the bits of that
+    similarity.
 
     At a similarity of 0.8 a seventh of all bits differ, more than any chain of segments could be asked to share, so pigeonring has
     nothing to prune by here and bands take its place: a pair shares one of the 72 bands with a probability of 0.94 at 0.8, 0.99 at 0.85.
-    A band's members are linked through one of them, never pair by pair.
+    A band also holds strangers, more of them in a larger corpus; so all its members are compared, first by a sketch of 128 bits that goes
+    with the key, and what it leaves by all bits. Bands of more than HOT_WIDE members are linked through their smallest member first; then
+    only members that are not connected yet are compared, block against block.
     """
-    most = most_bits(similarity)
+    most, most_of_sketch = most_bits(similarity), most_sketch(similarity)
 
     @F.pandas_udf("boolean")
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
-        x, y = (np.frombuffer(b"".join(v), np.uint64).reshape(len(v), WIDE) for v in (a, b))
-        return pd.Series(np.bitwise_count(x ^ y).sum(axis=1) <= most)
+        return pd.Series(np.bitwise_count(_wide(a) ^ _wide(b)).sum(axis=1) <= most)
+
+    @F.pandas_udf("s long, t long")
+    def sketch(bits: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(_wide(bits)[:, :SKETCH].view(np.int64), columns=["s", "t"])
 
     keys = wide.select("fp", F.explode("keys").alias("key"))
-    shared = cut(keys.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count("*").alias("n")).where("n > 1"))
-    larger = keys.join(shared.where("n > 2").select("key", "a"), "key").select("a", F.col("fp").alias("b"))
-    pairs = shared.select("a", "b").union(larger).where("a != b").distinct()
+    hot = cut(keys.groupBy("key").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where(F.col("n") > HOT_WIDE))
+    some_hot = hot.limit(1).count() > 0
+    usual = wide.select("fp", sketch("bits").alias("k"), "keys").select("fp", "k.s", "k.t", F.explode("keys").alias("key"))
+    if some_hot:
+        usual = usual.join(hot, "key", "left_anti")
+    other = usual.select("key", F.col("fp").alias("b"), F.col("s").alias("s_b"), F.col("t").alias("t_b"))
+    apart = F.expr("bit_count(s ^ s_b) + bit_count(t ^ t_b)")
+    pairs = usual.join(other, "key").where((F.col("fp") < F.col("b")) & (apart <= most_of_sketch)).select(F.col("fp").alias("a"), "b")
+    members = keys.join(hot.select("key", "a"), "key") if some_hot else None
+    if some_hot:
+        pairs = pairs.union(members.select("a", F.col("fp").alias("b")).where("a != b"))
     known = wide.select("fp", "bits")
-    both = pairs.join(known.select(F.col("fp").alias("a"), F.col("bits").alias("x")), "a").join(known.select(F.col("fp").alias("b"), F.col("bits").alias("y")), "b")
-    return both.where(near("x", "y")).select("a", "b")
+    both = pairs.distinct().join(known.select(F.col("fp").alias("a"), F.col("bits").alias("x")), "a").join(known.select(F.col("fp").alias("b"), F.col("bits").alias("y")), "b")
+    edges = both.where(near("x", "y")).select("a", "b")
+    if not some_hot:
+        return edges
+    roots = cut(connected_components(edges))
+    rooted = members.select("key", "fp").join(roots, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+    return roots.select(F.col("root").alias("a"), F.col("node").alias("b")).where("a != b").union(_wide_tiles(cut(rooted), known, most))
+
+
+def _wide_tiles(members: DataFrame, known: DataFrame, most: int) -> DataFrame:
+    """members(key, fp, root), known(fp, bits): edges between members of a key with different roots.
+
+    Members with a key's most common root, its body, need not meet each other: their blocks meet those of the rest, and the rest meets itself.
+    """
+    parts = members.groupBy("key", "root").agg(F.count("*").alias("n"))
+    sizes = parts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("body"), F.sum("n").alias("n")).where("n > body.n")
+    sizes = sizes.select("key", F.col("body.root").alias("body"), *[F.ceil(x / BLOCK).cast("int").alias(name) for name, x in (("bodies", F.col("body.n")), ("rests", F.col("n") - F.col("body.n")))])
+    sized = members.join(sizes, "key")
+    in_body = F.col("root") == F.col("body")
+    own = F.pmod(F.xxhash64("fp"), F.when(in_body, F.col("bodies")).otherwise(F.col("rests"))).cast("int")
+    placed = sized.select("key", "fp", "root", in_body.alias("in_body"), own.alias("own"), "bodies", "rests")
+    # blocks of a key's body have negative numbers
+    body = placed.where("in_body").select("key", "fp", "root", (-1 - F.col("own")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("j"))
+    others = F.sequence(-F.col("bodies"), F.col("rests") - 1)
+    rest = placed.where("not in_body").select("key", "fp", "root", "own", F.explode(others).alias("other"))
+    rest = rest.select("key", "fp", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def forest(tile: pd.DataFrame) -> pd.DataFrame:
+        fps, roots, x = tile["fp"].to_numpy(), tile["root"].to_numpy(), _wide(tile["bits"])
+        near = []
+        for at in range(0, len(x), 256):
+            apart = np.zeros((len(x[at : at + 256]), len(x)), np.uint16)
+            for k in range(WIDE):
+                apart += np.bitwise_count(x[at : at + 256, k, None] ^ x[None, :, k])
+            i, j = np.nonzero((apart <= most) & (roots[at : at + 256, None] != roots[None, :]))
+            # of a row's links one to each root is enough
+            found = pd.DataFrame({"i": i + at, "j": j, "root": roots[j]}).drop_duplicates(["i", "root"])
+            near.append(pd.DataFrame({"a": fps[found["i"]], "b": fps[found["j"]], "r": roots[found["i"]], "q": found["root"].to_numpy()}))
+        every = pd.concat(near)
+        return every[every["a"] < every["b"]].drop_duplicates(["r", "q"])[["a", "b"]] if len(every) else pd.DataFrame({"a": fps[:0], "b": fps[:0]})
+
+    tiled = body.union(rest).join(known, "fp")
+    return tiled.groupBy("key", "i", "j").applyInPandas(forest, "a long, b long").distinct()
 
 
 def _rooted_wide(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:

@@ -147,6 +147,42 @@ def test_near_copies_leave_one_and_others_stay(spark):
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == list(range(12))
 
 
+def wide_frame(spark, rows):
+    return spark.createDataFrame([(fp, bits.tobytes(), keys) for fp, bits, keys in rows], "fp long, bits binary, keys array<long>")
+
+
+def test_wide_links_past_a_stranger(spark):
+    rng = np.random.default_rng(1)
+    stranger, b = rng.integers(0, 1 << 63, (2, simhash.WIDE), np.uint64)
+    c = b.copy()
+    c[5] ^= np.uint64(0xFF)
+    df = wide_frame(spark, [(1, stranger, [7]), (2, b, [7]), (3, c, [7, 8])])
+    assert {(r["a"], r["b"]) for r in simhash.wide_links(df, 0.8).collect()} == {(2, 3)}
+
+
+@pytest.mark.parametrize("hot,block", [(64, 2048), (3, 4), (3, 2048)])
+def test_wide_links_of_crowded_bands(spark, monkeypatch, hot, block):
+    monkeypatch.setattr(simhash, "HOT_WIDE", hot)
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, (12, simhash.WIDE), np.uint64)
+    rows = []
+    for fp in rng.permutation(50).tolist():
+        bits = base[fp % 12].copy()
+        for at in rng.integers(0, simhash.WIDE * 64, 60 + 5 * (fp % 12)):
+            bits[at // 64] ^= np.uint64(1) << np.uint64(at % 64)
+        rows.append((fp, bits, sorted({int(k) for k in rng.integers(0, 4, 2)})))
+    most, label = simhash.most_bits(0.8), {fp: fp for fp, _, _ in rows}
+    for a, x, k in rows:
+        for b, y, m in rows:
+            if set(k) & set(m) and np.bitwise_count(x ^ y).sum() <= most and label[a] != label[b]:
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = {fp: new if r == old else r for fp, r in label.items()}
+    got = components.connected_components(simhash.wide_links(wide_frame(spark, rows), 0.8)).collect()
+    assert 1 < len(set(label.values())) < len(rows)
+    assert {fp: fp for fp in label} | {r["node"]: r["root"] for r in got} == label
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (None, 3)]
     got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
