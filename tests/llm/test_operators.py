@@ -420,3 +420,24 @@ def test_embedding_links(spark):
             assert (r["n_links"], r["component_id"], r["kept"]) == (0, r["vec_id"], True)
         assert r["kept"] == (r["vec_id"] == r["component_id"])
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("exact,block", [(8192, 4096), (8192, 40), (0, 64)])
+def test_isolated_embedding_links_beside_a_large_cluster(spark, monkeypatch, exact, block):
+    """Links of a hot cluster must not hide that isolated pairs are missed: with poor starts and no rounds the rest is compared exactly."""
+    for name, value in (("EXACT", exact), ("EXACT_BLOCK", block), ("TABLES", 1), ("BLOCK", 4), ("ROUNDS", 1), ("PASSES", 1)):
+        monkeypatch.setattr(embeddings, name, value, raising=False)
+    rng = np.random.default_rng(5)
+    hot, pairs = rng.normal(size=32), rng.normal(size=(150, 32))
+    vectors = [hot + rng.normal(size=32) * 0.05 for _ in range(60)] + [p + rng.normal(size=32) * 0.12 for p in pairs for _ in range(2)]
+    vectors.append(vectors[0])
+    v = np.array([x.astype(np.float32) for x in vectors])
+    unit = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.93
+    df = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(df).collect()}
+    assert {i: r["n_links"] for i, r in got.items()} == {i: int(near[i].sum()) - 1 for i in range(len(v))}
+    label = np.arange(len(v))
+    while (label != (label := np.where(near, label[None, :], len(v)).min(axis=1))).any():
+        pass
+    assert {i: r["component_id"] for i, r in got.items()} == dict(enumerate(label.tolist()))
