@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 
 COMMON = 0.002
 CHUNK_WORDS = 1 << 19
-#: Languages that have references at most, the most frequent ones.
-LANGUAGES = 200
 #: Guards: words from which on each distance is judged.
 LEAST_CLASS_WORDS = 50
 LEAST_WORD_WORDS = 200
@@ -169,7 +167,7 @@ def _summed(docs: DataFrame, keep: dict[str, set[bytes]] | None) -> DataFrame:
 def references(docs: DataFrame) -> References:
     """From docs(lang, text), over all rows with a language. What comes to the driver: at most 4 / (3 * COMMON) words a language."""
     first = _summed(docs, None).where("n > 0")
-    totals = first.where("word is null").orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang", F.col("n").alias("total"))
+    totals = first.where("word is null").select("lang", F.col("n").alias("total"))
     near = first.where("word is not null").join(totals, "lang").where(F.col("n") >= F.col("total") * (COMMON * 3 / 4)).select("lang", "word")
     keep: dict[str, set[bytes]] = {}
     for r in near.collect():
@@ -182,7 +180,6 @@ def references(docs: DataFrame) -> References:
             total.append(r)
         else:
             words.setdefault(r["lang"], {})[bytes(r["word"])] = r["n"]
-    total = sorted(total, key=lambda r: (-r["n"], r["lang"]))[:LANGUAGES]
     return References([(r["lang"], np.array([r[f"c{k}"] for k in range(SKIP)], float), words.get(r["lang"], {}), r["n"]) for r in sorted(total, key=lambda r: r["lang"])])
 
 

@@ -441,3 +441,9 @@ def test_isolated_embedding_links_beside_a_large_cluster(spark, monkeypatch, exa
     while (label != (label := np.where(near, label[None, :], len(v)).min(axis=1))).any():
         pass
     assert {i: r["component_id"] for i, r in got.items()} == dict(enumerate(label.tolist()))
+
+
+def test_every_language_has_a_reference(spark):
+    rows = [(i, f"word{i} other{i} third{i} " * (300 - i)) for i in range(210)]
+    df = frame(spark, rows, lang=F.concat(F.lit("l"), F.col("doc_id")))
+    assert set(quality.references(df.select("lang", "text")).langs) == {f"l{i}" for i in range(210)}
