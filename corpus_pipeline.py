@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photarium.llm import byte_bpe, langid, mixing, recompression, simhash
-from photarium.llm.common import store
+from photarium.llm.common import small_batches, store
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def byte_bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, token ids, and whether they decode to the text."""
-    coded = docs.select("doc_id", "source", byte_bpe.checked_of(F.col("text")).alias("c"))
+    coded = small_batches(docs).select("doc_id", "source", byte_bpe.checked_of(F.col("text")).alias("c"))
     return coded.select("doc_id", "source", "c.ids", F.size("c.ids").cast("long").alias("n_tokens"), "c.round_trip")
 
 

@@ -19,6 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from photarium.llm.common import small_batches
 from photarium.llm.known import Known
 
 #: Rank of no pair.
@@ -26,8 +27,8 @@ NONE = np.int32(2**31 - 1)
 #: Bytes of a piece above which a heap takes the place of the matrix: its row would be as wide as all of the piece.
 LONG_PIECE = 512
 #: Distinct chunks remembered in a task, and characters handled at once.
-CHUNKS = 1 << 18
-BATCH_CHARS = 1 << 21
+CHUNKS = 1 << 17
+BATCH_CHARS = 1 << 20
 
 #: Where white space follows white space it belongs together, and the text is not cut there.
 _BLANKS = re.compile(r"\s\s")
@@ -110,7 +111,7 @@ class Codec:
             else:
                 out[i] = np.zeros(0, np.int32)
         for width, own in by_width.items():
-            step = max(1, (1 << 20) // width)
+            step = max(1, (1 << 18) // width)
             for at in range(0, len(own), step):
                 part = own[at : at + step]
                 for i, ids in zip(part, self._matrix([pieces[i] for i in part], width)):
@@ -303,7 +304,7 @@ def encoding_digest(docs: DataFrame, path: str | None = None, pattern: str | Non
     Null and empty texts have no ids; a text's own special-token strings are ordinary text; pieces of any length are encoded whole; rows
     are independent, so repeated rows repeat and an empty table gives none; other columns are not read.
     """
-    own = docs.select("doc_id", digest_of(F.col("text"), path, pattern).alias("d"))
+    own = small_batches(docs).select("doc_id", digest_of(F.col("text"), path, pattern).alias("d"))
     return own.select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
 
 

@@ -35,6 +35,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of an Arrow batch of texts. A worker holds a batch several times over: as Arrow, as strings, as ids, and as results.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df itself. Its session sends texts to Python in batches of BATCH_BYTES from now on, unless it has a setting of its own."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_SETTING, "67108864b").rstrip("b") == "67108864":
+        conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
+
 _stored: list[str] = []
 
 

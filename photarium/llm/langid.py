@@ -15,6 +15,8 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from photarium.llm.common import small_batches
+
 #: Families of languages by ISO 639-1 code. A code that is not listed is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "is"),
@@ -185,7 +187,7 @@ def identify(docs: DataFrame) -> DataFrame:
     Null and letterless texts are `und` with score 0, an empty or unlabelled table teaches nothing and gives `und` throughout; equal
     texts get equal predictions; labels, sources and ids are never inputs of a prediction; other columns are not read.
     """
-    own = docs.select("doc_id", "text", "lang")
+    own = small_batches(docs).select("doc_id", "text", "lang")
     found = own.select("doc_id", predict_of(fit(own), F.col("text")).alias("p"))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
@@ -196,7 +198,7 @@ LEAST_SCORE = 0.2
 
 def language_filter(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """The rows of docs whose language is recognised with at least that confidence, lang set to the prediction; the others go."""
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), predict_of(fit(docs.select("doc_id", "text", "lang")), F.col("text")).alias("p"))
+    row = small_batches(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), predict_of(fit(docs.select("doc_id", "text", "lang")), F.col("text")).alias("p"))
     kept = row.where((F.col("p.lang") != UNDECIDED) & (F.col("p.score") >= least))
     return kept.select(*[(F.col("p.lang") if c == "lang" else F.col("row").getField(c)).alias(c) for c in docs.columns])
 

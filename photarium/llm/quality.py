@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from photarium.llm.common import small_batches
+
 COMMON = 0.002
 CHUNK_WORDS = 1 << 19
 #: Guards: words from which on each distance is judged.
@@ -207,7 +209,7 @@ def rules(docs: DataFrame, most_class: float = MOST_CLASS, most_word: float = MO
     the nearest reference like any other; without references only the base rule decides; equal texts get equal verdicts; an empty table
     gives no rows; other columns are not read.
     """
-    own = docs.select("doc_id", "text", "lang")
+    own = small_batches(docs).select("doc_id", "text", "lang")
     found = own.select("doc_id", features_of(F.col("text"), references(own)).alias("f")).select("doc_id", "f.*")
     failed = (F.col("n_words") < BASE_WORDS) | (100 * F.col("n_repeat_words") > BASE_REPEATED * F.col("n_words"))
     far = ((F.col("n_words") >= LEAST_CLASS_WORDS) & (F.col("class_distance") > most_class)) | ((F.col("n_words") >= LEAST_WORD_WORDS) & (F.col("word_distance") > most_word))

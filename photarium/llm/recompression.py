@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photarium.llm.common import drop, release, row_id, store
+from photarium.llm.common import drop, release, row_id, small_batches, store
 
 WINDOW = 35
 #: With more, too few windows of 35 words keep an interior at the top level (3: 0.10 rows a word, 5: 0.27).
@@ -268,7 +268,7 @@ def covered(n: int, spans, window: int = WINDOW) -> np.ndarray:
 
 def removals(docs: DataFrame, columns: list[Column], window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """The columns, with `text` and `spans` of each row's repeated windows (null: none)."""
-    own = docs.select(row_id("doc_id", "text").alias("rid"), "text")
+    own = small_batches(docs).select(row_id("doc_id", "text").alias("rid"), "text")
     found = repeated_windows(own, window, rounds)
     return docs.select(row_id("doc_id", "text").alias("rid"), F.col("text").alias("text"), *columns).join(found, "rid", "left")
 

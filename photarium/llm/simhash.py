@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from photarium.llm.common import cut, drop, row_id, store
+from photarium.llm.common import cut, drop, row_id, small_batches, store
 from photarium.llm.components import connected_components
 
 BITS = 64
@@ -264,7 +264,7 @@ def _rooted_wide(docs: DataFrame, shingle: int, similarity: float) -> tuple[Data
         keys = bands.reshape(len(texts), -1).astype(np.int64) | (np.arange(WIDE * BANDS, dtype=np.int64) << BAND)
         return pd.DataFrame({"bits": [x.tobytes() for x in words], "keys": list(keys)})
 
-    made = docs.select("doc_id", row_id("doc_id", "text").alias("rid"), of("text").alias("w"))
+    made = small_batches(docs).select("doc_id", row_id("doc_id", "text").alias("rid"), of("text").alias("w"))
     rows = store(made.select("doc_id", "rid", F.xxhash64("w.bits").alias("fp"), "w.bits", "w.keys"), "simhash-wide")
     wide = rows.groupBy("fp").agg(F.first("bits").alias("bits"), F.first("keys").alias("keys"))
     wide = store(wide, "simhash-wide-distinct")
@@ -279,7 +279,7 @@ def _rooted_wide(docs: DataFrame, shingle: int, similarity: float) -> tuple[Data
 
 def _rooted(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
     """Stored (doc_id, rid, fp) of every row, and (fp, root) of every distinct fingerprint: root is the same within a component."""
-    rows = store(docs.select("doc_id", row_id("doc_id", "text").alias("rid"), fingerprint_of(F.col("text"), shingle).alias("fp")), "simhash")
+    rows = store(small_batches(docs).select("doc_id", row_id("doc_id", "text").alias("rid"), fingerprint_of(F.col("text"), shingle).alias("fp")), "simhash")
     fps = cut(rows.select("fp").distinct())
     roots = cut(connected_components(link(fps)))
     return rows, fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photarium.llm.byte_bpe import codec, default_vocabulary
+from photarium.llm.common import small_batches
 
 OUTSIDE = -1
 COUNTS = "section array<int>, start array<int>, stop array<int>, n_tokens array<long>"
@@ -100,7 +101,7 @@ def token_counts(docs: DataFrame, sections: Column | None = None) -> DataFrame:
     Null texts have no rows, empty texts none either; a section without tokens has 0; repeated rows repeat; an empty table gives no rows;
     columns that no section is made of are not read.
     """
-    found = docs.select("doc_id", counts_of(F.col("text"), sections).alias("c"))
+    found = small_batches(docs).select("doc_id", counts_of(F.col("text"), sections).alias("c"))
     each = found.select("doc_id", F.explode(F.arrays_zip("c.section", "c.start", "c.stop", "c.n_tokens")).alias("s"))
     inside = F.col("s.section") != OUTSIDE
     return each.select("doc_id", "s.section", F.when(inside, F.col("s.start")).alias("start"), F.when(inside, F.col("s.stop")).alias("stop"), "s.n_tokens")

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from photarium.llm.common import scratch
+from photarium.llm.common import scratch, small_batches
 from photarium.llm.known import Known
 
 END = 2
@@ -325,7 +325,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end:
         if names:
             yield flush()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = small_batches(docs).select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     # the id travels as text where it may be null, since pandas would turn it into a float
     ordered = ordered.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     ordered.mapInPandas(segments, SCHEMA).write.option("compression", "none").parquet(path)
