@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from photarium.llm.common import cut, drop, row_id, small_batches, store
+from photarium.llm.common import cut, drop, release, row_ids, small_batches, store
 from photarium.llm.components import connected_components
 
 BITS = 64
@@ -132,14 +132,17 @@ def _tiles(members: DataFrame) -> DataFrame:
 
 # near copies at a given similarity
 
-#: Words of 64 bits in a wide fingerprint, bits of a band, bands in a word.
+#: Words of 64 bits in a wide fingerprint, which are the segments of its ring; bits of a band, bands in a word.
 WIDE = 24
 BAND = 20
 BANDS = 3
-#: Words of a wide fingerprint that go with a key. Members of a band above which its blocks are compared instead of joined.
-SKETCH = 2
+#: Segments of a chain behind a band that must keep to their budgets before all bits are compared.
+CHAIN = 2
+#: Members of a band above which its blocks are compared instead of joined.
 HOT_WIDE = 64
 
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).copy().view(np.uint64).ravel()
+
 
 def wide_fingerprint(text: str | None, shingle: int) -> np.ndarray:
     """WIDE words: majority bits of as many independent mixes of the shingles' XXH64; zero without words."""
@@ -151,76 +154,114 @@ def wide_fingerprint(text: str | None, shingle: int) -> np.ndarray:
     hashes = np.frombuffer(b"".join([xxhash.xxh64_digest(x, SEED) for x in joined]), ">u8").astype(np.uint64)
     counts = np.zeros(WIDE * BITS, np.int64)
     turn = (np.arange(WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    for at in range(0, len(hashes), 2048):
-        x = hashes[at : at + 2048, None] * turn
+    for at in range(0, len(hashes), 255):  # eight counters of a byte each in a word
+        x = hashes[at : at + 255, None] * turn
         x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         x ^= x >> np.uint64(29)
-        counts += np.unpackbits(x.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+        counts += _LANES[x.view(np.uint8)].sum(axis=0, dtype=np.uint64).view(np.uint8)
     return np.packbits(2 * counts > len(hashes)).view(np.uint64)
 
 
+def _share(similarity: float) -> float:
+    """Share of bits that differ between fingerprints of shingle sets of that Jaccard similarity, on average."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def budget(similarity: float, segments: int, deviations: float) -> int:
+    """Bits in which so many segments may differ: their share of the whole, and standard deviations above it."""
+    bits, p = segments * BITS, _share(similarity)
+    return int(bits * p + deviations * np.sqrt(bits * p * (1 - p)))
+
+
 def most_bits(similarity: float) -> int:
-    """Differing bits of two wide fingerprints whose shingle sets have that Jaccard similarity, and two standard deviations."""
-    angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    bits = WIDE * BITS
-    return int(bits * angle + 2 * np.sqrt(bits * angle * (1 - angle)))
+    """Differing bits of two wide fingerprints of that similarity, and two standard deviations."""
+    return budget(similarity, WIDE, 2)
 
 
-def most_sketch(similarity: float) -> int:
-    """Differing bits of the first SKETCH words at that similarity, and seven standard deviations: what lies beyond is no near copy."""
-    angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    bits = SKETCH * BITS
-    return int(bits * angle + 7 * np.sqrt(bits * angle * (1 - angle)))
+def chain_budgets(similarity: float) -> list[int]:
+    """Differing bits of the first, the first two, ... segments of a chain, and four standard deviations each."""
+    return [budget(similarity, k + 1, 4) for k in range(CHAIN)]
 
 
-def _wide(bits) -> np.ndarray:
-    return np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), WIDE)
+def _wide(words) -> np.ndarray:
+    return np.array(list(words), np.int64).reshape(len(words), WIDE).view(np.uint64)
 
 
-def wide_links(wide: DataFrame, similarity: float) -> DataFrame:
-    """Edges (a, b) of wide(fp, bits, keys), whose components are those of all pairs that share a band and are within the bits of that
-    similarity.
-
-    At a similarity of 0.8 a seventh of all bits differ, more than any chain of segments could be asked to share, so pigeonring has
-    nothing to prune by here and bands take its place: a pair shares one of the 72 bands with a probability of 0.94 at 0.8, 0.99 at 0.85.
-    A band also holds strangers, more of them in a larger corpus; so all its members are compared, first by a sketch of 128 bits that goes
-    with the key, and what it leaves by all bits. Bands of more than HOT_WIDE members are linked through their smallest member first; then
-    only members that are not connected yet are compared, block against block.
-    """
-    most, most_of_sketch = most_bits(similarity), most_sketch(similarity)
+def _banded(wide: DataFrame) -> DataFrame:
+    """(fp, key, c0, c1, ...): each band of each word, with the words behind it on the ring."""
+    each = wide.select("fp", "words", F.explode(F.sequence(F.lit(0), F.lit(WIDE * BANDS - 1))).alias("k"))
+    word = lambda step: F.get("words", ((F.col("k") / BANDS).cast("int") + step) % WIDE)
+    bits = F.expr(f"shiftrightunsigned(words[int(k / {BANDS})], (k % {BANDS}) * {BAND})").bitwiseAND(F.lit((1 << BAND) - 1).cast("long"))
+    return each.select("fp", F.shiftleft(F.col("k").cast("long"), BAND).bitwiseOR(bits).alias("key"), *[word(j + 1).alias(f"c{j}") for j in range(CHAIN)])
 
-    @F.pandas_udf("boolean")
-    def near(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(np.bitwise_count(_wide(a) ^ _wide(b)).sum(axis=1) <= most)
 
-    @F.pandas_udf("s long, t long")
-    def sketch(bits: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(_wide(bits)[:, :SKETCH].view(np.int64), columns=["s", "t"])
+def _chain_keeps(similarity: float, a: str, b: str) -> Column:
+    """Whether the words a.c0, a.c1, ... and b.c0, b.c1, ... differ within the budget of every prefix."""
+    total, keeps = None, None
+    for j, most in enumerate(chain_budgets(similarity)):
+        apart = F.expr(f"bit_count({a}.c{j} ^ {b}.c{j})")
+        total = apart if total is None else total + apart
+        keeps = total <= most if keeps is None else keeps & (total <= most)
+    return keeps
 
-    keys = wide.select("fp", F.explode("keys").alias("key"))
-    hot = cut(keys.groupBy("key").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where(F.col("n") > HOT_WIDE))
-    some_hot = hot.limit(1).count() > 0
-    usual = wide.select("fp", sketch("bits").alias("k"), "keys").select("fp", "k.s", "k.t", F.explode("keys").alias("key"))
-    if some_hot:
-        usual = usual.join(hot, "key", "left_anti")
-    other = usual.select("key", F.col("fp").alias("b"), F.col("s").alias("s_b"), F.col("t").alias("t_b"))
-    apart = F.expr("bit_count(s ^ s_b) + bit_count(t ^ t_b)")
-    pairs = usual.join(other, "key").where((F.col("fp") < F.col("b")) & (apart <= most_of_sketch)).select(F.col("fp").alias("a"), "b")
-    members = keys.join(hot.select("key", "a"), "key") if some_hot else None
-    if some_hot:
-        pairs = pairs.union(members.select("a", F.col("fp").alias("b")).where("a != b"))
-    known = wide.select("fp", "bits")
-    both = pairs.distinct().join(known.select(F.col("fp").alias("a"), F.col("bits").alias("x")), "a").join(known.select(F.col("fp").alias("b"), F.col("bits").alias("y")), "b")
-    edges = both.where(near("x", "y")).select("a", "b")
-    if not some_hot:
-        return edges
-    roots = cut(connected_components(edges))
-    rooted = members.select("key", "fp").join(roots, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
-    return roots.select(F.col("root").alias("a"), F.col("node").alias("b")).where("a != b").union(_wide_tiles(cut(rooted), known, most))
+
+def _within(pairs: DataFrame, known: DataFrame, most: int) -> DataFrame:
+    """Those of the distinct pairs (a, b) whose fingerprints, known(fp, words), differ in at most that many bits."""
+    sides = [known.select(F.col("fp").alias(name), F.col("words").alias(f"_{name}")) for name in ("a", "b")]
+    both = pairs.distinct().join(sides[0], "a").join(sides[1], "b")
+    apart = F.aggregate(F.zip_with("_a", "_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    return both.where(apart <= most).select("a", "b")
+
+
+def _sparse(edges: DataFrame) -> DataFrame:
+    """Edges (a, b), of which a comes from few, with the same components: b is linked to its smallest a, and that to b's other ones."""
+    stars = edges.groupBy("b").agg(F.min("a").alias("m"), F.collect_set("a").alias("others"))
+    own = stars.select(F.col("m").alias("a"), "b")
+    return own.union(stars.select("m", F.explode("others").alias("b")).where("m != b").distinct())
+
+
+def wide_links(wide: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) of wide(fp, words), whose components are those of all pairs that share a band, keep to the chain's budgets behind it
+    and are within the bits of that similarity.
+
+    At a similarity of 0.8 a seventh of all bits differ, so no segment of a useful width is sure to be equal, as pigeonring would have it.
+    Bands stand in for the chain's first segment: a pair shares one of the 72 with a probability of 0.94 at 0.8, 0.99 at 0.85. From the
+    band on, the cumulative differences of the following segments must stay within their budgets; that leaves hardly any of the
+    strangers that a band also holds, and then all bits are compared.
+
+    All members of a band are compared, but not in one step, or copies would make pairs by the square of their number. First each member
+    meets the smallest of its band, which connects copies; a member has at most one such partner a band. Then members meet that are not
+    connected yet, in bands of more than HOT_WIDE members block against block.
+    """
+    most, known = most_bits(similarity), wide.select("fp", "words")
+    banded = _banded(wide)
+    least = banded.groupBy("key").agg(F.min("fp").alias("least"), F.count("*").alias("n")).where("n > 1")
+    members = store(banded.join(least, "key"), "simhash-bands")
+    release(wide.sparkSession)
+    first = members.where("fp = least").alias("x").join(members.where("fp != least").alias("y"), "key")
+    pairs = first.where(_chain_keeps(similarity, "x", "y")).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    roots = cut(connected_components(_sparse(_within(pairs, known, most))))
+    release(wide.sparkSession)
+    own = F.coalesce("root", "fp").alias("root")
+    rooted = members.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "n", own, *[f"c{j}" for j in range(CHAIN)])
+    split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
+    open_ = store(rooted.join(split, "key"), "simhash-open")
+    drop(members)
+    release(wide.sparkSession)
+    usual = open_.where(F.col("n") <= HOT_WIDE)
+    met = usual.alias("x").join(usual.alias("y"), "key").where((F.col("x.root") < F.col("y.root")) & _chain_keeps(similarity, "x", "y"))
+    late = _within(met.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")), known, most)
+    edges = roots.select(F.col("root").alias("a"), F.col("node").alias("b")).where("a != b").union(late)
+    hot = open_.where(F.col("n") > HOT_WIDE)
+    if hot.limit(1).count():
+        edges = edges.union(_wide_tiles(hot.select("key", "fp", "root"), known, most))
+    edges = cut(edges)
+    drop(open_)
+    return edges
 
 
 def _wide_tiles(members: DataFrame, known: DataFrame, most: int) -> DataFrame:
-    """members(key, fp, root), known(fp, bits): edges between members of a key with different roots.
+    """members(key, fp, root), known(fp, words): edges between members of a key with different roots.
 
     Members with a key's most common root, its body, need not meet each other: their blocks meet those of the rest, and the rest meets itself.
     """
@@ -238,7 +279,7 @@ def _wide_tiles(members: DataFrame, known: DataFrame, most: int) -> DataFrame:
     rest = rest.select("key", "fp", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def forest(tile: pd.DataFrame) -> pd.DataFrame:
-        fps, roots, x = tile["fp"].to_numpy(), tile["root"].to_numpy(), _wide(tile["bits"])
+        fps, roots, x = tile["fp"].to_numpy(), tile["root"].to_numpy(), _wide(tile["words"])
         near = []
         for at in range(0, len(x), 256):
             apart = np.zeros((len(x[at : at + 256]), len(x)), np.uint16)
@@ -256,30 +297,25 @@ def _wide_tiles(members: DataFrame, known: DataFrame, most: int) -> DataFrame:
 
 
 def _rooted_wide(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    @F.pandas_udf("bits binary, keys array<long>")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        words = np.array([wide_fingerprint(x, shingle) for x in texts]).reshape(len(texts), WIDE)
-        shifts = np.arange(BANDS, dtype=np.uint64) * np.uint64(BAND)
-        bands = (words[:, :, None] >> shifts) & np.uint64((1 << BAND) - 1)
-        keys = bands.reshape(len(texts), -1).astype(np.int64) | (np.arange(WIDE * BANDS, dtype=np.int64) << BAND)
-        return pd.DataFrame({"bits": [x.tobytes() for x in words], "keys": list(keys)})
-
-    made = small_batches(docs).select("doc_id", row_id("doc_id", "text").alias("rid"), of("text").alias("w"))
-    rows = store(made.select("doc_id", "rid", F.xxhash64("w.bits").alias("fp"), "w.bits", "w.keys"), "simhash-wide")
-    wide = rows.groupBy("fp").agg(F.first("bits").alias("bits"), F.first("keys").alias("keys"))
-    wide = store(wide, "simhash-wide-distinct")
+    @F.pandas_udf("array<long>")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([wide_fingerprint(x, shingle).view(np.int64) for x in texts], dtype=object)
+
+    made = small_batches(docs).select("doc_id", *row_ids(), of("text").alias("words"))
+    rows = store(made.withColumn("fp", F.xxhash64("words")), "simhash-wide")
+    wide = store(rows.groupBy("fp").agg(F.first("words").alias("words")), "simhash-wide-distinct")
     roots = cut(connected_components(wide_links(wide, similarity)))
+    fps = cut(wide.select("fp").join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root")))
     drop(wide)
-    fps = rows.select("fp").distinct()
-    return rows.select("doc_id", "rid", "fp"), fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return rows.select("doc_id", "rid", "rid2", "fp"), fps
 
 
 # operators
 
 
 def _rooted(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """Stored (doc_id, rid, fp) of every row, and (fp, root) of every distinct fingerprint: root is the same within a component."""
-    rows = store(small_batches(docs).select("doc_id", row_id("doc_id", "text").alias("rid"), fingerprint_of(F.col("text"), shingle).alias("fp")), "simhash")
+    """Stored (doc_id, rid, rid2, fp) of every row, and (fp, root) of every distinct fingerprint: root is the same within a component."""
+    rows = store(small_batches(docs).select("doc_id", *row_ids(), fingerprint_of(F.col("text"), shingle).alias("fp")), "simhash")
     fps = cut(rows.select("fp").distinct())
     roots = cut(connected_components(link(fps)))
     return rows, fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
@@ -306,11 +342,11 @@ def dedup(docs: DataFrame, shingle: int = 5, similarity: float | None = 0.8) ->
     kept, whatever their names.
     """
     rows, rooted = _rooted_wide(docs, shingle, similarity) if similarity is not None else _rooted(docs, shingle)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "rid2"))
     by_fp = rows.groupBy("fp").agg(first.alias("first")).join(rooted, "fp")
-    keep = by_fp.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("_rid"))
-    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_id("doc_id", "text").alias("_rid")).join(keep, "_rid", "left_semi")
-    one = kept.withColumn("_n", F.row_number().over(Window.partitionBy("_rid").orderBy("_rid"))).where("_n = 1")
+    keep = by_fp.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("rid"), F.col("first.rid2").alias("rid2"))
+    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_ids()).join(keep, ["rid", "rid2"], "left_semi")
+    one = kept.withColumn("_n", F.row_number().over(Window.partitionBy("rid", "rid2").orderBy("rid"))).where("_n = 1")
     return one.select("row.*")
 
 

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from photarium.llm import byte_bpe, components, embeddings, langid, mixing, quality, queries, recompression, simhash, tokencounts, tokenfile, urlfilter
@@ -148,41 +149,73 @@ def test_near_copies_leave_one_and_others_stay(spark):
 
 
 def wide_frame(spark, rows):
-    return spark.createDataFrame([(fp, bits.tobytes(), keys) for fp, bits, keys in rows], "fp long, bits binary, keys array<long>")
+    return spark.createDataFrame([(fp, words.view(np.int64).tolist()) for fp, words in rows], "fp long, words array<long>")
+
+
+def bands_of(words):
+    return {(k, b, int(w) >> simhash.BAND * b & (1 << simhash.BAND) - 1) for k, w in enumerate(words) for b in range(simhash.BANDS)}
 
 
 def test_wide_links_past_a_stranger(spark):
     rng = np.random.default_rng(1)
     stranger, b = rng.integers(0, 1 << 63, (2, simhash.WIDE), np.uint64)
-    c = b.copy()
+    c = b ^ (np.uint64(1) << np.uint64(3))  # all but the first bands of each word in common
     c[5] ^= np.uint64(0xFF)
-    df = wide_frame(spark, [(1, stranger, [7]), (2, b, [7]), (3, c, [7, 8])])
+    band = np.uint64((1 << simhash.BAND) - 1) << np.uint64(simhash.BAND)
+    stranger[2] = stranger[2] & ~band | b[2] & band
+    df = wide_frame(spark, [(1, stranger), (2, b), (3, c)])
     assert {(r["a"], r["b"]) for r in simhash.wide_links(df, 0.8).collect()} == {(2, 3)}
 
 
 @pytest.mark.parametrize("hot,block", [(64, 2048), (3, 4), (3, 2048)])
 def test_wide_links_of_crowded_bands(spark, monkeypatch, hot, block):
+    """Bases share bands with each other as strangers do; copies of a base drift apart until only chains of copies connect them."""
     monkeypatch.setattr(simhash, "HOT_WIDE", hot)
     monkeypatch.setattr(simhash, "BLOCK", block)
     rng = np.random.default_rng(2)
-    base = rng.integers(0, 1 << 63, (12, simhash.WIDE), np.uint64)
+    base = rng.integers(0, 1 << 63, (6, simhash.WIDE), np.uint64)
+    base[:, :3] = base[0, :3]
     rows = []
-    for fp in rng.permutation(50).tolist():
-        bits = base[fp % 12].copy()
-        for at in rng.integers(0, simhash.WIDE * 64, 60 + 5 * (fp % 12)):
-            bits[at // 64] ^= np.uint64(1) << np.uint64(at % 64)
-        rows.append((fp, bits, sorted({int(k) for k in rng.integers(0, 4, 2)})))
-    most, label = simhash.most_bits(0.8), {fp: fp for fp, _, _ in rows}
-    for a, x, k in rows:
-        for b, y, m in rows:
-            if set(k) & set(m) and np.bitwise_count(x ^ y).sum() <= most and label[a] != label[b]:
+    for fp in rng.permutation(60).tolist():
+        words = base[fp % 6].copy()
+        for at in rng.integers(3 * 64, simhash.WIDE * 64, 110 + 12 * (fp % 6)):
+            words[at // 64] ^= np.uint64(1) << np.uint64(at % 64)
+        rows.append((fp, words))
+    most, label = simhash.most_bits(0.8), {fp: fp for fp, _ in rows}
+    budgets = simhash.chain_budgets(0.8)
+
+    def chained(x, y):
+        apart = np.bitwise_count(x ^ y)
+        return any(all(sum(int(apart[(k + 1 + j) % simhash.WIDE]) for j in range(n + 1)) <= most for n, most in enumerate(budgets)) for k, _, _ in bands_of(x) & bands_of(y))
+
+    for a, x in rows:
+        for b, y in rows:
+            if np.bitwise_count(x ^ y).sum() <= most and chained(x, y) and label[a] != label[b]:
                 old, new = max(label[a], label[b]), min(label[a], label[b])
                 label = {fp: new if r == old else r for fp, r in label.items()}
     got = components.connected_components(simhash.wide_links(wide_frame(spark, rows), 0.8)).collect()
-    assert 1 < len(set(label.values())) < len(rows)
+    assert 6 <= len(set(label.values())) < len(rows) / 2
     assert {fp: fp for fp in label} | {r["node"]: r["root"] for r in got} == label
 
 
+def test_wide_fingerprint_is_the_majority(spark):
+    for text in ("", "one", "Six words that stand for all", " ".join(str(k) for k in range(2000))):
+        words = text.lower().encode().split()
+        shingles = [b" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))] if words else []
+        want = [0] * simhash.WIDE
+        for k in range(simhash.WIDE):
+            counts = [0] * 64
+            for s in shingles:
+                x = xxhash.xxh64_intdigest(s, simhash.SEED) * ((2 * k + 1) * 0x9E3779B97F4A7C15 % 2**64) % 2**64
+                x = (x ^ x >> 31) * 0xBF58476D1CE4E5B9 % 2**64
+                x ^= x >> 29
+                for bit in range(64):
+                    counts[bit] += x >> bit & 1
+            want[k] = sum(1 << bit for bit in range(64) if 2 * counts[bit] > len(shingles))
+        bits = np.unpackbits(np.array(want, np.uint64).view(np.uint8))
+        assert (np.unpackbits(simhash.wide_fingerprint(text, 5).view(np.uint8)) == bits).all()
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (None, 3)]
     got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
