@@ -11,6 +11,7 @@ import base64
 import hashlib
 import heapq
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -19,15 +20,15 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photarium.llm.common import small_batches
+from photarium.llm.common import small_batches, tidied
 from photarium.llm.known import Known
 
 #: Rank of no pair.
 NONE = np.int32(2**31 - 1)
 #: Bytes of a piece above which a heap takes the place of the matrix: its row would be as wide as all of the piece.
 LONG_PIECE = 512
-#: Distinct chunks remembered in a task, and characters handled at once.
-CHUNKS = 1 << 17
+#: Distinct chunks remembered in a task and between tasks, and characters handled at once.
+CHUNKS, CHUNKS_IDLE = 1 << 18, 1 << 15
 BATCH_CHARS = 1 << 20
 
 #: Where white space follows white space it belongs together, and the text is not cut there.
@@ -90,6 +91,8 @@ class Codec:
         with open(path, "rb") as file:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
+        #: Bytes of each id.
+        self.length = np.array([len(self.bytes_of.get(k, b"")) for k in range(max(self.bytes_of, default=-1) + 1)], np.int64)
         self.single = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         pairs = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         self.table = PairTable(*(np.array(x, np.int32) for x in zip(*pairs))) if pairs else PairTable(*[np.zeros(0, np.int32)] * 3)
@@ -233,6 +236,18 @@ class Codec:
                 out.append(np.zeros(0, np.int32))
         return out
 
+    def each(self, batches: Iterator[pd.Series], result) -> Iterator:
+        """result(texts, their ids) of every batch of a task."""
+
+        def results():
+            for texts in batches:
+                own = texts.tolist()
+                yield result(own, self.encode(own))
+            for memory in (self.chunks, self.pieces):
+                memory.trim(CHUNKS_IDLE)
+
+        return tidied(results())
+
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
 
@@ -254,8 +269,8 @@ def encode_of(text: Column, path: str | None = None, pattern: str | None = None)
     path, pattern = (path, pattern) if path else default_vocabulary()
 
     @F.pandas_udf("array<int>")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(codec(path, pattern).encode(texts.tolist()))
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return codec(path, pattern).each(batches, lambda texts, ids: pd.Series(ids, dtype=object))
 
     return of(text)
 
@@ -276,11 +291,13 @@ def checked_of(text: Column, path: str | None = None, pattern: str | None = None
     path, pattern = (path, pattern) if path else default_vocabulary()
 
     @F.pandas_udf("ids array<int>, round_trip boolean")
-    def of(texts: pd.Series) -> pd.DataFrame:
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = codec(path, pattern)
-        ids = own.encode(texts.tolist())
-        same = [own.decode(x) == (t or "").encode("utf-8", "surrogatepass") for x, t in zip(ids, texts)]
-        return pd.DataFrame({"ids": ids, "round_trip": same})
+
+        def checked(texts: list[str | None], ids: list[np.ndarray]) -> pd.DataFrame:
+            return pd.DataFrame({"ids": ids, "round_trip": [own.decode(x) == (t or "").encode("utf-8", "surrogatepass") for x, t in zip(ids, texts)]})
+
+        return own.each(batches, checked)
 
     return of(text)
 
@@ -290,10 +307,14 @@ def digest_of(text: Column, path: str | None = None, pattern: str | None = None)
     path, pattern = (path, pattern) if path else default_vocabulary()
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def of(texts: pd.Series) -> pd.DataFrame:
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = codec(path, pattern)
-        rows = [(len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()) for ids in own.encode(texts.tolist())]
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+        def digests(texts: list[str | None], every: list[np.ndarray]) -> pd.DataFrame:
+            rows = [(len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()) for ids in every]
+            return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+        return own.each(batches, digests)
 
     return of(text)
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +51,18 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def tidied(results: Iterator) -> Iterator:
+    """The results, and after them the worker's free memory goes back to the system: workers outlive their tasks, idle ones too."""
+    try:
+        yield from results
+    finally:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not glibc
+            pass
+
+
 _stored: list[str] = []
 
 

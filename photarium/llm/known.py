@@ -40,9 +40,11 @@ class Known:
         ends = np.cumsum(size)
         return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[place] - ends + size, size)], size
 
-    def trim(self) -> None:
-        if len(self.at) > self.most:
-            least = int(np.partition(self.met, len(self.met) - self.most // 2)[len(self.met) - self.most // 2]) + 1
+    def trim(self, most: int | None = None) -> None:
+        """Beyond that many keys, half of them stay."""
+        most = most or self.most
+        if len(self.at) > most:
+            least = int(np.partition(self.met, len(self.met) - most // 2)[len(self.met) - most // 2]) + 1
             kept = [(k, i) for k, i in self.at.items() if self.met[i] >= least]
             place = np.array([i for _, i in kept], np.int64)
             (flat, size), met = self.ids(place), self.met[place]

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import compress
+from itertools import compress, repeat
 
 import numpy as np
 import pandas as pd
@@ -29,15 +29,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photarium.llm.common import drop, release, row_id, small_batches, store
+from photarium.llm.common import drop, release, row_id, small_batches, store, tidied
 
 WINDOW = 35
 #: With more, too few windows of 35 words keep an interior at the top level (3: 0.10 rows a word, 5: 0.27).
 ROUNDS = 3
 #: Words handled at once; longer documents are handled alone.
 BATCH_WORDS = 1 << 17
-#: Word names remembered in a task.
-NAMES = 1 << 19
 
 _U = np.uint64
 _K1, _K2, _K3 = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
@@ -48,17 +46,9 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-class Names(dict):
-    """Word to 64-bit name."""
-
-    def __missing__(self, word: bytes) -> int:
-        name = self[word] = xxhash.xxh64_intdigest(word, 7)
-        return name
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > NAMES:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def names_of(words: list[bytes]) -> np.ndarray:
+    """A 64-bit name of each word."""
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, words, repeat(7))), ">u8").astype(np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -183,7 +173,6 @@ def span_hash(names: np.ndarray, start: np.ndarray, end: np.ndarray, which: int
 
 
 def _scan(batches: Iterator[pd.DataFrame], window: int, rounds: int) -> Iterator[pd.DataFrame]:
-    known = Names()
     held: list[np.ndarray] = []
     rids: list[int] = []
     total = 0
@@ -196,7 +185,7 @@ def _scan(batches: Iterator[pd.DataFrame], window: int, rounds: int) -> Iterator
         for rid, text in zip(batch["rid"], batch["text"]):
             words = words_of(text)
             if len(words) >= window:
-                held.append(known.of(words))
+                held.append(names_of(words))
                 rids.append(rid)
                 total += len(words)
             if total >= BATCH_WORDS:
@@ -207,7 +196,6 @@ def _scan(batches: Iterator[pd.DataFrame], window: int, rounds: int) -> Iterator
 
 
 def _verify(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFrame]:
-    known = Names()
     out: list[tuple] = []
     total = 0
 
@@ -217,7 +205,7 @@ def _verify(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFra
 
     for batch in batches:
         for rid, text, spans in zip(batch["rid"], batch["text"], batch["spans"]):
-            names = known.of(words_of(text))
+            names = names_of(words_of(text))
             for single in (False, True):
                 own = np.unique([x["span"] for x in spans if x["single"] == single]).astype(np.int64)
                 lo, hi = own >> 32, own & 0xFFFFFFFF
@@ -235,7 +223,7 @@ def _verify(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFra
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """docs(rid, text) to (rid, spans): ranges of windows found more than once, first << 32 | last, for the texts that have any."""
-    names = store(docs.mapInPandas(lambda it: _scan(it, window, rounds), "name long, stretch long, rid long, span long"), "recompression-names")
+    names = store(docs.mapInPandas(lambda it: tidied(_scan(it, window, rounds)), "name long, stretch long, rid long, span long"), "recompression-names")
     shared = names.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
     # stored, so that both sides of the join are plain exchanges, which adaptive execution may split where a name is hot
     shared = store(shared, "recompression-repeated")
@@ -247,7 +235,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS
     whole = ranges.join(kinds.where("n > 1").select("name", "stretch"), ["name", "stretch"]).select("rid", "span")
     mixed = store(kinds.groupBy("name").agg(F.count("*").alias("kinds")).where("kinds > 1").select("name"), "recompression-mixed")
     ends = kinds.join(mixed, "name").groupBy("one.rid").agg(F.collect_list(F.struct("one.span", (F.col("n") == 1).alias("single"))).alias("spans"))
-    hashes = store(docs.join(ends, "rid").mapInPandas(lambda it: _verify(it, window), "h1 long, h2 long, rid long, span long, single boolean"), "recompression-ends")
+    hashes = store(docs.join(ends, "rid").mapInPandas(lambda it: tidied(_verify(it, window)), "h1 long, h2 long, rid long, span long, single boolean"), "recompression-ends")
     twice = store(hashes.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "recompression-twice")
     partly = hashes.where("single").join(twice, ["h1", "h2"]).select("rid", "span")
     found = store(whole.union(partly).groupBy("rid").agg(F.collect_set("span").alias("spans")), "recompression-found")

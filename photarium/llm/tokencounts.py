@@ -8,6 +8,8 @@ a document's sections add to its number of tokens.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,11 +66,10 @@ def counts_of(text: Column, sections: Column | None = None, path: str | None = N
     path, pattern = (path, pattern) if path else default_vocabulary()
     none = np.zeros(0, np.int64)
 
-    def counted(texts: list[str | None], spans) -> pd.DataFrame:
-        own = codec(path, pattern)
-        length = np.array([len(own.bytes_of.get(k, b"")) for k in range(max(own.bytes_of) + 1)], np.int64)
+    def counted(texts: list[str | None], every: list[np.ndarray], spans) -> pd.DataFrame:
+        length = codec(path, pattern).length
         out = []
-        for text, ids, span in zip(texts, own.encode(texts), spans):
+        for text, ids, span in zip(texts, every, spans):
             if text is None:
                 out.append((none, none, none, none))
                 continue
@@ -83,14 +84,15 @@ def counts_of(text: Column, sections: Column | None = None, path: str | None = N
     if sections is None:
 
         @F.pandas_udf(COUNTS)
-        def of_lines(texts: pd.Series) -> pd.DataFrame:
-            return counted(texts.tolist(), [None] * len(texts))
+        def of_lines(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            return codec(path, pattern).each(batches, lambda texts, ids: counted(texts, ids, [None] * len(texts)))
 
         return of_lines(text)
 
     @F.pandas_udf(COUNTS)
     def of(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        return counted(texts.tolist(), [[] if x is None else x for x in spans])
+        own = texts.tolist()
+        return counted(own, codec(path, pattern).encode(own), [[] if x is None else x for x in spans])
 
     return of(text, sections)
 

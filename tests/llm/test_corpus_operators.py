@@ -357,9 +357,9 @@ def test_repeated_windows(spark, vocabulary):
 @pytest.mark.parametrize("rounds", [0, 1, 3, 6])
 def test_equal_windows_share_their_representative(rounds):
     rng = random.Random(rounds)
-    known, named = recompression.Names(), {}
+    named = {}
     docs = [[str(rng.randrange(3)).encode() for _ in range(rng.randrange(12, 90))] for _ in range(40)]
-    name, _, owner, lo, hi = recompression.representatives([known.of(d) for d in docs], 12, rounds)
+    name, _, owner, lo, hi = recompression.representatives([recompression.names_of(d) for d in docs], 12, rounds)
     count = 0
     for n, o, a, b in zip(name, owner, lo, hi):
         for k in range(a, b + 1):
