@@ -12,8 +12,11 @@ cut into blocks, and pairs of blocks are compared by whole matrices, of which on
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -138,8 +141,8 @@ BAND = 20
 BANDS = 3
 #: Segments of a chain behind a band that must keep to their budgets before all bits are compared.
 CHAIN = 2
-#: Members of a band above which its blocks are compared instead of joined.
-HOT_WIDE = 64
+#: Members of a band up to which all are compared by their chains.
+HOT_WIDE = 1024
 
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).copy().view(np.uint64).ravel()
 
@@ -195,14 +198,39 @@ def _banded(wide: DataFrame) -> DataFrame:
     return each.select("fp", F.shiftleft(F.col("k").cast("long"), BAND).bitwiseOR(bits).alias("key"), *[word(j + 1).alias(f"c{j}") for j in range(CHAIN)])
 
 
-def _chain_keeps(similarity: float, a: str, b: str) -> Column:
-    """Whether the words a.c0, a.c1, ... and b.c0, b.c1, ... differ within the budget of every prefix."""
-    total, keeps = None, None
-    for j, most in enumerate(chain_budgets(similarity)):
-        apart = F.expr(f"bit_count({a}.c{j} ^ {b}.c{j})")
-        total = apart if total is None else total + apart
-        keeps = total <= most if keeps is None else keeps & (total <= most)
-    return keeps
+def _live(batches: Iterator[pa.RecordBatch], budgets: list[int], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, fp, c0, c1, ...) in order of key to (key, fp, least) of those with a partner under their key to which the chain leads:
+    the cumulative differences stay within every budget. least: the smallest of the partners and the row itself."""
+
+    def rows(own: dict[str, np.ndarray]) -> pa.RecordBatch:
+        key, fp = own["key"], own["fp"]
+        least, alive, at, step = fp.copy(), np.zeros(len(fp), bool), np.arange(len(fp)), 1
+        while True:
+            at = at[at + step < len(fp)]
+            at = at[key[at] == key[at + step]]
+            if not len(at):
+                break
+            i, total = at, 0
+            for c, most in zip(names, budgets):
+                total = total + np.bitwise_count(own[c][i] ^ own[c][i + step]).astype(np.int64)
+                keep = total <= most
+                i, total = i[keep], total[keep]
+            alive[i] = alive[i + step] = True
+            np.minimum.at(least, i, fp[i + step])
+            np.minimum.at(least, i + step, fp[i])
+            step += 1
+        return pa.RecordBatch.from_arrays([pa.array(x[alive]) for x in (key, fp, least)], names=["key", "fp", "least"])
+
+    held: dict[str, np.ndarray] | None = None
+    for batch in batches:
+        new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp", *names)}
+        held = new if held is None else {c: np.concatenate([held[c], x]) for c, x in new.items()}
+        if len(held["key"]):
+            whole = int(np.searchsorted(held["key"], held["key"][-1]))  # the last key may go on in the next batch
+            yield rows({c: x[:whole] for c, x in held.items()})
+            held = {c: x[whole:] for c, x in held.items()}
+    if held is not None:
+        yield rows(held)
 
 
 def _within(pairs: DataFrame, known: DataFrame, most: int) -> DataFrame:
@@ -220,46 +248,99 @@ def _sparse(edges: DataFrame) -> DataFrame:
     return own.union(stars.select("m", F.explode("others").alias("b")).where("m != b").distinct())
 
 
+def _compared(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows (clump, fp, words) in order of clump to edges (a, b): each member with the smallest one that links within the clump lead to."""
+
+    def edges(clump: np.ndarray, fp: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        at, step, pairs = np.arange(len(fp)), 1, []
+        while True:
+            at = at[at + step < len(fp)]
+            at = at[clump[at] == clump[at + step]]
+            if not len(at):
+                break
+            near = at[np.bitwise_count(x[at] ^ x[at + step]).sum(axis=1, dtype=np.int64) <= most]
+            pairs.append((near, near + step))
+            step += 1
+        i, j = (np.concatenate([np.zeros(0, np.int64), *v]) for v in zip(*pairs)) if pairs else (at, at)
+        order = np.argsort(fp, kind="stable")
+        place = np.empty(len(fp), np.int64)
+        place[order] = np.arange(len(fp))  # labels are places in the order of fp, so the smallest label is the smallest fp
+        i, j, label = place[i], place[j], np.arange(len(fp))
+        while True:
+            new = label.copy()
+            np.minimum.at(new, i, label[j])
+            np.minimum.at(new, j, label[i])
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        fp = fp[order]
+        moved = label != np.arange(len(fp))
+        return pa.RecordBatch.from_arrays([pa.array(fp[label[moved]]), pa.array(fp[moved])], names=["a", "b"])
+
+    clump, fp, x = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, WIDE), np.uint64)
+    for batch in batches:
+        if not len(batch):
+            continue
+        words = batch.column("words").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WIDE)
+        clump, fp = (np.concatenate([held, batch.column(c).to_numpy(zero_copy_only=False)]) for c, held in (("clump", clump), ("fp", fp)))
+        x = np.concatenate([x, words])
+        whole = int(np.searchsorted(clump, clump[-1]))  # the last clump may go on in the next batch
+        if whole >= BLOCK:
+            yield edges(clump[:whole], fp[:whole], x[:whole])
+            clump, fp, x = clump[whole:], fp[whole:], x[whole:]
+    if len(fp):
+        yield edges(clump, fp, x)
+
+
 def wide_links(wide: DataFrame, similarity: float) -> DataFrame:
     """Edges (a, b) of wide(fp, words), whose components are those of all pairs that share a band, keep to the chain's budgets behind it
-    and are within the bits of that similarity.
+    and are within the bits of that similarity, and of all other pairs within these bits that meet on the way.
 
     At a similarity of 0.8 a seventh of all bits differ, so no segment of a useful width is sure to be equal, as pigeonring would have it.
     Bands stand in for the chain's first segment: a pair shares one of the 72 with a probability of 0.94 at 0.8, 0.99 at 0.85. From the
     band on, the cumulative differences of the following segments must stay within their budgets; that leaves hardly any of the
-    strangers that a band also holds, and then all bits are compared.
+    strangers that a band also holds, more of them in a larger corpus.
 
-    All members of a band are compared, but not in one step, or copies would make pairs by the square of their number. First each member
-    meets the smallest of its band, which connects copies; a member has at most one such partner a band. Then members meet that are not
-    connected yet, in bands of more than HOT_WIDE members block against block.
+    What chains connect is a clump. All members of a clump are compared by all bits: together in clumps of up to BLOCK members; in larger
+    ones each member first meets the smallest one that its chains lead to, which connects copies, and then those that are not connected
+    meet block against block. Bands of more than HOT_WIDE members are not run through, but count as connected.
     """
     most, known = most_bits(similarity), wide.select("fp", "words")
-    banded = _banded(wide)
-    least = banded.groupBy("key").agg(F.min("fp").alias("least"), F.count("*").alias("n")).where("n > 1")
-    members = store(banded.join(least, "key"), "simhash-bands")
-    release(wide.sparkSession)
-    first = members.where("fp = least").alias("x").join(members.where("fp != least").alias("y"), "key")
-    pairs = first.where(_chain_keeps(similarity, "x", "y")).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
-    roots = cut(connected_components(_sparse(_within(pairs, known, most))))
-    release(wide.sparkSession)
-    own = F.coalesce("root", "fp").alias("root")
-    rooted = members.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "n", own, *[f"c{j}" for j in range(CHAIN)])
-    split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
-    open_ = store(rooted.join(split, "key"), "simhash-open")
-    drop(members)
+    banded, names, budgets = _banded(wide), [f"c{j}" for j in range(CHAIN)], chain_budgets(similarity)
+    hot = cut(banded.groupBy("key").agg(F.min("fp").alias("least"), F.count("*").alias("n")).where(F.col("n") > HOT_WIDE).select("key", "least"))
+    some_hot = hot.limit(1).count() > 0
+    usual = banded.join(hot, "key", "left_anti") if some_hot else banded
+    ordered = usual.repartition("key").sortWithinPartitions("key").select("key", "fp", *names)
+    found = ordered.mapInArrow(lambda it: _live(it, budgets, names), "key long, fp long, least long").select("least", "fp")
+    if some_hot:
+        found = found.union(banded.select("key", "fp").join(hot, "key").select("least", "fp"))
+    chained = store(found.where("least < fp").select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct(), "simhash-chains")
     release(wide.sparkSession)
-    usual = open_.where(F.col("n") <= HOT_WIDE)
-    met = usual.alias("x").join(usual.alias("y"), "key").where((F.col("x.root") < F.col("y.root")) & _chain_keeps(similarity, "x", "y"))
-    late = _within(met.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")), known, most)
-    edges = roots.select(F.col("root").alias("a"), F.col("node").alias("b")).where("a != b").union(late)
-    hot = open_.where(F.col("n") > HOT_WIDE)
-    if hot.limit(1).count():
-        edges = edges.union(_wide_tiles(hot.select("key", "fp", "root"), known, most))
+    clumps = cut(connected_components(_sparse(chained)))
+    sizes = clumps.groupBy("root").agg(F.count("*").alias("size"))
+    placed = cut(clumps.join(sizes, "root").select(F.col("root").alias("clump"), F.col("node").alias("fp"), "size"))
+    small = placed.where(F.col("size") <= BLOCK).join(known, "fp").select("clump", "fp", "words").repartition("clump").sortWithinPartitions("clump", "fp")
+    edges = small.mapInArrow(lambda it: _compared(it, most), "a long, b long")
+    large = placed.where(F.col("size") > BLOCK)
+    if large.limit(1).count():
+        pairs = chained.join(large.select(F.col("fp").alias("a"), "clump"), "a").select("a", "b")
+        roots = cut(connected_components(_sparse(_within(pairs, known, most))).withColumnRenamed("node", "fp"))
+        rooted = large.join(roots, "fp", "left").select(F.col("clump").alias("key"), "fp", F.coalesce("root", "fp").alias("root"))
+        edges = edges.union(roots.select(F.col("root").alias("a"), F.col("fp").alias("b")).where("a != b")).union(_wide_tiles(cut(rooted), known, most))
     edges = cut(edges)
-    drop(open_)
+    drop(chained)
     return edges
 
 
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of each of x and each of y."""
+    out = np.zeros((len(x), len(y)), np.uint16)
+    for k in range(WIDE):
+        out += np.bitwise_count(x[:, k, None] ^ y[None, :, k])
+    return out
+
+
 def _wide_tiles(members: DataFrame, known: DataFrame, most: int) -> DataFrame:
     """members(key, fp, root), known(fp, words): edges between members of a key with different roots.
 
@@ -282,10 +363,7 @@ def _wide_tiles(members: DataFrame, known: DataFrame, most: int) -> DataFrame:
         fps, roots, x = tile["fp"].to_numpy(), tile["root"].to_numpy(), _wide(tile["words"])
         near = []
         for at in range(0, len(x), 256):
-            apart = np.zeros((len(x[at : at + 256]), len(x)), np.uint16)
-            for k in range(WIDE):
-                apart += np.bitwise_count(x[at : at + 256, k, None] ^ x[None, :, k])
-            i, j = np.nonzero((apart <= most) & (roots[at : at + 256, None] != roots[None, :]))
+            i, j = np.nonzero((_apart(x[at : at + 256], x) <= most) & (roots[at : at + 256, None] != roots[None, :]))
             # of a row's links one to each root is enough
             found = pd.DataFrame({"i": i + at, "j": j, "root": roots[j]}).drop_duplicates(["i", "root"])
             near.append(pd.DataFrame({"a": fps[found["i"]], "b": fps[found["j"]], "r": roots[found["i"]], "q": found["root"].to_numpy()}))
