@@ -202,7 +202,8 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: Strings that the library takes out of a text as tokens of their own; texts that hold one go to it whole.
+        self.marks = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -256,12 +257,14 @@ class WordTokens:
     def _encode(self, texts: list[str | None], end: int) -> list[np.ndarray]:
         self.words.trim()
         self.pieces.trim()
-        cut = [_words(t) if t else [] for t in texts]
+        marked = {i for i, t in enumerate(texts) if t and any(m in t for m in self.marks)}
+        cut = [_words(t) if t and i not in marked else [] for i, t in enumerate(texts)]
         places = [self.words.places(words) for words in cut]
         new = {words[k] for words, p in zip(cut, places) for k in np.flatnonzero(p < 0)}
         if new:
             self._learn(list(new))
-        return [np.append(self.words.ids(self.words.meet(words, p))[0], np.int32(end)) for words, p in zip(cut, places)]
+        whole = lambda t: np.array(self.tokenizer.encode(_sent(t), add_special_tokens=False).ids, np.int32)
+        return [np.append(whole(t) if i in marked else self.words.ids(self.words.meet(words, p))[0], np.int32(end)) for i, (t, words, p) in enumerate(zip(texts, cut, places))]
 
 
 #: The tokenizer's pieces, and the line feed that parts words here.
@@ -276,6 +279,11 @@ def _beyond(text: str) -> bool:
         return True
 
 
+def _sent(text: str) -> str:
+    """The text as UTF-8 can carry it."""
+    return text.encode("utf-8", "replace").decode()
+
+
 def _words(text: str) -> list[bytes]:
     """Words between ASCII white space; A-Z in lower case where no character could combine with them."""
     try:
@@ -301,7 +309,7 @@ def default_vocabulary() -> str:
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end: int = END) -> None:
-    """Encode docs(doc_id, text) and write a token file in ascending order of doc_id, null first; equal ids follow each other by text."""
+    """Encode docs(doc_id, text) and write a token file in ascending order of doc_id, null first; equal ids follow each other by a hash of their texts, then by text."""
     vocabulary = vocabulary or default_vocabulary()
 
     def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -325,7 +333,9 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end:
         if names:
             yield flush()
 
-    ordered = small_batches(docs).select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # ranges by id and text's hash, so that one id, or none, may have many rows
+    hashed = small_batches(docs).select("doc_id", "text", F.xxhash64("text").alias("_h"))
+    ordered = hashed.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text")
     # the id travels as text where it may be null, since pandas would turn it into a float
     ordered = ordered.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     ordered.mapInPandas(segments, SCHEMA).write.option("compression", "none").parquet(path)
@@ -364,8 +374,9 @@ def crc_of(ids: np.ndarray) -> int:
 def token_file_digest(docs: DataFrame, path: str | None = None, vocabulary: str | None = None) -> DataFrame:
     """Write docs to a token file (in the shared folder if no path is given), read it back: (doc_id, start, n_tokens, ids_crc32).
 
-    Null and empty texts consist of the end id; rows without doc_id come first; equal ids stay next to each other, in order of their
-    texts, so equal rows are interchangeable; an empty table gives an empty file and no rows; other columns are not read.
+    Null and empty texts consist of the end id; strings of the vocabulary's added tokens become these tokens, as the library has it; rows
+    without doc_id come first; equal ids stay next to each other, in order of their texts'
+    hashes, so equal rows are interchangeable; an empty table gives an empty file and no rows; other columns are not read.
     """
     path = path or scratch(docs.sparkSession, "tokens")
     write_tokens(docs, path, vocabulary)

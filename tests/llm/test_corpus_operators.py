@@ -251,9 +251,13 @@ def test_token_file_round_trip(spark, odd_texts):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(tokenfile.default_vocabulary())
-    library.encode_special_tokens = True
-    rows = list(enumerate(odd_texts[:200] + odd_texts[-7:]))
-    random.Random(1).shuffle(rows)
+    rng = random.Random(1)
+    own = ["<|endoftext|>", "a<|endoftext|>b", "A <|startoftext|>\n b <|endoftext|> ", "<|ENDOFTEXT|>", "x <|endoftext|", "é<|endoftext|>\u0301"]
+    for text in odd_texts[:60]:
+        at = rng.randrange(len(text or "") + 1)
+        own.append((text or "")[:at] + rng.choice(("<|endoftext|>", "<|startoftext|>", "<|end", "|>")) + (text or "")[at:])
+    rows = list(enumerate(odd_texts[:200] + own + odd_texts[-7:]))
+    rng.shuffle(rows)
     got = sorted(tokenfile.token_file_digest(frame(spark, rows)).collect())
     at = 0
     for (i, text), r in zip(sorted(rows, key=lambda x: x[0]), got):
