@@ -1,14 +1,17 @@
 """URL filters: explicit host and path rules first, then association rules mined from the pages those rules label.
 
 Every URL is a set of tokens: host labels and their parts, top-level domain, path segments, query names. Labelled pages carry their
-verdict as one more item; Spark's FP-growth finds the frequent token sets, and rules from tokens to a verdict are kept by support and
-confidence. Pages without a label take part without a verdict item, so that they count against a rule's confidence: a token set blocks
-only if nearly all pages that have it are blocked. How many rules there are depends on the support, not on the number of pages; they are
-matched by an inverted index from tokens to rules.
+verdict as one more item; Spark's FP-growth finds the frequent token sets of four fifths of them, and rules from tokens to a verdict are
+kept by support and confidence there, and by confidence again on the last fifth, which mining never saw. Pages without a label take no
+part in mining. How many rules there are depends on the support, not on the number of pages; they are matched by an inverted index from
+tokens to rules, and the best one that fits decides pages without an explicit rule.
+
+Tokens that the labelled pages always have together are one item, or their subsets would all be frequent; a rule then asks for all of them.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -17,6 +20,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from photarium.llm.common import drop, store
+
 #: (verdict, host, path) of op8's contract.
 RULES = (
     ("allow", "com", "/"),
@@ -29,8 +34,8 @@ SUPPORT = 0.002
 #: Fewest pages a rule rests on, whatever its share.
 LEAST_PAGES = 20
 CONFIDENCE = 0.9
-#: Tokens that nearly every page has tell nothing and would double the frequent sets.
-COMMON = 0.95
+#: Labelled pages whose URL's crc32 is 0 modulo FOLDS are held out to validate rules.
+FOLDS = 5
 DEFAULT = "allow"
 
 HOST = r"(?s)^.*?://([^/?#]*)"
@@ -84,18 +89,64 @@ def tokens_of(url: Column) -> Column:
     return of(url)
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> list[tuple[frozenset, str, float, float]]:
-    """labelled(tokens, verdict): rules (tokens, verdict, confidence, support). A null verdict is a page without a label."""
+Rule = tuple[frozenset, str, float, float]
+
+
+def merged_tokens(labelled: DataFrame, least: int) -> dict[str, frozenset]:
+    """For tokens that at least so many rows of labelled(tokens) have, by one name each: all tokens of the same rows.
+
+    Tokens of the same rows have the same count and the same sums of row hashes (128 bits). What comes to the driver is bounded by the
+    support: tokens of an average page / support. Tokens of all rows tell nothing and are left out.
+    """
     total = labelled.count()
+    rows = labelled.select("tokens", F.xxhash64("tokens").alias("h"), F.xxhash64(F.lit(1), "tokens").alias("g")).select(F.explode("tokens").alias("t"), "h", "g")
+    sums = [F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in ("h", "g")]
+    found = rows.groupBy("t").agg(F.count("*").alias("n"), *sums).where((F.col("n") >= least) & (F.col("n") < total))
+    same: dict[tuple, set] = {}
+    for r in found.collect():
+        same.setdefault((r["n"], r["h"], r["g"]), set()).add(r["t"])
+    return {min(x): frozenset(x) for x in same.values()}
+
+
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> list[Rule]:
+    """labelled(tokens, verdict, held): rules (tokens, verdict, confidence, support) of the rows that aren't held out, validated on those
+    that are; of rules where one implies the other with no less confidence, the one that asks for less."""
+    taught = labelled.where("verdict is not null and not held")
+    total = taught.count()
     if not total:
         return []
-    often = labelled.select(F.explode("tokens").alias("t")).groupBy("t").count().where(F.col("count") > COMMON * total).select("t")
-    common = [r["t"] for r in often.collect()]  # at most as many as an average page has tokens, by COMMON
-    label = F.when(F.col("verdict").isNotNull(), F.array(F.concat(F.lit("verdict:"), "verdict"))).otherwise(F.array().cast("array<string>"))
-    items = labelled.select(F.array_union(F.array_except("tokens", F.array(*[F.lit(x) for x in common]).cast("array<string>")), label).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, LEAST_PAGES / total)), minConfidence=confidence).fit(items.where(F.size("items") > 0))
+    share = min(1.0, max(support, LEAST_PAGES / total))
+    merged = merged_tokens(taught, math.ceil(share * total))
+    if not merged:
+        return []
+    names = F.array(*[F.lit(x) for x in sorted(merged)])
+    items = taught.select(F.array_append(F.array_intersect("tokens", names), F.concat(F.lit("verdict:"), "verdict")).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=confidence).fit(items)
     found = model.associationRules.where(F.col("consequent")[0].startswith("verdict:") & ~F.exists("antecedent", lambda x: x.startswith("verdict:")))
-    return [(frozenset(r["antecedent"]), r["consequent"][0].removeprefix("verdict:"), r["confidence"], r["support"]) for r in found.collect()]
+    rules = [(frozenset().union(*(merged[x] for x in r["antecedent"])), r["consequent"][0].removeprefix("verdict:"), r["confidence"], r["support"]) for r in found.collect()]
+    return minimal(validated(labelled.where("verdict is not null and held"), rules, confidence))
+
+
+def validated(held: DataFrame, rules: list[Rule], confidence: float) -> list[Rule]:
+    """The rules that some row of held(tokens, verdict) has, and that keep their confidence there."""
+    index = RuleIndex(rules)
+
+    @F.pandas_udf("array<int>")
+    def of(tokens: pd.Series) -> pd.Series:
+        return pd.Series([index.full(x) for x in tokens], dtype=object)
+
+    hits = held.select("verdict", F.explode(of("tokens")).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"), *[F.count_if(F.col("verdict") == v).alias(v) for v in ("allow", "block")])
+    good = {r["rule"] for r in hits.collect() if r[index.rules[r["rule"]][1]] >= confidence * r["n"]}
+    return [r for k, r in enumerate(index.rules) if k in good]
+
+
+def minimal(rules: list[Rule]) -> list[Rule]:
+    """Without rules that hold more tokens than another one of the same verdict and no less confidence: verdicts stay the same."""
+    kept: list[Rule] = []
+    for rule in sorted(rules, key=lambda r: (len(r[0]), -r[2], -r[3], sorted(r[0]))):
+        if not any(x[1] == rule[1] and x[2] >= rule[2] and x[0] <= rule[0] for x in kept):
+            kept.append(rule)
+    return kept
 
 
 class RuleIndex:
@@ -108,15 +159,19 @@ class RuleIndex:
             for token in tokens:
                 self.postings[token].append(k)
 
+    def full(self, tokens) -> list[int]:
+        """The rules all of whose tokens are there, the best first."""
+        hits = Counter(k for t in set(tokens) for k in self.postings.get(t, ()))
+        return sorted(k for k, n in hits.items() if n == len(self.rules[k][0]))
+
     def match(self, tokens: list[str]):
-        """The best rule all of whose tokens are there: highest confidence, then support; None without one."""
-        hits = Counter(k for t in tokens for k in self.postings.get(t, ()))
-        full = [k for k, n in hits.items() if n == len(self.rules[k][0])]
-        return self.rules[min(full)] if full else None
+        """The best rule all of whose tokens are there: highest confidence, then support, then block after allow; None without one."""
+        full = self.full(tokens)
+        return self.rules[full[0]] if full else None
 
 
 def verdict_of(url: Column, rules) -> Column:
-    """struct(verdict, tokens): DEFAULT with null tokens where no mined rule matches."""
+    """struct(verdict, tokens, confidence): DEFAULT with null tokens where no mined rule matches."""
     index = RuleIndex(rules)
 
     @F.pandas_udf("verdict string, tokens string, confidence double")
@@ -137,9 +192,12 @@ def judge(pages: DataFrame, rules=RULES, support: float = SUPPORT, confidence: f
     an empty table mines nothing and gives no rows; other columns are not read. mined: the association rule that decided, if one did.
     """
     own = pages.select("page_id", "url").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))}).withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
-    mined = mine(own.select(tokens_of(F.col("url")).alias("tokens"), F.col("r.verdict").alias("verdict")), support, confidence)
-    found = own.withColumn("m", verdict_of(F.col("url"), mined))
+    held = F.crc32(F.col("url").cast("binary")) % FOLDS == 0
+    labelled = store(own.where("r is not null").select(tokens_of(F.col("url")).alias("tokens"), F.col("r.verdict").alias("verdict"), held.alias("held")), "url-labels")
+    mined = mine(labelled, support, confidence)
+    drop(labelled)
     free = F.col("r").isNull()
+    found = own.withColumn("m", verdict_of(F.when(free, F.col("url")), mined))
     return found.select(
         "page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", "m.verdict").alias("verdict"),
         F.when(free, F.col("m.tokens")).alias("mined"), F.when(free, F.col("m.confidence")).alias("confidence"),

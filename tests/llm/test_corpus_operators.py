@@ -410,21 +410,55 @@ def test_url_rules(spark):
     assert urlfilter.judge(df.limit(0)).count() == 0
 
 
-def test_mined_rules_equal_counting(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").union(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
-    own = pages.withColumns({"host": urlfilter.host_of(F.col("url")), "path": urlfilter.path_of(F.col("url"))})
-    labelled = own.select(urlfilter.tokens_of(F.col("url")).alias("tokens"), urlfilter.rule_of(F.col("host"), F.col("path"))["verdict"].alias("verdict"))
-    rows = [(set(r["tokens"]), r["verdict"]) for r in labelled.collect()]
-    rules = urlfilter.mine(labelled)
-    assert rules
-    for tokens, verdict, confidence, support in rules[:60]:
-        has = [v for t, v in rows if tokens <= t]
-        assert confidence == pytest.approx(has.count(verdict) / len(has)) and confidence >= urlfilter.CONFIDENCE
-        assert len(has) and has.count(verdict) >= urlfilter.LEAST_PAGES - 1
-    index = urlfilter.RuleIndex(rules)
-    for tokens, _ in rows[:50]:
-        full = [k for k, r in enumerate(index.rules) if r[0] <= tokens]
-        assert index.match(sorted(tokens)) == (index.rules[min(full)] if full else None)
+def brute_rules(rows):
+    """All rules by counting every subset of the tokens, with tokens of the same rows as one."""
+    taught = [(t, v) for t, v, held in rows if v and not held]
+    least = max(urlfilter.SUPPORT, urlfilter.LEAST_PAGES / len(taught)) * len(taught)
+    where = {t: frozenset(k for k, (own, _) in enumerate(taught) if t in own) for t in {t for own, _ in taught for t in own}}
+    together = {}
+    for t, own in where.items():
+        if least <= len(own) < len(taught):
+            together.setdefault(own, set()).add(t)
+    together = {frozenset(v): k for k, v in together.items()}
+    rules, sets = [], [(frozenset(), frozenset(range(len(taught))))]
+    for item, own in together.items():
+        sets += [(tokens | item, at & own) for tokens, at in sets if len(at & own) >= least]
+    for tokens, at in sets:
+        for verdict in ("allow", "block"):
+            n = sum(taught[k][1] == verdict for k in at)
+            tried = [v for t, v, held in rows if v and held and tokens <= t]
+            if tokens and n >= least and n >= urlfilter.CONFIDENCE * len(at) and tried and tried.count(verdict) >= urlfilter.CONFIDENCE * len(tried):
+                rules.append((tokens, verdict, n / len(at), n / len(taught)))
+    return rules
+
+
+def test_verdicts_of_pages_without_a_rule_equal_counting(spark):
+    rng = random.Random(5)
+    rows = [("https://www.example.com/en/", 0), ("https://a.net/fr/x?id=1", 1)]
+    for k in range(2, 900):
+        host = rng.choice(("shop-mart.com", "news.com", "spam.net", "play.net", "blog.org", "example.com", "m.example.com", "spam.org", "x.io"))
+        rows.append((f"http{rng.choice(('', 's'))}://{host}/{rng.choice(('es', 'fr', 'en', 'de'))}/{rng.choice(('a', 'buy', 'news'))}{rng.choice(('', '?id=3', '?utm=1&id=2', '#top'))}", k))
+    pages = spark.createDataFrame(rows, "url string, page_id long")
+    plain = []
+    for r in urlfilter.judge(pages).collect():
+        url = rows[r["page_id"]][0]
+        plain.append((set(urlfilter.tokens_of_url(url)), r["verdict"] if r["rule"] else None, zlib.crc32(url.encode()) % urlfilter.FOLDS == 0, r))
+    rules = brute_rules([x[:3] for x in plain])
+    mined = 0
+    for tokens, verdict, _, r in plain:
+        if verdict is None:
+            fits = [x for x in rules if x[0] <= tokens]
+            best = min(fits, key=lambda x: (-x[2], -x[3], x[1])) if fits else (None, urlfilter.DEFAULT, None, None)
+            assert (r["verdict"], r["confidence"]) == (best[1], pytest.approx(best[2]) if best[2] else None)
+            assert r["mined"] is None if not fits else set(r["mined"].split()) <= tokens
+            mined += bool(fits)
+    assert mined > 50 and len({r["verdict"] for *_, v, _, r in [(0, *x) for x in plain] if v is None}) == 2
+
+
+def test_mined_rules_decide_on_the_table(spark, sf_dir):
+    got = urlfilter.op8_url_filter(spark, "/root/testdata/sf0.01").where("rule is null").groupBy(F.col("mined").isNotNull().alias("mined")).count().collect()
+    counts = {r["mined"]: r["count"] for r in got}
+    assert counts.get(True, 0) > 0
 
 
 # 10
