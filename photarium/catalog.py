@@ -68,11 +68,11 @@ def comparisons_planned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {_PART_GROUPS}, k2 AS (SELECT * FROM c WHERE p_partkey % 3 <> 0) "
+    f"WITH {_PART_GROUPS}, k2 AS (SELECT * FROM c WHERE p_retailprice < 1500) "
     "SELECT p_partkey, group_id, (100 + row_number() OVER (ORDER BY group_id, cand_seq))::BIGINT AS row_id FROM k2"
 )
 def keep_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = candidates.keep_mask(_part_groups(spark, sf_dir), F.col("p_partkey") % 3 != 0, id_base=100)
+    kept = candidates.keep_mask(_part_groups(spark, sf_dir), F.col("p_retailprice") < 1500, id_base=100)
     return kept.select(*long("p_partkey", "group_id", "row_id"))
 
 
@@ -96,9 +96,9 @@ def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 # hashes of vectors and the sweep over them
 
 _HASHED = """
-v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE label IS NOT NULL),
+v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
 h AS (SELECT vec_id, label, list_sum(list_transform(range(64), lambda k: CASE WHEN e[k + 1] > list_sum(e) / 64 THEN 1::HUGEINT << (63 - k)::INT ELSE 0::HUGEINT END))::UBIGINT AS h FROM v),
-n AS (SELECT *, count(*) OVER (PARTITION BY label) AS n FROM h),
+n AS (SELECT *, count(*) OVER (PARTITION BY label) AS n FROM h WHERE label IS NOT NULL),
 c AS (SELECT vec_id, h, dense_rank() OVER (ORDER BY label)::BIGINT AS group_id, row_number() OVER (PARTITION BY label ORDER BY vec_id)::BIGINT AS seq FROM n WHERE n > 1)
 """
 
@@ -114,7 +114,7 @@ PAIR = ("group_id", "id_a", "id_b", "variant", "ham_dist")
 
 @query(f"WITH {_HASHED} SELECT vec_id, lower(printf('%x', h)) AS hash_text FROM h")
 def vector_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings").where("label is not null")
+    vectors = table(spark, sf_dir, "embeddings")
     bit = hashes.threshold_hash(F.col("embedding"))
     return vectors.select("vec_id", bits.to_hex(bits.parse_hex(bits.to_hex(bit))).alias("hash_text"))
 
@@ -128,6 +128,15 @@ def hash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sweep.sweep(_hashed(spark, sf_dir), 5, left_crop=44).select(*long(*PAIR))
 
 
+@query(
+    f"WITH {_HASHED} SELECT a.group_id, b.vec_id AS id_a, a.vec_id AS id_b, 0::BIGINT AS variant, bit_count(xor(a.h, b.h))::BIGINT AS ham_dist "
+    "FROM c a JOIN c b ON a.group_id = b.group_id AND a.seq < b.seq WHERE bit_count(xor(a.h, b.h)) < 16"
+)
+def hash_pairs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near pairs in all 64 bits, by bands."""
+    return sweep.sweep(_hashed(spark, sf_dir), 16).select(*long(*PAIR))
+
+
 @query(
     f"WITH {_HASHED}, p AS (SELECT a.group_id, b.vec_id AS id_a, a.vec_id AS id_b, bit_count(xor(a.h, b.h))::BIGINT AS d FROM c a JOIN c b ON a.group_id = b.group_id AND a.seq < b.seq) "
     "SELECT group_id, id_a, id_b, 0::BIGINT AS variant, d AS ham_dist FROM p WHERE d < 22 UNION ALL SELECT group_id, id_a, id_b, 1::BIGINT, 64 - d FROM p WHERE 64 - d < 22"
@@ -171,13 +180,13 @@ def hash_clusters_without_singles(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 @query(
-    f"WITH {_PAIRS}, b AS (SELECT * FROM p WHERE d BETWEEN 18 AND 21 AND id_a % 2 = 0) "
+    f"WITH {_PAIRS}, b AS (SELECT p.* FROM p JOIN embeddings v ON v.vec_id = p.id_a WHERE d BETWEEN 18 AND 21 AND v.embedding[1] > 0) "
     "SELECT group_id, id_a, id_b, d AS ham_dist FROM b"
 )
 def bounded_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inclusive bounds, and a filter that looks at a pair's first image only."""
     pairs = _near_pairs(spark, sf_dir)
-    keep = table(spark, sf_dir, "embeddings").where("vec_id % 2 = 0").select(F.col("vec_id").alias("id"))
+    keep = table(spark, sf_dir, "embeddings").where("embedding[0] > 0").select(F.col("vec_id").alias("id"))
     return cluster.within_bounds(pairs, ham=(18, 21), mse=(0, 10), keep_ids=keep).select(*long("group_id", "id_a", "id_b", "ham_dist"))
 
 
@@ -205,9 +214,12 @@ def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sweep.with_scores(_near_pairs(spark, sf_dir), pixels, 2).select(*long("id_a", "id_b", "ham_dist", "mse"))
 
 
-@query(f"WITH {_PAIRS} SELECT false AS have_msd")
+@query(f"WITH {_PAIRS} SELECT count(*) >= 2 AS have_msd FROM p UNION ALL SELECT false")
 def have_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sweep.have_scores(_near_pairs(spark, sf_dir))
+    """Of pairs with scores and of pairs without."""
+    pixels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), _grays().alias("values"))
+    pairs = _near_pairs(spark, sf_dir)
+    return sweep.have_scores(sweep.with_scores(pairs.drop("mse"), pixels, 2)).union(sweep.have_scores(pairs))
 
 
 _SMALL = f"list_concat({_GRAYS}, ({_GRAYS})[1:8])"
@@ -265,24 +277,6 @@ def uniformity(spark: SparkSession, sf_dir: str) -> DataFrame:
 # merging and collecting
 
 
-@query(
-    "WITH m AS (SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer WHERE c_custkey <= 800), "
-    "o AS (SELECT c_custkey + 5000 AS c_custkey, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_name || '!' END AS c_name0, c_name AS k, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_nationkey END AS c_nationkey, "
-    "upper(c_mktsegment) AS c_mktsegment FROM customer WHERE c_custkey > 600 AND c_custkey <= 1200), "
-    "j AS (SELECT m.c_custkey AS old_main, o.c_custkey AS old_other, CASE WHEN o.k IS NOT NULL AND o.k <> '' THEN o.k ELSE coalesce(m.c_name, o.k) END AS c_name, "
-    "CASE WHEN o.c_nationkey IS NOT NULL AND o.c_nationkey <> 0 THEN o.c_nationkey ELSE coalesce(m.c_nationkey, o.c_nationkey) END AS c_nationkey, "
-    "CASE WHEN o.c_mktsegment IS NOT NULL AND o.c_mktsegment <> '' THEN o.c_mktsegment ELSE coalesce(m.c_mktsegment, o.c_mktsegment) END AS c_mktsegment FROM m FULL JOIN o ON lower(m.c_name) = lower(o.k)) "
-    "SELECT row_number() OVER (ORDER BY old_main IS NULL, coalesce(old_main, old_other))::BIGINT AS c_custkey, old_main, old_other, c_name, c_nationkey::BIGINT AS c_nationkey, c_mktsegment FROM j"
-)
-def import_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
-    other = rows.where("c_custkey > 600 and c_custkey <= 1200").select(
-        (F.col("c_custkey") + 5000).alias("c_custkey"), "c_name", F.expr("CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_nationkey END").alias("c_nationkey"), F.upper("c_mktsegment").alias("c_mktsegment")
-    )
-    merged = merge.import_merge(rows.where("c_custkey <= 800"), other, F.lower("c_name"), "c_custkey")
-    return merged.select(*long("c_custkey", "old_main", "old_other"), "c_name", F.col("c_nationkey").cast("long").alias("c_nationkey"), "c_mktsegment")
-
-
 @query(
     "WITH o AS (SELECT c_custkey, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN c_name || ' (copy)' ELSE c_name END AS c_name, CASE WHEN c_acctbal < 0 THEN NULL ELSE c_nationkey END AS c_nationkey, "
     "upper(c_mktsegment) || '!' AS c_mktsegment FROM customer), "
@@ -291,7 +285,7 @@ def import_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     "CASE WHEN o.c_mktsegment IS NOT NULL AND o.c_mktsegment <> '' THEN o.c_mktsegment ELSE coalesce(m.c_mktsegment, o.c_mktsegment) END AS c_mktsegment FROM customer m FULL JOIN o ON lower(m.c_name) = lower(o.c_name)) "
     "SELECT row_number() OVER (ORDER BY old_main IS NULL, coalesce(old_main, old_other))::BIGINT AS c_custkey, old_main, old_other, c_name, c_nationkey::BIGINT AS c_nationkey, c_mktsegment FROM j"
 )
-def import_merge_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def import_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both sides are the whole table; customers of two segments have other names on the imported side, and so match nothing."""
     rows = table(spark, sf_dir, "customer")
     other = rows.select(
@@ -303,24 +297,24 @@ def import_merge_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment FROM customer UNION ALL SELECT c_custkey + 1000000, 'NEW' FROM customer WHERE c_custkey % 100 = 0"
+    "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment FROM customer UNION ALL SELECT -c_custkey, 'NEW' FROM customer WHERE c_mktsegment = 'BUILDING'"
 )
 def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    new = rows.where("c_custkey % 10 = 0").select("c_custkey", F.lit("NEW").alias("c_mktsegment"))
-    more = rows.where("c_custkey % 100 = 0").select((F.col("c_custkey") + 1000000).alias("c_custkey"), F.lit("NEW").alias("c_mktsegment"))
-    return merge.upsert(rows, new.union(more), ["c_custkey"])
+    rows = table(spark, sf_dir, "customer")
+    new = rows.where("c_acctbal < 0").select("c_custkey", F.lit("NEW").alias("c_mktsegment"))
+    more = rows.where("c_mktsegment = 'BUILDING'").select((-F.col("c_custkey")).alias("c_custkey"), F.lit("NEW").alias("c_mktsegment"))
+    return merge.upsert(rows.select("c_custkey", "c_mktsegment"), new.union(more), ["c_custkey"])
 
 
 @query(
-    "SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 4 = 0 THEN 'X' END, o_orderstatus) AS o_orderstatus, CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority FROM orders"
+    "SELECT o_orderkey, coalesce(CASE WHEN o_totalprice > 200000 AND o_orderstatus = 'F' THEN 'X' END, o_orderstatus) AS o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderpriority END AS o_orderpriority FROM orders"
 )
 def updated_with_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
-    results = rows.where("o_orderkey % 2 = 0").select(
-        "o_orderkey", F.expr("CASE WHEN o_orderkey % 4 = 0 THEN 'X' END").alias("o_orderstatus"), F.lit(None).cast("string").alias("o_orderpriority")
+    rows = table(spark, sf_dir, "orders")
+    results = rows.where("o_orderstatus = 'F'").select(
+        "o_orderkey", F.expr("CASE WHEN o_totalprice > 200000 THEN 'X' END").alias("o_orderstatus"), F.lit(None).cast("string").alias("o_orderpriority")
     )
-    return merge.coalesce_update(rows, results, "o_orderkey", ["o_orderstatus"], ["o_orderpriority"])
+    return merge.coalesce_update(rows.select("o_orderkey", "o_orderstatus", "o_orderpriority"), results, "o_orderkey", ["o_orderstatus"], ["o_orderpriority"])
 
 
 @query("SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1)")
@@ -334,14 +328,22 @@ def next_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.next_page(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 1000, 512)
 
 
-@query(
-    "WITH a AS (SELECT c_nationkey, c_mktsegment FROM customer WHERE c_custkey % 2 = 0), b AS (SELECT c_nationkey, c_mktsegment FROM customer WHERE c_custkey % 3 = 0) "
-    "SELECT 'a' AS side, count(*)::BIGINT AS n FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT 'b', count(*)::BIGINT FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)"
-)
-def compared_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+_SIDES = "a AS (SELECT c_nationkey, c_mktsegment FROM customer WHERE c_acctbal >= 0), b AS (SELECT c_nationkey, c_mktsegment FROM customer WHERE c_acctbal < 5000)"
+
+
+def _sides(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     rows = table(spark, sf_dir, "customer")
-    side = lambda k: rows.where(F.col("c_custkey") % k == 0).select("c_nationkey", "c_mktsegment")
-    return index_ops.compare_sets(side(2), side(3))
+    return [rows.where(x).select("c_nationkey", "c_mktsegment") for x in ("c_acctbal >= 0", "c_acctbal < 5000")]
+
+
+@query(f"WITH {_SIDES} SELECT 'a' AS side, count(*)::BIGINT AS n FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'b', count(*)::BIGINT FROM (SELECT * FROM b EXCEPT SELECT * FROM a)")
+def compared_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index_ops.compare_sets(*_sides(spark, sf_dir))
+
+
+@query(f"WITH {_SIDES} SELECT 'a' AS side, count(*)::BIGINT AS n FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT 'b', count(*)::BIGINT FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)")
+def compared_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index_ops.compare_sets(*_sides(spark, sf_dir), repeats=True)
 
 
 # services over an index
@@ -399,9 +401,9 @@ def search_and_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index_ops.search_replace(table(spark, sf_dir, "pages").select("page_id", "url"), "url", "/en/", "/english/")
 
 
-@query("SELECT page_id, url FROM pages WHERE contains(lower(url), 'blog') AND page_id % 2 = 0")
+@query("SELECT page_id, url FROM pages WHERE contains(lower(url), 'blog') AND length(url) > 30")
 def filtered_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index_ops.filtered(table(spark, sf_dir, "pages").select("page_id", "url"), "BLOG", ("url",), where=F.col("page_id") % 2 == 0)
+    return index_ops.filtered(table(spark, sf_dir, "pages").select("page_id", "url"), "BLOG", ("url",), where=F.length("url") > 30)
 
 
 @query("SELECT page_id, url FROM pages WHERE regexp_matches(url, '/(fr|es)/') AND page_id > 100 ORDER BY page_id LIMIT 1")
@@ -410,12 +412,14 @@ def search_next(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT p_partkey, 'a_' || replace(p_name, 'e', 'E') || '_z' || lpad(row_number() OVER (ORDER BY p_retailprice, p_partkey)::VARCHAR, 9, '0') AS new_name FROM part WHERE NOT contains(p_name, '.')"
+    "WITH p AS (SELECT p_partkey, p_retailprice, p_name || CASE WHEN p_size > 25 THEN '.v2.jpg' WHEN p_size > 10 THEN '.PNG' ELSE '' END AS name FROM part) "
+    "SELECT p_partkey, 'a_' || replace(regexp_extract(name, '^(.*?)(\\.[^.]*)?$', 1), 'e', 'E') || '_z' || lpad(row_number() OVER (ORDER BY p_retailprice, p_partkey)::VARCHAR, 9, '0') || regexp_extract(name, '^.*?(\\.[^.]*)?$', 1) AS new_name FROM p"
 )
 def multi_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").where("NOT contains(p_name, '.')")
+    part = table(spark, sf_dir, "part")
+    name = F.concat("p_name", F.when(F.col("p_size") > 25, ".v2.jpg").when(F.col("p_size") > 10, ".PNG").otherwise(""))
     counted = merge.renumbered(part, [F.col("p_retailprice"), F.col("p_partkey")], "_counter")
-    return counted.select("p_partkey", text.renamed(F.col("p_name"), F.col("_counter"), "a_", "_z", "e", "E", 9).alias("new_name"))
+    return counted.select("p_partkey", text.renamed(name, F.col("_counter"), "a_", "_z", "e", "E", 9).alias("new_name"))
 
 
 @query(
@@ -441,28 +445,27 @@ def selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index_ops.selected(table(spark, sf_dir, "documents").select("doc_id", "source"), "SRC1", "source", good, "doc_id").select("doc_id", "selected")
 
 
-@query("SELECT doc_id, source FROM documents WHERE source IN (SELECT source FROM documents WHERE doc_id % 97 = 0)")
+@query("SELECT doc_id, source FROM documents WHERE source IN (SELECT source FROM documents WHERE n_chars > 20000)")
 def same_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return index_ops.same_folder(docs, docs.where("doc_id % 97 = 0"), "source").select("doc_id", "source")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return index_ops.same_folder(docs, docs.where("n_chars > 20000"), "source").select("doc_id", "source")
 
 
 @query(
-    "SELECT doc_id, source, 0::BIGINT AS version FROM documents WHERE source NOT IN ('src1', 'src2') UNION ALL SELECT doc_id, source, 1::BIGINT FROM documents WHERE source IN ('src1', 'src2') AND doc_id % 2 = 0"
+    "SELECT doc_id, source, 0::BIGINT AS version FROM documents WHERE source NOT IN ('src1', 'src2') UNION ALL SELECT doc_id, source, 1::BIGINT FROM documents WHERE source IN ('src1', 'src2') AND n_chars > 500"
 )
 def refreshed_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    listing = docs.where("doc_id % 2 = 0").withColumn("version", F.lit(1).cast("long"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    listing = docs.where("n_chars > 500").withColumn("version", F.lit(1).cast("long"))
     folders = docs.where("source IN ('src1', 'src2')").select("source").distinct()
     return index_ops.refreshed(docs.withColumn("version", F.lit(0).cast("long")), listing, folders, "source").select("doc_id", "source", "version")
 
 
-@query(
-    "SELECT c_custkey, c_name, CASE WHEN c_custkey % 2 = 0 THEN 'a' ELSE 'b' END AS origin FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0"
-)
+@query("SELECT c_custkey, c_name, CASE WHEN c_acctbal >= 1000 THEN 'a' ELSE 'b' END AS origin FROM customer")
 def united_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    return index_ops.union_lists(rows.where("c_custkey % 2 = 0").withColumn("origin", F.lit("a")), rows.where("c_custkey % 3 = 0").withColumn("origin", F.lit("b")), ["c_custkey"])
+    rows = table(spark, sf_dir, "customer")
+    a, b = (rows.where(x).select("c_custkey", "c_name", F.lit(name).alias("origin")) for x, name in (("c_acctbal >= 1000", "a"), ("c_acctbal < 5000", "b")))
+    return index_ops.union_lists(a, b, ["c_custkey"])
 
 
 @query("SELECT o_orderstatus, o_orderpriority, count(*)::BIGINT AS n FROM orders WHERE o_totalprice > 100000 AND o_orderpriority <> '5-LOW' GROUP BY ALL")
@@ -533,25 +536,25 @@ def hsl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH s AS (SELECT p_partkey, (p_partkey * 7 % 900 + 1)::BIGINT AS w, (p_size * 13)::BIGINT AS h FROM part), q AS (SELECT *, floor(w / h::DOUBLE * 100000 + 0.5) / 100000 AS ratio FROM s WHERE h > 0) "
-    "SELECT p_partkey, greatest(1, CASE WHEN w <= 320 AND h <= 200 THEN CASE WHEN floor(320 / ratio + 0.5) > 200 THEN floor(200 * ratio + 0.5) ELSE 320 END WHEN ratio > 1.6 THEN 320 ELSE floor(least(h, 200) * ratio + 0.5) END)::BIGINT AS fit_w, "
-    "greatest(1, CASE WHEN w <= 320 AND h <= 200 THEN CASE WHEN floor(320 / ratio + 0.5) > 200 THEN 200 ELSE floor(320 / ratio + 0.5) END WHEN ratio > 1.6 THEN floor(320 / ratio + 0.5) ELSE least(h, 200) END)::BIGINT AS fit_h FROM q"
+    "WITH s AS (SELECT p_partkey, (p_partkey * 7 % 900)::BIGINT AS w, (p_size * 13 - 26)::BIGINT AS h FROM part), q AS (SELECT *, floor(w / nullif(h, 0)::DOUBLE * 100000 + 0.5) / 100000 AS ratio FROM s) "
+    "SELECT p_partkey, greatest(1, CASE WHEN least(w, h) < 1 THEN w WHEN w <= 320 AND h <= 200 THEN CASE WHEN floor(320 / ratio + 0.5) > 200 THEN floor(200 * ratio + 0.5) ELSE 320 END WHEN ratio > 1.6 THEN 320 ELSE floor(least(h, 200) * ratio + 0.5) END)::BIGINT AS fit_w, "
+    "greatest(1, CASE WHEN least(w, h) < 1 THEN h WHEN w <= 320 AND h <= 200 THEN CASE WHEN floor(320 / ratio + 0.5) > 200 THEN 200 ELSE floor(320 / ratio + 0.5) END WHEN ratio > 1.6 THEN floor(320 / ratio + 0.5) ELSE least(h, 200) END)::BIGINT AS fit_h FROM q"
 )
 def fitted_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w, h = (F.col("p_partkey") * 7 % 900 + 1).cast("int"), (F.col("p_size") * 13).cast("int")
-    fit = table(spark, sf_dir, "part").where("p_size > 0").select("p_partkey", geometry.fit_size(w, h, F.lit(320), F.lit(200)).alias("f"))
+    w, h = (F.col("p_partkey") * 7 % 900).cast("int"), (F.col("p_size") * 13 - 26).cast("int")
+    fit = table(spark, sf_dir, "part").select("p_partkey", geometry.fit_size(w, h, F.lit(320), F.lit(200)).alias("f"))
     return fit.select("p_partkey", F.col("f.w").cast("long").alias("fit_w"), F.col("f.h").cast("long").alias("fit_h"))
 
 
 @query(
     "WITH s AS (SELECT p_partkey, p_partkey * 7 % 100 AS x, p_partkey * 13 % 100 AS y FROM part) "
-    "SELECT p_partkey, x BETWEEN 10 AND 80 AND y > 20 AND y <= 60 AS inside, (x - 50) ** 2 + (y - 50) ** 2 <= 900 AS in_circle FROM s WHERE x NOT IN (10, 80) AND y NOT IN (20, 60)"
+    "SELECT p_partkey, x >= 10 AND x < 80 AND y >= 20 AND y < 60 AS inside, (x - 50) ** 2 + (y - 50) ** 2 <= 900 AS in_circle, x BETWEEN 10 AND 80 AND y BETWEEN 20 AND 60 AS in_box FROM s"
 )
 def points_in_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = F.col("p_partkey") * 7 % 100, F.col("p_partkey") * 13 % 100
     corners = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in ((10, 20), (80, 20), (80, 60), (10, 60))])
-    rows = table(spark, sf_dir, "part").select("p_partkey", x.alias("x"), y.alias("y")).where("x NOT IN (10, 80) AND y NOT IN (20, 60)")
-    return rows.select("p_partkey", geometry.in_polygon(F.col("x"), F.col("y"), corners).alias("inside"), geometry.in_circle(F.col("x"), F.col("y"), F.lit(50), F.lit(50), F.lit(30)).alias("in_circle"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", x.alias("x"), y.alias("y"))
+    return rows.select("p_partkey", geometry.in_polygon(F.col("x"), F.col("y"), corners).alias("inside"), geometry.in_circle(F.col("x"), F.col("y"), F.lit(50), F.lit(50), F.lit(30)).alias("in_circle"), geometry.in_rectangle(F.col("x"), F.col("y"), F.lit(10), F.lit(80), F.lit(20), F.lit(60)).alias("in_box"))
 
 
 @query(

@@ -143,35 +143,70 @@ def hsl_to_rgb(h: Column, s: Column, light: Column, top: float = 255.0) -> Colum
     return F.struct(channel(1.0 / 3).alias("r"), channel(0.0).alias("g"), channel(-1.0 / 3).alias("b"))
 
 
+class Blend:
+    """Blends by composition, over any algebra: Spark columns here, arrays in the image kernels.
+
+    pick(condition, then, otherwise), least and greatest of two, root, size (absolute value) and share(a, b) = a / b, which may be anything
+    where b is 0.
+    """
+
+    def __init__(self, pick, least, greatest, root, size, share):
+        self.pick, self.least, self.greatest, self.root, self.size, self.share = pick, least, greatest, root, size, share
+        #: The numbers of the modes.
+        self.modes = {
+            1: least, 2: self.multiply, 3: self.linear_burn, 4: self.burn, 5: greatest, 6: self.screen, 7: self.plus, 8: self.hard, 9: self.soft,
+            10: lambda top, under: self.hard(under, top), 11: lambda top, under: pick(top > 1.0 - under, top * 0 + 1.0, top * 0),
+            12: lambda top, under: self.linear_burn(top * 2, under), 13: self.dodge, 14: self.vivid, 15: lambda top, under: self.between(top, under, 0.5),
+            16: lambda top, under: pick(top > 0, share(under, top), top * 0 + 1.0), 17: lambda top, under: self.screen(top, under) - self.multiply(top, under),
+            18: lambda top, under: size(under - top), 19: lambda top, under: under - top, 22: lambda top, under: 1.0 - size(under - top),
+        }
+
+    def __call__(self, mode: int, top, under):
+        """Within 0..1; an unknown number leaves the top one."""
+        out = self.modes[mode](top, under) if mode in self.modes else top
+        return self.least(self.greatest(out, out * 0), out * 0 + 1.0)
+
+    def between(self, a, b, share):
+        return a + (b - a) * share
+
+    def multiply(self, top, under):
+        return top * under
+
+    def screen(self, top, under):
+        return 1.0 - self.multiply(1.0 - top, 1.0 - under)
+
+    def plus(self, top, under):
+        return top + under
+
+    def linear_burn(self, top, under):
+        return self.plus(top, under) - 1.0
+
+    def dodge(self, top, under):
+        return self.pick(top < 1, self.share(under, 1.0 - top), top * 0 + 1.0)
+
+    def burn(self, top, under):
+        return self.pick(top > 0, 1.0 - self.share(1.0 - under, top), top * 0)
+
+    def halves(self, dark, light):
+        """dark(2 top, under) for the darker half of top, light(2 top - 1, under) for the other."""
+        return lambda top, under: self.pick(top < 0.5, dark(top * 2, under), light(top * 2 - 1.0, under))
+
+    def hard(self, top, under):
+        return self.halves(self.multiply, self.screen)(top, under)
+
+    def vivid(self, top, under):
+        return self.halves(self.burn, self.dodge)(top, under)
+
+    def soft(self, top, under):
+        return self.halves(lambda t, u: self.between(u * u, u, t), lambda t, u: self.between(u, self.root(u), t))(top, under)
+
+
+_columns = Blend(lambda c, a, b: F.when(c, a).otherwise(b), F.least, F.greatest, F.sqrt, F.abs, F.try_divide)
+
+
 def blend(mode: int, top: Column, bottom: Column) -> Column:
     """Blends channels 0..1 by number of mode; an unknown number leaves the top one."""
-    o, u = top.cast("double"), bottom.cast("double")
-    screen = lambda a, b: 1.0 - (1.0 - a) * (1.0 - b)
-    burn = F.when(o > 0, 1.0 - F.try_divide(1.0 - u, o)).otherwise(0.0)
-    dodge = F.when(o < 1, F.try_divide(u, 1.0 - o)).otherwise(1.0)
-    modes = {
-        1: lambda: F.least(o, u),
-        2: lambda: o * u,
-        3: lambda: o + u - 1.0,
-        4: lambda: burn,
-        5: lambda: F.greatest(o, u),
-        6: lambda: screen(o, u),
-        7: lambda: o + u,
-        8: lambda: F.when(o < 0.5, o * u * 2).otherwise(1.0 - (1.0 - o) * (1.0 - u) * 2),
-        9: lambda: F.when(o < 0.5, (1.0 - o * 2) * u * u + u * o * 2).otherwise(u * (1.0 - o) * 2 + F.sqrt(u) * (o * 2 - 1.0)),
-        10: lambda: F.when(u < 0.5, o * u * 2).otherwise(1.0 - (1.0 - o) * (1.0 - u) * 2),
-        11: lambda: F.when(o <= 1.0 - u, 0.0).otherwise(1.0),
-        12: lambda: u + o * 2 - 1.0,
-        13: lambda: dodge,
-        14: lambda: F.when(o < 0.5, F.when(o > 0, 1.0 - F.try_divide(1.0 - u, o * 2)).otherwise(0.0)).otherwise(F.when(o < 1, F.try_divide(u, (1.0 - o) * 2)).otherwise(1.0)),
-        15: lambda: (u + o) * 0.5,
-        16: lambda: F.when(o > 0, F.try_divide(u, o)).otherwise(1.0),
-        17: lambda: o + u - o * u * 2,
-        18: lambda: F.abs(u - o),
-        19: lambda: u - o,
-        22: lambda: 1.0 - F.abs(o - u),
-    }
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), modes[mode]() if mode in modes else o))
+    return _columns(mode, top.cast("double"), bottom.cast("double"))
 
 
 def luminosity(r: Column, g: Column, b: Column, alternate: bool = False) -> Column:

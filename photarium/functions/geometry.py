@@ -59,20 +59,18 @@ def weigh(a: Column, b: Column, weight: Column) -> Column:
 
 
 def fit_size(width: Column, height: Column, box_width: Column, box_height: Column) -> Column:
-    """struct(w, h): the size at which an image fills a box, ratio kept at 5 decimals; smaller images are enlarged."""
-    five = lambda a, b: F.floor(F.try_divide(a.cast("double"), b.cast("double")) * 100000.0 + 0.5) / 100000.0
-    near = lambda x: F.floor(x + 0.5).cast("int")
-    ratio, box = five(width, height), five(box_width, box_height)
-    tall = F.when(height <= box_height, box_height).otherwise(height)
-    by_width = near(F.try_divide(box_width.cast("double"), ratio))
-    over = by_width > box_height
-    capped = F.when(height >= box_height, box_height).otherwise(height)
-    small = (width <= box_width) & (height <= box_height)
-    w = F.when(small, F.when(over, near(tall * ratio)).otherwise(box_width)).when(ratio > box, box_width).otherwise(near(capped * ratio))
-    h = F.when(small, F.when(over, tall).otherwise(by_width)).when(ratio > box, by_width).otherwise(capped)
-    bad = (width < 1) | (height < 1) | (box_width < 1) | (box_height < 1)
-    one = F.lit(1)
-    return F.struct(F.greatest(one, F.when(bad, width).otherwise(w)).alias("w"), F.greatest(one, F.when(bad, height).otherwise(h)).alias("h"))
+    """struct(w, h): the size at which an image fits a box, of two: as wide as the box, or as high as wanted, the other side following by
+    the ratio at 5 decimals. Images smaller than the box are enlarged to it, others are as high as they are, or as the box."""
+    share = lambda a, b: F.floor(F.try_divide(a.cast("double"), b.cast("double")) * 1e5 + 0.5) / 1e5
+    whole = lambda x: F.floor(x + 0.5).cast("int")
+    ratio, smaller = share(width, height), (width <= box_width) & (height <= box_height)
+    wide = F.struct(box_width.cast("int").alias("w"), whole(F.try_divide(box_width.cast("double"), ratio)).alias("h"))
+    wanted = F.when(smaller, box_height).otherwise(F.least(height, box_height)).cast("int")
+    high = F.struct(whole(wanted * ratio).alias("w"), wanted.alias("h"))
+    use_wide = F.when(smaller, wide["h"] <= box_height).otherwise(ratio > share(box_width, box_height))
+    as_is = F.struct(width.cast("int").alias("w"), height.cast("int").alias("h"))
+    size = F.when(F.least(width, height, box_width, box_height) < 1, as_is).when(use_wide, wide).otherwise(high)
+    return F.struct(*[F.greatest(F.lit(1), size[c]).alias(c) for c in ("w", "h")])
 
 
 def dots_per_inch(dots_per_metre: Column) -> Column:

@@ -37,20 +37,25 @@ def is_number(text: Column) -> Column:
     return F.expr("true") & F.coalesce(text.try_cast("double").isNotNull(), F.lit(False))
 
 
+#: Pixels of a unit, to be rounded. vmin is read as inches.
+UNITS = {"pt": 1.33333, "pc": 16.0, "cm": 37.795275591, "mm": 3.7795275591, "in": 96.0, "vmin": 96.0}
+_LENGTH = r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?)?.*?(px|pt|pc|cm|mm|in|vw|vh|vmin|vmax|%|$)"
+
+
 def svg_pixels(length: Column, screen_width: float = 1920, screen_height: float = 1080) -> Column:
-    """Pixels of an SVG length. Lengths that depend on the view use a screen of the given size."""
-    s = F.lower(F.regexp_replace(length, " ", ""))
-    number = F.coalesce(F.regexp_extract(s, r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?)", 1).try_cast("double"), F.lit(0.0))
-    base = float(int((screen_width + screen_height) / 2 + 0.5) * 2)
-    plain = s.rlike(r"^[0-9.+\-e]+$") & (number > 0)
-    out = F.when(s == "", base).when(s.contains("px") | plain, number)
-    # fixed values: pixels of a unit
-    for unit, factor in (("pt", 1.33333), ("pc", 16.0), ("cm", 37.795275591), ("mm", 3.7795275591), ("in", 96.0)):
-        out = out.when(s.contains(unit), F.floor(number * factor + 0.5).cast("double"))
-    for unit, size in (("vw", screen_width), ("vh", screen_height), ("vmin", min(screen_width, screen_height)), ("vmax", max(screen_width, screen_height))):
-        out = out.when(s.contains(unit), F.lit(size * 2.0))
+    """Pixels of an SVG length, a number and a unit. Lengths that depend on the view use a screen of the given size; what has no number
+    and no unit is as large as twice the mean of the screen's sides."""
+    larger, mean = max(screen_width, screen_height), float(int((screen_width + screen_height) / 2 + 0.5))
+    view = {"vw": screen_width * 2.0, "vh": screen_height * 2.0, "vmax": larger * 2.0}
+    table = lambda values: F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    text = F.lower(F.regexp_replace(length, " ", ""))
+    number = F.coalesce(F.regexp_extract(text, _LENGTH, 1).try_cast("double"), F.lit(0.0))
+    unit = F.regexp_extract(text, _LENGTH, 2)
+    plain = (unit == "px") | (text.rlike(r"^[0-9.+\-e]+$") & (number > 0))
     share = F.greatest(F.lit(0.1), F.least(F.lit(1.0), number / 200.0))
-    return out.when(s.contains("%"), F.floor(share * max(screen_width, screen_height) + 0.5).cast("double") * 3.0).otherwise(F.lit(base))
+    of_view = F.when(unit == "%", F.floor(share * larger + 0.5) * 3.0).otherwise(F.try_element_at(table(view), unit))
+    rounded = F.floor(number * F.try_element_at(table(UNITS), unit) + 0.5).cast("double")
+    return F.when(plain, number).otherwise(F.coalesce(rounded, of_view, F.lit(mean * 2.0)))
 
 
 def group_label(root: Column, tag: Column) -> Column:

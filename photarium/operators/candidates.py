@@ -1,7 +1,7 @@
 """Candidate groups: files that agree in a set of keys.
 
-One window over the keys counts a group's members; groups of two or more get ordinals by key, and their members a sequence. The ordinals
-come from a table with one row a group, so the files themselves are shuffled once, by key.
+Groups of two or more are counted with partial sums and get ordinals by key; the files meet them in an equi-join and get a sequence within
+their group. Members of groups beyond HOT_GROUP are numbered by ranges of their order, so that no group has to fit one task.
 """
 
 from __future__ import annotations
@@ -15,6 +15,10 @@ from photarium.functions.text import nocase
 from photarium.operators.merge import renumbered, sums_before
 
 
+#: Members of a group up to which one task numbers them.
+HOT_GROUP = 1 << 20
+
+
 def key_column(name: str, precision: int) -> Column:
     """Text folded where it compares without case, other columns rounded unless they are compared as they are."""
     c = F.col(name)
@@ -28,10 +32,16 @@ def candidate_groups(files: DataFrame, keys: dict[str, Column], order: list[Colu
     names = [f"_k{i}" for i in range(len(keys))]
     rows = files.where(live) if live is not None else files
     keyed = rows.withColumns(dict(zip(names, keys.values()))).dropna(subset=names)
-    members = keyed.withColumn("_n", F.count("*").over(Window.partitionBy(*names))).where("_n > 1").drop("_n")
-    ordinals = renumbered(keyed.groupBy(*names).agg(F.count("*").alias("_n")).where("_n > 1").select(*names), [F.col(n) for n in names], "group_id")
-    numbered = members.join(ordinals, names)
-    return numbered.withColumn("cand_seq", F.row_number().over(Window.partitionBy("group_id").orderBy(*order))).drop(*names)
+    groups = renumbered(keyed.groupBy(*names).agg(F.count("*").alias("_n")).where("_n > 1"), [F.col(n) for n in names], "group_id")
+    members = keyed.join(groups, names).drop(*names)
+    place = F.row_number().over(Window.partitionBy("group_id").orderBy(*order))
+    if not groups.where(F.col("_n") > HOT_GROUP).limit(1).count():
+        return members.withColumn("cand_seq", place).drop("_n")
+    usual = members.where(F.col("_n") <= HOT_GROUP).withColumn("cand_seq", place).drop("_n")
+    hot = groups.where(F.col("_n") > HOT_GROUP).select("group_id", "_n")
+    placed = renumbered(members.where(F.col("_n") > HOT_GROUP).drop("_n"), [F.col("group_id"), *order], "_at")
+    within = placed.join(sums_before(hot, "group_id", "_n", "_before"), "group_id")
+    return usual.unionByName(within.withColumn("cand_seq", (F.col("_at") - F.col("_before")).cast("int")).drop("_at", "_before"))
 
 
 def image_candidates(images: DataFrame, columns: tuple[str, ...], precision: int = 2, hash_column: str | None = None, id_order: str = "imgidu") -> DataFrame:

@@ -101,12 +101,15 @@ def by_extension(files: DataFrame, path: str = "fullPath") -> DataFrame:
 
 
 def in_random_order(files: DataFrame, key: str, seed: int = 0, bias: float = 0.0, position: str | None = None) -> DataFrame:
-    """Adds `rank_key`, by which the list is in a random order that a rerun repeats. bias in -1..1 prefers the first or second half."""
-    draw = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    if bias and position:
-        share = F.percent_rank().over(Window.partitionBy(F.lit(1)).orderBy(position))
-        draw = draw - F.when((share < 0.5) == (bias < 0), F.lit(abs(bias) / 2)).otherwise(F.lit(0.0))
-    return files.withColumn("rank_key", draw)
+    """Adds `rank_key`, by which the list is in a random order that a rerun repeats: ten hexadecimal digits of a hash, as a share of all.
+    bias in -1..1 prefers the list's first or second half by position (whole numbers without gaps)."""
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 1, 10)
+    draw = F.conv(digits, 16, 10).cast("double") / float(1 << 40)
+    if not (bias and position):
+        return files.withColumn("rank_key", draw)
+    ends = F.broadcast(files.agg(F.min(position).alias("_low"), F.max(position).alias("_high")))  # one row
+    first = F.col(position) - F.col("_low") < (F.col("_high") - F.col("_low")) / 2
+    return files.join(ends).withColumn("rank_key", draw - F.when(first == F.lit(bias < 0), F.lit(abs(bias) / 2)).otherwise(F.lit(0.0))).drop("_low", "_high")
 
 
 def reversed_list(files: DataFrame, position: str = "position") -> DataFrame:
@@ -146,7 +149,8 @@ def dropped_paths(paths: DataFrame, column: str = "path", most: int = 98_700) ->
     return paths.limit(most).withColumn("kind", kind)
 
 
-def compare_sets(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(side, n): rows that only one side has, as EXCEPT counts them."""
-    left = a.exceptAll(b).agg(F.count("*").alias("n")).select(F.lit("a").alias("side"), "n")
-    return left.union(b.exceptAll(a).agg(F.count("*").alias("n")).select(F.lit("b").alias("side"), "n"))
+def compare_sets(a: DataFrame, b: DataFrame, repeats: bool = False) -> DataFrame:
+    """(side, n): distinct rows that only one side has, as EXCEPT counts them; with repeats, as EXCEPT ALL does."""
+    only = lambda x, y: x.exceptAll(y) if repeats else x.subtract(y)
+    left = only(a, b).agg(F.count("*").alias("n")).select(F.lit("a").alias("side"), "n")
+    return left.union(only(b, a).agg(F.count("*").alias("n")).select(F.lit("b").alias("side"), "n"))

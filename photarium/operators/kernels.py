@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from photarium.functions.colour import GRAY
+from photarium.functions.colour import GRAY, Blend
 
 IMAGE = "img_id long, w int, h int, channels int, pixels binary"
 
@@ -196,17 +196,22 @@ def apply_kernel(images: DataFrame, name: str, **options) -> DataFrame:
     return images.select("img_id", "w", "h", "channels", "pixels").mapInPandas(of, IMAGE)
 
 
+def _share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.divide(a, b, out=np.zeros(np.shape(a)), where=b != 0)
+
+
+_arrays = Blend(np.where, np.minimum, np.maximum, np.sqrt, np.abs, _share)
+
+
 def blend_images(top: DataFrame, bottom: DataFrame, mode: int) -> DataFrame:
     """Pairs of images of one id and size, blended by the modes of functions.colour.blend."""
-    simple = {1: np.minimum, 2: np.multiply, 5: np.maximum, 6: lambda o, u: 1 - (1 - o) * (1 - u), 7: np.add, 15: lambda o, u: (o + u) / 2, 18: lambda o, u: abs(u - o), 19: lambda o, u: u - o, 22: lambda o, u: 1 - abs(o - u)}
-    f = simple[mode]
     both = top.alias("t").join(bottom.alias("b"), ["img_id", "w", "h", "channels"]).selectExpr("img_id", "w", "h", "channels", "t.pixels AS pixels", "b.pixels AS under")
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = batch[["img_id", "w", "h", "channels"]].copy()
             o, u = ([np.frombuffer(x, np.uint8) / 255 for x in batch[c]] for c in ("pixels", "under"))
-            out["pixels"] = [np.floor(np.clip(f(a, b), 0, 1) * 255 + 0.5).astype(np.uint8).tobytes() for a, b in zip(o, u)]
+            out["pixels"] = [np.floor(_arrays(mode, a, b) * 255 + 0.5).astype(np.uint8).tobytes() for a, b in zip(o, u)]
             yield out
 
     return both.mapInPandas(of, IMAGE)

@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from photarium.functions.bits import NO_SCORE, ham_mask, hamming, msd
+from photarium.operators.merge import renumbered
 
-#: Members a group has at most to be joined without bands, and rows of a tile.
-SMALL_GROUP = 64
+#: Rows of a tile.
 TILE = 256
 
 
@@ -54,6 +54,8 @@ def sweep(candidates: DataFrame, threshold: int, left_crop: int = 0, right_crop:
 
         a, b = keyed(outer, "probe").alias("o"), keyed(inner, "hash").alias("i")
         on = (F.col("o.group_id") == F.col("i.group_id")) & (F.col("o.band") == F.col("i.band")) & (F.col("o.bits") == F.col("i.bits"))
+        differ = F.col("o.probe").bitwiseXOR(F.col("i.hash"))
+        on = on & (F.col("o.band") == F.coalesce(*[F.when(differ.bitwiseAND(b) == 0, F.lit(k)) for k, b in enumerate(bands)]))
     else:
         # tiles: rows of a group in blocks, each earlier block against itself and the later ones
         blocks = rows.groupBy("group_id").agg(F.ceil(F.count("*") / TILE).cast("int").alias("_blocks"))
@@ -62,11 +64,10 @@ def sweep(candidates: DataFrame, threshold: int, left_crop: int = 0, right_crop:
         a, b = outer.alias("o"), inner.alias("i")
         on = (F.col("o.group_id") == F.col("i.group_id")) & (F.col("o._o") == F.col("i._o")) & (F.col("o._i") == F.col("i._i"))
     distance = hamming(F.col("o.probe"), F.col("i.hash"), mask)
-    pairs = a.join(b, on & (F.col("o.cand_seq") < F.col("i.cand_seq")) & (distance < threshold)).select(
+    return a.join(b, on & (F.col("o.cand_seq") < F.col("i.cand_seq")) & (distance < threshold)).select(
         F.col("o.group_id").alias("group_id"), F.col("i.id").alias("id_a"), F.col("o.id").alias("id_b"), F.col("i.cand_seq").alias("seq_a"),
         F.col("o.cand_seq").alias("seq_b"), F.col("o.variant").alias("variant"), distance.cast("int").alias("ham_dist"),
     )
-    return pairs.distinct()
 
 
 #: The order in which a sweep lists its pairs.
@@ -85,7 +86,7 @@ def without_scores(pairs: DataFrame) -> DataFrame:
 
 def have_scores(pairs: DataFrame, pair_order: list[str] | None = None) -> DataFrame:
     """(have_msd): whether at least two pairs among the first half, two at least, of the ordered list have a score."""
-    order = list(pair_order or PAIR_ORDER)
-    total = pairs.count()
-    first = pairs.orderBy(*order).limit(max(2, total // 2))
+    placed = renumbered(pairs.select(*(pair_order or PAIR_ORDER), "mse"), [F.col(c) for c in pair_order or PAIR_ORDER], "_at")
+    half = placed.agg(F.greatest(F.lit(2), F.floor(F.count("*") / 2)).alias("_half"))
+    first = placed.join(F.broadcast(half)).where("_at <= _half")  # half: one row
     return first.agg((F.count_if(F.col("mse") < NO_SCORE) >= 2).alias("have_msd"))

@@ -22,5 +22,5 @@ def test_whole_merge_grows_with_the_table(spark, tmp_path):
     segment = F.when(keys % 5 == 0, "BUILDING").otherwise("FURNITURE")
     rows = spark.range(2000).select(keys.alias("c_custkey"), F.concat(F.lit("Customer#"), keys).alias("c_name"), F.lit(1).alias("c_nationkey"), segment.alias("c_mktsegment"), F.lit(1.0).alias("c_acctbal"))
     rows.write.parquet(f"{tmp_path}/customer.parquet")
-    got = catalog.QUERIES["import_merge_whole"](spark, str(tmp_path)).collect()
+    got = catalog.QUERIES["import_merge"](spark, str(tmp_path)).collect()
     assert len(got) == 2400 and {r["old_main"] for r in got} - {None} == {r["old_other"] for r in got} - {None} == set(range(1, 2001))
