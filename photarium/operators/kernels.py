@@ -151,32 +151,170 @@ def fill_holes(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def _spread(area: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """The area, carried along every row as far as `near` goes without a gap."""
+    run = np.cumsum(np.diff(near, axis=1, prepend=False) & near, axis=1) + np.arange(len(near))[:, None] * (near.shape[1] + 1)
+    return near & np.isin(run, np.unique(run[area & near]))
+
+
 def flood_fill(x: np.ndarray, row: int = 0, column: int = 0, colour: tuple[int, ...] = (255, 0, 0), tolerance: float = 0.0) -> np.ndarray:
-    """Fills the connected area whose gray is within the tolerance of the start's."""
+    """Fills the connected area whose gray is within the tolerance of the start's; whole runs of rows and columns at a time."""
     g, out = gray(x), x.copy()
     near = np.abs(g - g[row, column]) <= tolerance
     area = np.zeros(g.shape, bool)
     area[row, column] = True
     while True:
-        grown = area.copy()
-        grown[1:] |= area[:-1]
-        grown[:-1] |= area[1:]
-        grown[:, 1:] |= area[:, :-1]
-        grown[:, :-1] |= area[:, 1:]
-        grown &= near
+        grown = _spread(_spread(area, near).T, near.T).T
         if (grown == area).all():
             break
         area = grown
-    out[area, : len(colour)] = colour
+    n = min(len(colour), x.shape[2])
+    out[area, :n] = colour[:n]
+    return out
+
+
+def rotate(x: np.ndarray, degrees: float = 30.0, back: tuple[int, ...] = (0, 0, 0, 0)) -> np.ndarray:
+    """About the centre, clockwise, in a frame of the same size; nearest pixels, `back` where there are none."""
+    h, w = x.shape[:2]
+    r, c = np.indices((h, w)) - np.array([(h - 1) / 2, (w - 1) / 2])[:, None, None]
+    t = np.radians(degrees)
+    row, column = (np.floor(v + 0.5).astype(int) for v in (r * np.cos(t) - c * np.sin(t) + (h - 1) / 2, r * np.sin(t) + c * np.cos(t) + (w - 1) / 2))
+    inside = (row >= 0) & (row < h) & (column >= 0) & (column < w)
+    return np.where(inside[:, :, None], x[np.clip(row, 0, h - 1), np.clip(column, 0, w - 1)], np.array(back[: x.shape[2]], float))
+
+
+def rotate_blur(x: np.ndarray, degrees: float = 10.0, steps: int = 9) -> np.ndarray:
+    """Mean of copies turned by up to that angle to either side; where a copy has no pixel the original stands in."""
+    total = np.zeros(x.shape)
+    for angle in np.linspace(-degrees, degrees, steps):
+        turned = rotate(x, angle, (-1,) * x.shape[2])
+        total += np.where(turned < 0, x, turned)
+    return total / steps
+
+
+def zoom_blur(x: np.ndarray, amount: float = 0.2, steps: int = 9) -> np.ndarray:
+    """Mean of copies enlarged about the centre by up to that share."""
+    h, w = x.shape[:2]
+    r, c = np.arange(h) - (h - 1) / 2, np.arange(w) - (w - 1) / 2
+    total = np.zeros(x.shape)
+    for scale in np.linspace(1, 1 + amount, steps):
+        row, column = (np.floor(v / scale + n / 2).astype(int) for v, n in ((r, h), (c, w)))
+        total += x[np.clip(row, 0, h - 1)][:, np.clip(column, 0, w - 1)]
+    return total / steps
+
+
+def from_polar(x: np.ndarray) -> np.ndarray:
+    """The inverse of to_polar: rows are radii, columns are angles; the corners repeat the last radius."""
+    h, w = x.shape[:2]
+    r, c = np.indices((h, w)) - np.array([h / 2, w / 2])[:, None, None]
+    radius, turn = np.hypot(r, c) / (min(h, w) / 2) * h, np.mod(np.arctan2(r, c), 2 * np.pi) / (2 * np.pi) * w
+    return x[np.clip(radius.astype(int), 0, h - 1), np.clip(turn.astype(int), 0, w - 1)]
+
+
+def dissolve(x: np.ndarray, reach: int = 3, seed: int = 0) -> np.ndarray:
+    """Every pixel comes from a random place at most `reach` rows and columns away."""
+    h, w = x.shape[:2]
+    move = np.random.default_rng(seed).integers(-reach, reach + 1, (2, h, w))
+    row, column = np.indices((h, w)) + move
+    return x[np.clip(row, 0, h - 1), np.clip(column, 0, w - 1)]
+
+
+def alter_alpha(x: np.ndarray, level: int = 0, replace: bool = False) -> np.ndarray:
+    """Adds to the alpha of pixels that have one, or replaces it."""
+    out = x.copy()
+    seen = x[:, :, 3] > 0
+    out[seen, 3] = level if replace else np.clip(x[seen, 3] + level, 0, 255)
     return out
 
 
+def polygon_mask(w: int, h: int, points: tuple[tuple[float, float], ...]) -> np.ndarray:
+    """Pixels whose centres are inside a polygon of (x, y) corners, by the even-odd rule."""
+    y, x = np.indices((h, w)) + 0.5
+    inside = np.zeros((h, w), bool)
+    for (x1, y1), (x2, y2) in zip(points, points[1:] + points[:1]):
+        if y1 != y2:
+            inside ^= ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
+    return inside
+
+
+def ellipse_mask(w: int, h: int, box: tuple[float, float, float, float]) -> np.ndarray:
+    """Pixels whose centres are inside the ellipse within left, top, right, bottom."""
+    left, top, right, bottom = box
+    y, x = np.indices((h, w)) + 0.5
+    return ((2 * x - left - right) / (right - left)) ** 2 + ((2 * y - top - bottom) / (bottom - top)) ** 2 <= 1
+
+
+def line_mask(w: int, h: int, points: tuple[tuple[float, float], ...], thickness: float = 1.0) -> np.ndarray:
+    """Pixels whose centres are within half the thickness of an open line through the points."""
+    y, x = np.indices((h, w)) + 0.5
+    near = np.full((h, w), np.inf)
+    for (x1, y1), (x2, y2) in zip(points, points[1:]):
+        dx, dy = x2 - x1, y2 - y1
+        t = np.clip(((x - x1) * dx + (y - y1) * dy) / max(dx * dx + dy * dy, 1e-12), 0, 1)
+        near = np.minimum(near, np.hypot(x - x1 - t * dx, y - y1 - t * dy))
+    return near <= thickness / 2
+
+
+def curve_points(points: tuple[tuple[float, float], ...], steps: int = 16) -> tuple[tuple[float, float], ...]:
+    """Points along cubic Bezier curves given by 1 + 3 n points."""
+    p = np.array(points, float)
+    out = [tuple(p[0])]
+    for k in range(0, len(p) - 3, 3):
+        t = np.linspace(0, 1, steps + 1)[1:, None]
+        a, b, c, d = p[k : k + 4]
+        out += map(tuple, (1 - t) ** 3 * a + 3 * (1 - t) ** 2 * t * b + 3 * (1 - t) * t * t * c + t**3 * d)
+    return tuple((float(x), float(y)) for x, y in out)
+
+
+def selection(w: int, h: int, shape: str, points, inverted: bool = False, feather: int = 0) -> np.ndarray:
+    """Opacity 0..1 of a selected area: a polygon or curve by its points, an ellipse by its box, a line by its points."""
+    if shape == "ellipse":
+        mask = ellipse_mask(w, h, points)
+    elif shape == "line":
+        mask = line_mask(w, h, points)
+    else:
+        mask = polygon_mask(w, h, curve_points(points) if shape == "curve" else tuple(points))
+    mask = (~mask if inverted else mask).astype(float)
+    return box_blur(mask[:, :, None], feather)[:, :, 0] if feather else mask
+
+
+def fill_selection(x: np.ndarray, shape: str = "polygon", points=((0, 0), (4, 0), (0, 4)), colour: tuple[int, ...] | None = (255, 0, 0), opacity: float = 1.0, inverted: bool = False, feather: int = 0) -> np.ndarray:
+    """Fills the selected area with a colour, or erases its alpha without one."""
+    share = (selection(x.shape[1], x.shape[0], shape, points, inverted, feather) * opacity)[:, :, None]
+    out = x.copy()
+    if colour is None:
+        out[:, :, 3:] = x[:, :, 3:] * (1 - share)
+    else:
+        n = min(len(colour), x.shape[2])
+        out[:, :, :n] = x[:, :, :n] * (1 - share) + np.array(colour[:n], float) * share
+    return out
+
+
+# of an image and others of its size
+
+
+def mask_as_alpha(x: np.ndarray, mask: np.ndarray, channel: int = 0, invert: bool = False, replace: bool = False) -> np.ndarray:
+    """A channel of the mask as alpha; an alpha that is there already stays where it is lower, unless it is replaced."""
+    alpha = mask[:, :, channel]
+    alpha = 255 - alpha if invert else alpha
+    if not replace and x.shape[2] == 4:
+        alpha = np.minimum(alpha, x[:, :, 3])
+    return np.dstack([x[:, :, :3], alpha])
+
+
+def merge_with_mask(x: np.ndarray, new: np.ndarray, mask: np.ndarray, channel: int = 0, invert: bool = False, shift: int = 0) -> np.ndarray:
+    """The new image where the mask's channel is bright, the old one where it is dark; shift darkens the mask."""
+    share = np.clip((255 - mask[:, :, channel] if invert else mask[:, :, channel]) - shift, 0, 255)[:, :, None] / 255
+    return new * share + x * (1 - share)
+
+
+MASKED: dict[str, Callable] = {f.__name__: f for f in (mask_as_alpha, merge_with_mask)}
 #: Kernels by name: image in, image out.
 KERNELS: dict[str, Callable] = {
     f.__name__: f
     for f in (
         grayscale, pixelate, box_blur, gaussian_blur, sharpen, edges, auto_contrast, adjust, mirror, flip, rotate90, symmetry, set_alpha, resize_to, to_polar,
-        tone_map, colorize, noise, fill_holes, flood_fill,
+        tone_map, colorize, noise, fill_holes, flood_fill, rotate, rotate_blur, zoom_blur, from_polar, dissolve, alter_alpha, fill_selection,
     )
 }
 
@@ -184,16 +322,25 @@ KERNELS: dict[str, Callable] = {
 def apply_kernel(images: DataFrame, name: str, **options) -> DataFrame:
     """Images after a kernel; results are rounded and clipped to bytes."""
     kernel = KERNELS[name]
+    return images.select("img_id", "w", "h", "channels", "pixels").mapInPandas(lambda it: _applied(it, [("channels", "pixels")], kernel, options), IMAGE)
+
+
+def _applied(batches: Iterator[pd.DataFrame], inputs: list[tuple[str, str]], kernel: Callable, options: dict) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for k, (key, w, h) in enumerate(zip(batch["img_id"], batch["w"], batch["h"])):
+            out = kernel(*[np.frombuffer(batch[raw].iloc[k], np.uint8).reshape(h, w, batch[n].iloc[k]).astype(float) for n, raw in inputs], **options)
+            rows.append((key, out.shape[1], out.shape[0], out.shape[2], np.clip(np.floor(out + 0.5), 0, 255).astype(np.uint8).tobytes()))
+        yield pd.DataFrame(rows, columns=["img_id", "w", "h", "channels", "pixels"])
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for key, w, h, n, raw in zip(batch["img_id"], batch["w"], batch["h"], batch["channels"], batch["pixels"]):
-                out = kernel(np.frombuffer(raw, np.uint8).reshape(h, w, n).astype(float), **options)
-                rows.append((key, out.shape[1], out.shape[0], out.shape[2], np.clip(np.floor(out + 0.5), 0, 255).astype(np.uint8).tobytes()))
-            yield pd.DataFrame(rows, columns=["img_id", "w", "h", "channels", "pixels"])
 
-    return images.select("img_id", "w", "h", "channels", "pixels").mapInPandas(of, IMAGE)
+def apply_masked(images: DataFrame, others: list[DataFrame], name: str, **options) -> DataFrame:
+    """Images after a kernel that also takes other images of the same id and size; images without them are left out."""
+    kernel, both, inputs = MASKED[name], images.select("img_id", "w", "h", "channels", "pixels"), [("channels", "pixels")]
+    for k, other in enumerate(others):
+        both = both.join(other.selectExpr("img_id", "w", "h", f"channels AS n{k}", f"pixels AS p{k}"), ["img_id", "w", "h"])
+        inputs.append((f"n{k}", f"p{k}"))
+    return both.mapInPandas(lambda it: _applied(it, inputs, kernel, options), IMAGE)
 
 
 def _share(a: np.ndarray, b: np.ndarray) -> np.ndarray:

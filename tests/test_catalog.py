@@ -1,6 +1,6 @@
 import pytest
 
-from photarium import catalog
+from photarium import catalog, catalog_services, catalog_values  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
