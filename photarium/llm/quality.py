@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photarium.llm.common import small_batches
+from photarium.llm.common import drop, small_batches, store
 
 COMMON = 0.002
 CHUNK_WORDS = 1 << 19
@@ -97,17 +97,24 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 class References:
-    """For each language: shares of classes, and of its common words, the rest last."""
+    """For each language: shares of classes, and of its common words, the rest last. Bins of all languages stand in one array."""
 
     def __init__(self, rows: list[tuple[str, np.ndarray, dict[bytes, int], int]]):
         self.langs = [r[0] for r in rows]
         self.classes = np.array([r[1] / max(1, r[1].sum()) for r in rows]).reshape(len(rows), len(CLASSES))
-        self.words = []
-        for _, _, counts, total in rows:
+        #: Word to (language, bin) pairs, so that a document's own words find their bins.
+        self.places: dict[bytes, list[tuple[int, int]]] = {}
+        shares: list[float] = []
+        self.starts = np.zeros(len(rows), np.int64)
+        for k, (_, _, counts, total) in enumerate(rows):
+            self.starts[k] = len(shares)
             own = {w: n for w, n in counts.items() if n >= COMMON * total}
-            names = sorted(own)
-            shares = np.array([own[w] for w in names] + [total - sum(own.values())], float) / max(1, total)
-            self.words.append(({w: k for k, w in enumerate(names)}, shares))
+            for w in sorted(own):
+                self.places.setdefault(w, []).append((k, len(shares)))
+                shares.append(own[w] / max(1, total))
+            shares.append((total - sum(own.values())) / max(1, total))
+        self.shares = np.array(shares)
+        self.ends = np.append(self.starts[1:], len(shares)) - 1
 
     def distances(self, class_counts: np.ndarray, words: list[bytes]) -> tuple[float, float]:
         """(class distance, word distance) to the language nearest by words, then classes; zeros without any reference."""
@@ -116,13 +123,17 @@ class References:
         by_class = distance(class_counts, self.classes)
         by_word = np.ones(len(self.langs))
         if words:
-            counts = Counter(words)
-            for k, (place, shares) in enumerate(self.words):
-                own = np.zeros(len(shares))
-                for w, at in place.items():
-                    own[at] = counts.get(w, 0)
-                own[-1] = len(words) - own.sum()
-                by_word[k] = distance(own, shares)
+            own, rest = np.zeros(len(self.shares)), np.full(len(self.langs), len(words), float)
+            for w, n in Counter(words).items():
+                for k, at in self.places.get(w, ()):
+                    own[at] = n
+                    rest[k] -= n
+            own[self.ends] = rest
+            own /= len(words)
+            mean = (own + self.shares) / 2
+            with np.errstate(divide="ignore", invalid="ignore"):
+                both = np.where(own > 0, own * np.log2(own / mean), 0) + np.where(self.shares > 0, self.shares * np.log2(self.shares / mean), 0)
+            by_word = np.sqrt(np.clip(np.add.reduceat(both, self.starts) / 2, 0, 1))
         at = min(range(len(self.langs)), key=lambda k: (by_word[k], by_class[k]))
         return float(by_class[at]), float(by_word[at])
 
@@ -168,12 +179,13 @@ def _summed(docs: DataFrame, keep: dict[str, set[bytes]] | None) -> DataFrame:
 
 def references(docs: DataFrame) -> References:
     """From docs(lang, text), over all rows with a language. What comes to the driver: at most 4 / (3 * COMMON) words a language."""
-    first = _summed(docs, None).where("n > 0")
+    first = store(_summed(docs, None).where("n > 0"), "quality-words")
     totals = first.where("word is null").select("lang", F.col("n").alias("total"))
     near = first.where("word is not null").join(totals, "lang").where(F.col("n") >= F.col("total") * (COMMON * 3 / 4)).select("lang", "word")
     keep: dict[str, set[bytes]] = {}
     for r in near.collect():
         keep.setdefault(r["lang"], set()).add(bytes(r["word"]))
+    drop(first)
     rows = _summed(docs, keep).where(F.col("n") > 0)
     words: dict[str, dict[bytes, int]] = {}
     total = []
