@@ -2,11 +2,13 @@
 
 Features are hashed byte trigrams of the lower-cased text with everything but letters as blanks, in relative frequencies over the whole
 text. The models are linear, so a text's score under each is the mean of one table's entries over its trigrams: prediction reads every
-text once, in Arrow batches, with a table of a few megabytes. Fitting uses a bounded sample, TRAIN_ROWS documents in all.
+text once, in Arrow batches, with a table of a few megabytes. Fitting uses a bounded sample: TRAIN_ROWS documents, or LEAST_EACH of each of
+very many languages.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -26,9 +28,10 @@ FAMILIES = {
     "turkic": ("tr", "az", "kk", "uz"),
 }
 
-#: Documents fitted on at most, and in each language at most.
+#: Documents fitted on, shared by the languages, and of each language at most and at least.
 TRAIN_ROWS = 4000
 TRAIN_ROWS_EACH = 600
+LEAST_EACH = 10
 FOLDS = 5
 TABLE_BITS = 15
 SCALE = 20.0
@@ -50,12 +53,22 @@ def has_letter(text: str | None) -> bool:
     return text is not None and _LETTER.search(text) is not None
 
 
-def trigrams(text: str) -> np.ndarray:
-    """Table positions of a text's byte trigrams, blanks around it included."""
-    raw = b" " + text.lower().encode("utf-8", "replace").translate(_BLANKS) + b" "
-    b = np.frombuffer(raw, np.uint8).astype(np.uint32)
-    mixed = (b[:-2] | b[1:-1] << np.uint32(8) | b[2:] << np.uint32(16)) * np.uint32(0x9E3779B1)
-    return mixed >> np.uint32(32 - TABLE_BITS)
+def trigrams(text: str) -> Iterator[np.ndarray]:
+    """Table positions of a text's byte trigrams, blanks around it included, some CHUNK at a time."""
+    raw = np.frombuffer(b" " + text.lower().encode("utf-8", "replace").translate(_BLANKS) + b" ", np.uint8)
+    for at in range(0, len(raw) - 2, CHUNK):
+        b = raw[at : at + CHUNK + 2].astype(np.uint32)
+        mixed = (b[:-2] | b[1:-1] << np.uint32(8) | b[2:] << np.uint32(16)) * np.uint32(0x9E3779B1)
+        yield mixed >> np.uint32(32 - TABLE_BITS)
+
+
+def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Positions that a text has, and how often: at most the table's size, however long the text."""
+    total = np.zeros(1 << TABLE_BITS, np.int64)
+    for part in trigrams(text):
+        total += np.bincount(part, minlength=1 << TABLE_BITS)
+    at = np.flatnonzero(total)
+    return at, total[at]
 
 
 def _fit(features: list[tuple[np.ndarray, np.ndarray]], sign: np.ndarray) -> np.ndarray:
@@ -78,13 +91,13 @@ def _fit(features: list[tuple[np.ndarray, np.ndarray]], sign: np.ndarray) -> np.
 class Model:
     """Families, their languages, and one column of weights for each binary decision."""
 
-    def __init__(self, texts: list[str], langs: list[str]):
+    def __init__(self, taught: list[tuple[np.ndarray, np.ndarray]], langs: list[str]):
+        """taught: counts() of the texts."""
         self.langs = sorted(set(langs))
         self.families = sorted({family_of(x) for x in self.langs})
         self.members = {f: [x for x in self.langs if family_of(x) == f] for f in self.families}
         features = []
-        for text in texts:
-            at, n = np.unique(trigrams(text), return_counts=True)
+        for at, n in taught:
             features.append((np.append(at, 1 << TABLE_BITS), np.append(n * (SCALE / n.sum()), 1.0)))
         lang = np.array(langs)
         family = np.array([family_of(x) for x in langs])
@@ -102,9 +115,7 @@ class Model:
         out = np.zeros((len(texts), self.table.shape[1]))
         for i, text in enumerate(texts):
             total, n = 0.0, 0
-            for at in range(0, len(text), CHUNK):
-                # a trigram across the cut is the only one that whole-text reading would add
-                part = trigrams(text[at : at + CHUNK])
+            for part in trigrams(text):
                 total, n = total + self.table[part].sum(axis=0, dtype=np.float64), n + len(part)
             out[i] = total / n + self.bias
         return out
@@ -137,22 +148,23 @@ class Model:
 
 
 def sample(docs: DataFrame) -> DataFrame:
-    """(lang, text): the rows to fit on, bounded by TRAIN_ROWS: per language those of the smallest hashes, outside the held-out fold.
-
-    Of more than TRAIN_ROWS / 10 languages the most frequent are learned.
-    """
+    """(lang, at, n): counts() of the rows to fit on: per language those of the smallest hashes, outside the held-out fold. TRAIN_ROWS
+    are shared by the languages, of which each has LEAST_EACH at least and TRAIN_ROWS_EACH at most."""
     taught = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     labelled = taught.where(F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in taught.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(TRAIN_ROWS // 10).collect()}
-    if not counts:
-        return labelled.select("lang", "text").limit(0)
-    each = min(TRAIN_ROWS_EACH, TRAIN_ROWS // len(counts))
-    # 2.5 times the share, as hashes spread; the exact cut comes after, over a number of rows that TRAIN_ROWS bounds
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 2.5 * each / n)))])
+    sizes = {r["lang"]: r["n"] for r in taught.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
+    each = min(TRAIN_ROWS_EACH, max(LEAST_EACH, TRAIN_ROWS // max(1, len(sizes))))
+    # 2.5 times the share, as hashes spread; the exact cut comes after, over a number of rows that the bounds hold
+    share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, 2.5 * each / n)))]) if sizes else F.create_map().cast("map<string,double>")
     key = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fit")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     near = labelled.withColumn("_key", key).where(F.col("_key") < F.element_at(share, F.col("lang")))
     ranked = near.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_key", "text")))
-    return ranked.where(F.col("_n") <= each).select("lang", "text")
+
+    @F.pandas_udf("at array<int>, n array<long>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([counts(x) for x in texts], columns=["at", "n"])
+
+    return ranked.where(F.col("_n") <= each).select("lang", of("text").alias("c")).select("lang", "c.at", "c.n")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -161,8 +173,9 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame) -> Model | None:
-    rows = sorted((r["lang"], r["text"]) for r in sample(docs).collect())
-    return Model([t for _, t in rows], [x for x, _ in rows]) if rows else None
+    """What comes to the driver is bounded by the rows of sample() and the size of the table, not by the texts' lengths."""
+    rows = sorted((r["lang"], r["at"], r["n"]) for r in sample(docs).collect())
+    return Model([(np.array(at, np.int64), np.array(n, np.float64)) for _, at, n in rows], [x for x, *_ in rows]) if rows else None
 
 
 def predict_of(model: Model | None, text: Column) -> Column:
@@ -197,7 +210,11 @@ LEAST_SCORE = 0.2
 
 
 def language_filter(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of docs whose language is recognised with at least that confidence, lang set to the prediction; the others go."""
+    """The rows of docs whose language is recognised with at least that confidence, lang set to the prediction; the others go.
+
+    Null, empty and letterless texts go; of a table that teaches nothing, and of an empty one, no row stays; texts of any length are read
+    whole; repeated rows are kept or go together; all columns stay, whatever their names.
+    """
     row = small_batches(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), predict_of(fit(docs.select("doc_id", "text", "lang")), F.col("text")).alias("p"))
     kept = row.where((F.col("p.lang") != UNDECIDED) & (F.col("p.score") >= least))
     return kept.select(*[(F.col("p.lang") if c == "lang" else F.col("row").getField(c)).alias(c) for c in docs.columns])
