@@ -1,6 +1,11 @@
 """The training-corpus pipeline: five stages over `documents`, each an operator of photarium.llm.
 
-A stage takes all that its predecessor kept, and all but the last return the columns of documents.
+A stage takes all that its predecessor kept, and all but the last return the columns of documents, whatever further columns there are.
+
+Null, empty and letterless texts go in the first stage, which takes them for no language. The others take them too: the near-dedup keeps
+one text without words, as copies of each other; the substring dedup keeps them as they are; the mixing takes none; the encoding gives
+them no ids. Of equal rows the near-dedup keeps one, of equal ids any number. Texts of any length are read whole. An empty table stays
+empty through all stages.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photarium.llm import byte_bpe, langid, mixing, recompression, simhash
-from photarium.llm.common import small_batches, store
+from photarium.llm.common import drop, small_batches, store
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +56,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; each one's table is deleted when the next one's is written, the last but one's with the driver."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = store(docs, f"pipeline-{name}")
+            if before is not None:
+                drop(before)
+            before = docs
     return docs

@@ -18,12 +18,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where it is unset (tests, local mode) a temporary one."""
+    """The folder in spark.checkpoint.dir; only where it is unset, and all runs in one process, a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         context = spark.sparkContext
         root = context.getCheckpointDir()
         if not root:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="photarium-"))
             root = context.getCheckpointDir()
     return root.rstrip("/")

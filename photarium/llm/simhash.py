@@ -385,7 +385,7 @@ def _rooted_wide(docs: DataFrame, shingle: int, similarity: float) -> tuple[Data
     roots = cut(connected_components(wide_links(wide, similarity)))
     fps = cut(wide.select("fp").join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root")))
     drop(wide)
-    return rows.select("doc_id", "rid", "rid2", "fp"), fps
+    return rows, fps
 
 
 # operators
@@ -422,7 +422,8 @@ def dedup(docs: DataFrame, shingle: int = 5, similarity: float | None = 0.8) ->
     rows, rooted = _rooted_wide(docs, shingle, similarity) if similarity is not None else _rooted(docs, shingle)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "rid2"))
     by_fp = rows.groupBy("fp").agg(first.alias("first")).join(rooted, "fp")
-    keep = by_fp.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("rid"), F.col("first.rid2").alias("rid2"))
+    keep = store(by_fp.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("rid"), F.col("first.rid2").alias("rid2")), "simhash-kept")
+    drop(rows)
     kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_ids()).join(keep, ["rid", "rid2"], "left_semi")
     one = kept.withColumn("_n", F.row_number().over(Window.partitionBy("rid", "rid2").orderBy("rid"))).where("_n = 1")
     return one.select("row.*")

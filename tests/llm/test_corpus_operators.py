@@ -1,5 +1,6 @@
 """Each operator against brute force on small tables with nulls, empty and repeated texts, and clashing column names."""
 
+import base64
 import hashlib
 import random
 import zlib
@@ -508,3 +509,83 @@ def test_every_language_has_a_reference(spark):
     rows = [(i, f"word{i} other{i} third{i} " * (300 - i)) for i in range(210)]
     df = frame(spark, rows, lang=F.concat(F.lit("l"), F.col("doc_id")))
     assert set(quality.references(df.select("lang", "text")).langs) == {f"l{i}" for i in range(210)}
+
+
+def test_quality_equals_a_plain_version(spark):
+    rng = random.Random(8)
+    lexicon = {lang: [f"{lang}{rng.randrange(10**4)}" for _ in range(60)] for lang in ("aa", "bb")}
+    rows = [(None, None, "aa"), (1, "", "aa"), (2, " \n\t", None), (3, "x " * 400, "bb")]
+    for k in range(4, 120):
+        lang = rng.choice(("aa", "bb", None))
+        own = lexicon[lang or "aa"] if k % 11 else [f"z{rng.randrange(900)}#1" for _ in range(50)]
+        rows.append((k, "\n".join(" ".join(rng.choices(own, k=rng.choice((1, 5, 30)))) + rng.choice((".", "!", "")) for _ in range(rng.randrange(1, 25))), lang))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("n", F.lit(1)).withColumn("word", F.lit("w"))
+    letters = lambda t: "".join(c if c.isalpha() else " " for c in t.lower()).split()
+
+    def kinds(t):
+        kind = lambda c: "blank" if c in " \t\n\x0b\x0c\r" else "symbol" if c in "#*$%&|<>" else "lower" if c.islower() else "upper" if c.isupper() else "digit" if c.isdigit() else "point" if c in ".,;:!?'\"()-" else "other"
+        return Counter(map(kind, t))
+
+    def far(p, q):
+        p, q = ({k: v / sum(x.values()) for k, v in x.items() if v} for x in (p, q))
+        half = lambda a, b: sum(v * np.log2(2 * v / (v + b.get(k, 0))) for k, v in a.items())
+        return float(np.sqrt(max(0, (half(p, q) + half(q, p)) / 2)))
+
+    known = {}
+    for lang in ("aa", "bb"):
+        every = [t for _, t, own in rows if own == lang and t]
+        words = Counter(w for t in every for w in letters(t))
+        total = sum(words.values())
+        common = {w for w, n in words.items() if n >= quality.COMMON * total}
+        known[lang] = (sum((kinds(t) for t in every), Counter()), Counter({w: words[w] for w in common}) + Counter({None: total - sum(words[w] for w in common)}), common)
+    got = {r["doc_id"]: r for r in quality.rules(df).collect()}
+    assert len(got) == len(rows)
+    judged = set()
+    for k, t, _ in rows:
+        r, n = got[k], len(words_of := (t or "").split())
+        assert r["n_words"] == n
+        if n >= quality.LEAST_CLASS_WORDS:
+            found = []
+            for lang in sorted(known):
+                own = Counter(w if w in known[lang][2] else None for w in letters(t))
+                found.append((far(own, known[lang][1]) if own else 1.0, far(kinds(t), known[lang][0])))
+            word, kind = min(found)
+            assert (r["word_distance"], r["class_distance"]) == (pytest.approx(word, abs=1e-9), pytest.approx(kind, abs=1e-9))
+            windows = Counter(zip(words_of, words_of[1:], words_of[2:]))
+            repeated = {j for i in range(n - 2) if windows[tuple(words_of[i : i + 3])] > 1 for j in range(i, i + 3)}
+            failed = 100 * len(repeated) > 50 * n
+            want = not failed and kind <= quality.MOST_CLASS and not (n >= quality.LEAST_WORD_WORDS and word > quality.MOST_WORD)
+            assert (r["n_repeat_words"], r["base_failed"], r["kept"]) == (len(repeated), failed, want)
+            judged.add((failed, want))
+        else:
+            assert r["base_failed"] and not r["kept"]
+    assert {(False, True), (False, False)} <= judged
+
+
+def test_token_counts_equal_a_plain_version(spark):
+    import tiktoken
+
+    path, pattern = byte_bpe.default_vocabulary()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    rows = [(1, None), (2, ""), (3, "\n\n"), (4, "one\ntwo  \n\n  three"), (4, "one\ntwo  \n\n  three"), (5, "é\n\nü—\n" * 40), (6, "a  \n" * 3000), (None, "no id")]
+    want = Counter()
+    for k, text in rows:
+        lines = (text or "").split("\n")
+        sizes = [len((x + "\n").encode()) for x in lines[:-1]] + [len(lines[-1].encode())]
+        chars = [len(x) + 1 for x in lines[:-1]] + [len(lines[-1])]
+        sections, at, char = [], 0, 0
+        for size, n in zip(sizes, chars):
+            if size:
+                sections.append([at, at + size, char, char + n, 0])
+            at, char = at + size, char + n
+        at, first = 0, 0
+        for token in library.encode_ordinary(text or ""):
+            end = at + len(library.decode_single_token_bytes(token))
+            while first + 1 < len(sections) and sections[first][1] <= at:
+                first += 1
+            shared = [(min(end, s[1]) - max(at, s[0]), -i) for i, s in enumerate(sections[first : first + 200], first)]
+            sections[-max(shared)[1]][4] += 1
+            at = end
+        want.update((k, i, s[2], s[3], s[4]) for i, s in enumerate(sections))
+    assert Counter(map(tuple, tokencounts.token_counts(frame(spark, rows)).collect())) == want

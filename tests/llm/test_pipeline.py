@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from photarium.llm import byte_bpe, simhash
@@ -74,3 +75,27 @@ def test_encoding_stage_equals_the_library(outputs):
     library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     want = Counter((r["doc_id"], tuple(library.encode_ordinary(r["text"] or ""))) for r in outputs[4])
     assert Counter((r["doc_id"], tuple(r["ids"])) for r in outputs[5]) == want and all(r["round_trip"] for r in outputs[5])
+
+
+def test_stages_take_odd_rows_and_none(spark, tmp_path):
+    """Nulls in every column, empty and long texts, equal rows, ties, columns whose names the stages use inside, and empty tables."""
+    plain = "the quick brown fox jumps over the lazy dog and then it sleeps all day long in the warm sun "
+    other = "der schnelle braune Fuchs springt über den faulen Hund und schläft dann den ganzen Tag "
+    rows = [(k, (plain if k % 2 else other) + f"number{k} " * 20, "en" if k % 2 else "de", "s", 5) for k in range(40)]
+    rows += [(None, None, None, None, None), (50, "", "en", None, 0), (51, " \n\t ", None, "s", 3), (52, "12345 678", "en", "t", 9), (53, plain * 3000, "en", "s", None), (54, plain, "en", None, 1), (54, plain, "en", None, 1), (None, other, "de", "t", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("rid", "rid2", "row", "fp", "key", "node", "spans", "size", "taken", "words", "p", "_n"):
+        docs = docs.withColumn(name, F.lit(1))
+    for start in (docs, docs.limit(0)):
+        now = start
+        for name, stage in corpus_pipeline.STAGES:
+            found = stage(spark, now, "")
+            path = f"{tmp_path}/{start is docs}-{name}"
+            found.write.parquet(path)
+            now = spark.read.parquet(path)
+            assert name == "byte_bpe" or now.columns == docs.columns
+        assert (now.count() > 0) == (start is docs)
+    kept = spark.read.parquet(f"{tmp_path}/True-language_id").collect()
+    assert not {r["doc_id"] for r in kept} & {50, 51, 52} and {53, 54, None} <= {r["doc_id"] for r in kept}
+    once = [r["doc_id"] for r in spark.read.parquet(f"{tmp_path}/True-simhash_near_dedup").collect()]
+    assert once.count(54) <= 1 and len(once) == len(set(once))
