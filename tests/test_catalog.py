@@ -24,3 +24,19 @@ def test_whole_merge_grows_with_the_table(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/customer.parquet")
     got = catalog.QUERIES["import_merge"](spark, str(tmp_path)).collect()
     assert len(got) == 2400 and {r["old_main"] for r in got} - {None} == {r["old_other"] for r in got} - {None} == set(range(1, 2001))
+
+
+def test_the_rest_stands_without_the_corpus_operators(tmp_path):
+    """In a copy without the subpackage and its tests, with and without the pipeline's file."""
+    import pathlib
+    import shutil
+    import subprocess
+    import sys
+
+    own = pathlib.Path(__file__).resolve().parent.parent
+    shutil.copytree(own, tmp_path / "copy", ignore=lambda folder, names: [n for n in names if n in ("llm", ".git", "__pycache__")])
+    check = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 80 and set(o) <= set(q) and not any(k.startswith(('op', 'pipeline')) for k in q), sorted(q)"
+    for name in ("corpus_pipeline.py", None):
+        subprocess.run([sys.executable, "-c", check], cwd=tmp_path / "copy", check=True, env={"PATH": "/usr/bin:/bin"})
+        if name:
+            (tmp_path / "copy" / name).unlink(missing_ok=True)
