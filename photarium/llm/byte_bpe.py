@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,7 +24,7 @@ from photarium.llm.known import Known
 
 #: Rank of no pair.
 NONE = np.int32(2**31 - 1)
-#: Bytes of a piece above which a heap takes the place of the matrix: its row would be as wide as all of the piece.
+#: Bytes of a piece above which it has a matrix of its own, of one row.
 LONG_PIECE = 512
 #: Distinct chunks remembered in a task and between tasks, and characters handled at once.
 CHUNKS, CHUNKS_IDLE = 1 << 18, 1 << 15
@@ -95,6 +94,8 @@ class Codec:
         self.length = np.array([len(self.bytes_of.get(k, b"")) for k in range(max(self.bytes_of, default=-1) + 1)], np.int64)
         self.single = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         pairs = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
+        #: Whether every merge has a higher rank than both its parts.
+        self.rising = all(r > max(a, b) for a, b, r in pairs)
         self.table = PairTable(*(np.array(x, np.int32) for x in zip(*pairs))) if pairs else PairTable(*[np.zeros(0, np.int32)] * 3)
         self.chunks, self.pieces = Known(CHUNKS), Known(CHUNKS)
 
@@ -156,40 +157,32 @@ class Codec:
         return done
 
     def _long(self, piece: bytes) -> np.ndarray:
-        """The same merges by a heap of (rank, place): n log n for one piece."""
-        ids = self.single[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(ids)
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        first = self.table.find(np.array(ids[:-1], np.int32), np.array(ids[1:], np.int32)).tolist()
-        heap = [(r, i) for i, r in enumerate(first) if r != NONE]
-        heapq.heapify(heap)
-        rank_at = first + [int(NONE)]
-        known: dict[tuple[int, int], int] = {}
-
-        def rank(i: int) -> int:
-            j = after[i]
-            if j >= n:
-                return int(NONE)
-            pair = ids[i], ids[j]
-            if pair not in known:
-                known[pair] = int(self.table.find(np.array([pair[0]], np.int32), np.array([pair[1]], np.int32))[0])
-            return known[pair]
-
-        while heap:
-            r, i = heapq.heappop(heap)
-            if ids[i] is None or rank_at[i] != r:
-                continue
-            j = after[i]
-            ids[i], ids[j] = r, None
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for k in (i, before[i]):
-                if k >= 0:
-                    rank_at[k] = rank(k)
-                    if rank_at[k] != NONE:
-                        heapq.heappush(heap, (rank_at[k], k))
-        return np.array([x for x in ids if x is not None], np.int32)
+        """The matrix's rounds for one row as wide as the piece. A round takes all pairs of minimum rank at once, the leftmost of those that
+        overlap: a merge makes pairs of higher ranks only, so the others would come next in any case. Rounds are as many as ranks met."""
+        ids = self.single[np.frombuffer(piece, np.uint8)]
+        ranks = self.table.find(ids[:-1], ids[1:])
+        while len(ranks):
+            least = ranks.min()
+            if least == NONE:
+                break
+            at = np.flatnonzero(ranks == least)
+            # of pairs in a row every other one, from the left; all but the first where merges may make lower ranks
+            head = np.diff(at, prepend=-2) > 1
+            first = at[head][np.cumsum(head) - 1]
+            at = at[(at - first) % 2 == 0] if self.rising else at[:1]
+            ids[at] = least
+            stays = np.ones(len(ids), bool)
+            stays[at + 1] = False
+            near = np.zeros(len(ids), bool)  # places whose pair is new
+            near[at] = True
+            near[np.maximum(at - 1, 0)] = True
+            ids, near, old = ids[stays], near[stays], np.append(ranks, NONE)[stays][:-1]
+            # a gap before a new pair: the place before the merged one may itself have been merged away
+            near[:-1] |= near[1:]
+            ranks = old
+            new = np.flatnonzero(near[:-1])
+            ranks[new] = self.table.find(ids[new], ids[new + 1])
+        return ids.astype(np.int32)
 
     # texts
 

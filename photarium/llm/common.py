@@ -119,11 +119,6 @@ def _drop_all() -> None:
             return
 
 
-def row_id(*cols: str | Column) -> Column:
-    """A row's identity where doc_id may be null or repeated: equal for equal rows only."""
-    return F.xxhash64(*cols)
-
-
 def row_ids(names: tuple[str, str] = ("rid", "rid2")) -> list[Column]:
     """A row's identity by doc_id and text where doc_id may be null or repeated, in two columns that hold 128 bits: equal for equal rows only."""
     return [F.xxhash64("doc_id", "text").alias(names[0]), F.xxhash64(F.lit(1), "text", "doc_id").alias(names[1])]

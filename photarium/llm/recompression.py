@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photarium.llm.common import drop, release, row_id, small_batches, store, tidied
+from photarium.llm.common import drop, release, row_ids, small_batches, store, tidied
 
 WINDOW = 35
 #: With more, too few windows of 35 words keep an interior at the top level (3: 0.10 rows a word, 5: 0.27).
@@ -174,19 +174,20 @@ def span_hash(names: np.ndarray, start: np.ndarray, end: np.ndarray, which: int
 
 def _scan(batches: Iterator[pd.DataFrame], window: int, rounds: int) -> Iterator[pd.DataFrame]:
     held: list[np.ndarray] = []
-    rids: list[int] = []
+    rids: list[tuple[int, int]] = []
     total = 0
 
     def flush() -> pd.DataFrame:
         name, stretch, owner, lo, hi = representatives(held, window, rounds)
-        return pd.DataFrame({"name": name.view(np.int64), "stretch": stretch.view(np.int64), "rid": np.array(rids, np.int64)[owner], "span": (lo << 32) | hi})
+        rid, rid2 = np.array(rids, np.int64)[owner].T
+        return pd.DataFrame({"name": name.view(np.int64), "stretch": stretch.view(np.int64), "rid": rid, "rid2": rid2, "span": (lo << 32) | hi})
 
     for batch in batches:
-        for rid, text in zip(batch["rid"], batch["text"]):
+        for rid, rid2, text in zip(batch["rid"], batch["rid2"], batch["text"]):
             words = words_of(text)
             if len(words) >= window:
                 held.append(names_of(words))
-                rids.append(rid)
+                rids.append((rid, rid2))
                 total += len(words)
             if total >= BATCH_WORDS:
                 yield flush()
@@ -200,11 +201,11 @@ def _verify(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFra
     total = 0
 
     def flush() -> pd.DataFrame:
-        h1, h2, rid, span, single = (np.concatenate(x) for x in zip(*out))
-        return pd.DataFrame({"h1": h1.view(np.int64), "h2": h2.view(np.int64), "rid": rid, "span": span, "single": single})
+        h1, h2, rid, rid2, span, single = (np.concatenate(x) for x in zip(*out))
+        return pd.DataFrame({"h1": h1.view(np.int64), "h2": h2.view(np.int64), "rid": rid, "rid2": rid2, "span": span, "single": single})
 
     for batch in batches:
-        for rid, text, spans in zip(batch["rid"], batch["text"], batch["spans"]):
+        for rid, rid2, text, spans in zip(batch["rid"], batch["rid2"], batch["text"], batch["spans"]):
             names = names_of(words_of(text))
             for single in (False, True):
                 own = np.unique([x["span"] for x in spans if x["single"] == single]).astype(np.int64)
@@ -212,7 +213,7 @@ def _verify(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFra
                 starts = np.repeat(lo, hi - lo + 1) + _ramp(hi - lo + 1)
                 starts = starts[starts + window <= len(names)]
                 h1, h2 = span_hash(names, starts, starts + window), span_hash(names, starts, starts + window, 1)
-                out.append((h1, h2, np.full(len(starts), rid, np.int64), (starts << 32) | starts, np.full(len(starts), single)))
+                out.append((h1, h2, np.full(len(starts), rid, np.int64), np.full(len(starts), rid2, np.int64), (starts << 32) | starts, np.full(len(starts), single)))
                 total += len(starts)
         if total >= BATCH_WORDS:
             yield flush()
@@ -222,8 +223,8 @@ def _verify(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFra
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
-    """docs(rid, text) to (rid, spans): ranges of windows found more than once, first << 32 | last, for the texts that have any."""
-    names = store(docs.mapInPandas(lambda it: tidied(_scan(it, window, rounds)), "name long, stretch long, rid long, span long"), "recompression-names")
+    """docs(rid, rid2, text) to (rid, rid2, spans): ranges of windows found more than once, first << 32 | last, for the texts that have any."""
+    names = store(docs.mapInPandas(lambda it: tidied(_scan(it, window, rounds)), "name long, stretch long, rid long, rid2 long, span long"), "recompression-names")
     shared = names.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
     # stored, so that both sides of the join are plain exchanges, which adaptive execution may split where a name is hot
     shared = store(shared, "recompression-repeated")
@@ -231,14 +232,14 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS
     drop(names)
     drop(shared)
     release(docs.sparkSession)
-    kinds = store(ranges.groupBy("name", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("rid", "span")).alias("one")), "recompression-kinds")
-    whole = ranges.join(kinds.where("n > 1").select("name", "stretch"), ["name", "stretch"]).select("rid", "span")
+    kinds = store(ranges.groupBy("name", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("rid", "rid2", "span")).alias("one")), "recompression-kinds")
+    whole = ranges.join(kinds.where("n > 1").select("name", "stretch"), ["name", "stretch"]).select("rid", "rid2", "span")
     mixed = store(kinds.groupBy("name").agg(F.count("*").alias("kinds")).where("kinds > 1").select("name"), "recompression-mixed")
-    ends = kinds.join(mixed, "name").groupBy("one.rid").agg(F.collect_list(F.struct("one.span", (F.col("n") == 1).alias("single"))).alias("spans"))
-    hashes = store(docs.join(ends, "rid").mapInPandas(lambda it: tidied(_verify(it, window)), "h1 long, h2 long, rid long, span long, single boolean"), "recompression-ends")
+    ends = kinds.join(mixed, "name").groupBy("one.rid", "one.rid2").agg(F.collect_list(F.struct("one.span", (F.col("n") == 1).alias("single"))).alias("spans"))
+    hashes = store(docs.join(ends, ["rid", "rid2"]).select("rid", "rid2", "text", "spans").mapInPandas(lambda it: tidied(_verify(it, window)), "h1 long, h2 long, rid long, rid2 long, span long, single boolean"), "recompression-ends")
     twice = store(hashes.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "recompression-twice")
-    partly = hashes.where("single").join(twice, ["h1", "h2"]).select("rid", "span")
-    found = store(whole.union(partly).groupBy("rid").agg(F.collect_set("span").alias("spans")), "recompression-found")
+    partly = hashes.where("single").join(twice, ["h1", "h2"]).select("rid", "rid2", "span")
+    found = store(whole.union(partly).groupBy("rid", "rid2").agg(F.collect_set("span").alias("spans")), "recompression-found")
     for table in (ranges, kinds, mixed, hashes, twice):
         drop(table)
     release(docs.sparkSession)
@@ -256,9 +257,9 @@ def covered(n: int, spans, window: int = WINDOW) -> np.ndarray:
 
 def removals(docs: DataFrame, columns: list[Column], window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """The columns, with `text` and `spans` of each row's repeated windows (null: none)."""
-    own = small_batches(docs).select(row_id("doc_id", "text").alias("rid"), "text")
+    own = small_batches(docs).select(*row_ids(), "text")
     found = repeated_windows(own, window, rounds)
-    return docs.select(row_id("doc_id", "text").alias("rid"), F.col("text").alias("text"), *columns).join(found, "rid", "left")
+    return docs.select(*row_ids(), F.col("text").alias("text"), *columns).join(found, ["rid", "rid2"], "left")
 
 
 def digest_of(text: Column, spans: Column, window: int = WINDOW) -> Column:
