@@ -27,11 +27,11 @@ class Known:
         """Where the keys are, -1 for those that aren't."""
         return np.fromiter(map(self.at.get, keys, repeat(-1)), np.int64, len(keys))
 
-    def meet(self, keys: list, place: np.ndarray) -> np.ndarray:
-        """place with the gaps filled, after the keys have been added; counts the meeting."""
-        for i in np.flatnonzero(place < 0):
-            place[i] = self.at[keys[i]]
-        np.add.at(self.met, place, 1)
+    def meet(self, keys: list, place: np.ndarray, times: np.ndarray | None = None) -> np.ndarray:
+        """place with the gaps filled, after the keys have been added; counts the meeting, or so many of each."""
+        gaps = np.flatnonzero(place < 0)
+        place[gaps] = np.fromiter(map(self.at.__getitem__, map(keys.__getitem__, gaps.tolist())), np.int64, len(gaps))
+        np.add.at(self.met, place, 1 if times is None else times)
         return place
 
     def ids(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -20,6 +20,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -40,7 +42,7 @@ LOW = np.uint64(1 << 31)
 SCHEMA = "shard int, seq int, n_docs long, n_ids long, content binary"
 #: Words remembered in a task, and twice as many pieces; characters encoded at once.
 CHUNKS = 1 << 19
-BATCH_CHARS = 1 << 21
+BATCH_CHARS = 1 << 22
 
 
 class CorruptTokens(ValueError):
@@ -258,13 +260,16 @@ class WordTokens:
         self.words.trim()
         self.pieces.trim()
         marked = {i for i, t in enumerate(texts) if t and any(m in t for m in self.marks)}
-        cut = [_words(t) if t and i not in marked else [] for i, t in enumerate(texts)]
-        places = [self.words.places(words) for words in cut]
-        new = {words[k] for words, p in zip(cut, places) for k in np.flatnonzero(p < 0)}
+        distinct, which, until = _distinct([_cased(t) if t and i not in marked else b"" for i, t in enumerate(texts)])
+        place = self.words.places(distinct)
+        new = [distinct[k] for k in np.flatnonzero(place < 0).tolist()]
         if new:
-            self._learn(list(new))
+            self._learn(new)
+        place = self.words.meet(distinct, place, np.bincount(which, minlength=len(distinct)))
+        flat, size = self.words.ids(place[which])
+        parts = np.split(flat, np.append(0, np.cumsum(size))[until[:-1]])
         whole = lambda t: np.array(self.tokenizer.encode(_sent(t), add_special_tokens=False).ids, np.int32)
-        return [np.append(whole(t) if i in marked else self.words.ids(self.words.meet(words, p))[0], np.int32(end)) for i, (t, words, p) in enumerate(zip(texts, cut, places))]
+        return [np.append(whole(t) if i in marked else part, np.int32(end)) for i, (t, part) in enumerate(zip(texts, parts))]
 
 
 #: The tokenizer's pieces, and the line feed that parts words here.
@@ -284,13 +289,22 @@ def _sent(text: str) -> str:
     return text.encode("utf-8", "replace").decode()
 
 
-def _words(text: str) -> list[bytes]:
-    """Words between ASCII white space; A-Z in lower case where no character could combine with them."""
+def _cased(text: str) -> bytes:
+    """The text as bytes; A-Z in lower case where no character could combine with them."""
     try:
         text.encode("latin-1")
-        return text.encode().lower().split()
+        return text.encode().lower()
     except UnicodeEncodeError:
-        return text.encode("utf-8", "replace").split()
+        return text.encode("utf-8", "replace")
+
+
+def _distinct(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words between ASCII white space, which of them all words are, and how many words there are up to each text's end.
+    Where white space begins or ends a text there is an empty word."""
+    words = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+    coded = words.flatten().dictionary_encode()
+    distinct = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+    return distinct, coded.indices.to_numpy(), np.asarray(words.offsets)[1:].astype(np.int64)
 
 
 @lru_cache(maxsize=2)
