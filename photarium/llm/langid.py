@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from photarium.llm.common import small_batches
+from photarium.llm.common import small_batches, tidied
 
 #: Families of languages by ISO 639-1 code. A code that is not listed is a family of its own.
 FAMILIES = {
@@ -37,8 +37,8 @@ TABLE_BITS = 15
 SCALE = 20.0
 EPOCHS = 15
 PENALTY = 1.0
-#: Bytes of text handled at once.
-CHUNK = 1 << 21
+#: Bytes of text handled at once; the table's rows at them take some hundred times the room.
+CHUNK = 1 << 18
 UNDECIDED = "und"
 
 _BLANKS = bytes(c if chr(c).isalpha() or c >= 0x80 else 0x20 for c in range(256))
@@ -181,8 +181,7 @@ def fit(docs: DataFrame) -> Model | None:
 def predict_of(model: Model | None, text: Column) -> Column:
     """struct(lang, score): UNDECIDED with score 0 where the text is null or has no letter, or nothing could be learned."""
 
-    @F.pandas_udf("lang string, score double")
-    def of(texts: pd.Series) -> pd.DataFrame:
+    def predicted(texts: pd.Series) -> pd.DataFrame:
         out = pd.DataFrame({"lang": [UNDECIDED] * len(texts), "score": np.zeros(len(texts))})
         if model is not None:
             own = [i for i, x in enumerate(texts) if has_letter(x)]
@@ -191,6 +190,10 @@ def predict_of(model: Model | None, text: Column) -> Column:
             out.loc[own, "score"] = score
         return out
 
+    @F.pandas_udf("lang string, score double")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        return tidied(map(predicted, batches))
+
     return of(text)
 
 

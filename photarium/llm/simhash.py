@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from photarium.llm.common import cut, drop, release, row_ids, small_batches, store
+from photarium.llm.common import cut, drop, release, row_ids, small_batches, store, tidied
 from photarium.llm.components import connected_components
 
 BITS = 64
@@ -34,27 +34,36 @@ HOT = 2048
 BLOCK = 2048
 
 
+#: Shingles hashed at once: long texts go in pieces, as objects and bits take many times the room of the text.
+PIECE = 255 << 6
+
+
+def shingle_digests(text: str | None, shingle: int) -> Iterator[bytes]:
+    """XXH64 of a text's word shingles, eight bytes each, PIECE of them at a time; of all words together where they are fewer; else none."""
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    if 0 < len(words) < shingle:
+        yield xxhash.xxh64_digest(b" ".join(words), SEED)
+    for at in range(0, len(words) - shingle + 1, PIECE):
+        part = words[at : at + PIECE + shingle - 1]
+        yield b"".join([xxhash.xxh64_digest(x, SEED) for x in map(b" ".join, zip(*(part[k:] for k in range(shingle))))])
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """Unsigned fingerprint of one text: majority bits of the XXH64 of its word shingles; zero without words."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    n = len(words) - shingle + 1
-    if not words:
-        return 0
-    joined = [b" ".join(words)] if n < 1 else list(map(b" ".join, zip(*(words[k:] for k in range(shingle)))))
-    digest = xxhash.xxh64_digest
-    hashes = np.frombuffer(b"".join([digest(x, SEED) for x in joined]), np.uint8).reshape(-1, 8)
-    counts = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 1 << 16):  # long texts in pieces: the bits take eight times the room
-        counts += np.unpackbits(hashes[at : at + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
+    counts, total = np.zeros(BITS, np.int64), 0
+    for digests in shingle_digests(text, shingle):
+        hashes = np.frombuffer(digests, np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(hashes, axis=1).sum(axis=0, dtype=np.int64)
+        total += len(hashes)
+    return int.from_bytes(np.packbits(2 * counts > total).tobytes(), "big")
 
 
 def fingerprint_of(text: Column, shingle: int = SHINGLE) -> Column:
     """The fingerprint's bits as a signed long."""
 
     @F.pandas_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.fromiter((fingerprint(x, shingle) for x in texts), np.uint64, len(texts)).view(np.int64))
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return tidied(pd.Series(np.fromiter((fingerprint(x, shingle) for x in texts), np.uint64, len(texts)).view(np.int64)) for texts in batches)
 
     return of(text)
 
@@ -149,20 +158,17 @@ _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).copy().v
 
 def wide_fingerprint(text: str | None, shingle: int) -> np.ndarray:
     """WIDE words: majority bits of as many independent mixes of the shingles' XXH64; zero without words."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return np.zeros(WIDE, np.uint64)
-    n = len(words) - shingle + 1
-    joined = [b" ".join(words)] if n < 1 else map(b" ".join, zip(*(words[k:] for k in range(shingle))))
-    hashes = np.frombuffer(b"".join([xxhash.xxh64_digest(x, SEED) for x in joined]), ">u8").astype(np.uint64)
-    counts = np.zeros(WIDE * BITS, np.int64)
+    counts, total = np.zeros(WIDE * BITS, np.int64), 0
     turn = (np.arange(WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    for at in range(0, len(hashes), 255):  # eight counters of a byte each in a word
-        x = hashes[at : at + 255, None] * turn
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(29)
-        counts += _LANES[x.view(np.uint8)].sum(axis=0, dtype=np.uint64).view(np.uint8)
-    return np.packbits(2 * counts > len(hashes)).view(np.uint64)
+    for digests in shingle_digests(text, shingle):
+        hashes = np.frombuffer(digests, ">u8").astype(np.uint64)
+        total += len(hashes)
+        for at in range(0, len(hashes), 255):  # eight counters of a byte each in a word
+            x = hashes[at : at + 255, None] * turn
+            x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+            x ^= x >> np.uint64(29)
+            counts += _LANES[x.view(np.uint8)].sum(axis=0, dtype=np.uint64).view(np.uint8)
+    return np.packbits(2 * counts > total).view(np.uint64)
 
 
 def _share(similarity: float) -> float:
@@ -312,7 +318,7 @@ def wide_links(wide: DataFrame, similarity: float) -> DataFrame:
     some_hot = hot.limit(1).count() > 0
     usual = banded.join(hot, "key", "left_anti") if some_hot else banded
     ordered = usual.repartition("key").sortWithinPartitions("key").select("key", "fp", *names)
-    found = ordered.mapInArrow(lambda it: _live(it, budgets, names), "key long, fp long, least long").select("least", "fp")
+    found = ordered.mapInArrow(lambda it: tidied(_live(it, budgets, names)), "key long, fp long, least long").select("least", "fp")
     if some_hot:
         found = found.union(banded.select("key", "fp").join(hot, "key").select("least", "fp"))
     chained = store(found.where("least < fp").select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct(), "simhash-chains")
@@ -321,7 +327,7 @@ def wide_links(wide: DataFrame, similarity: float) -> DataFrame:
     sizes = clumps.groupBy("root").agg(F.count("*").alias("size"))
     placed = cut(clumps.join(sizes, "root").select(F.col("root").alias("clump"), F.col("node").alias("fp"), "size"))
     small = placed.where(F.col("size") <= BLOCK).join(known, "fp").select("clump", "fp", "words").repartition("clump").sortWithinPartitions("clump", "fp")
-    edges = small.mapInArrow(lambda it: _compared(it, most), "a long, b long")
+    edges = small.mapInArrow(lambda it: tidied(_compared(it, most)), "a long, b long")
     large = placed.where(F.col("size") > BLOCK)
     if large.limit(1).count():
         pairs = chained.join(large.select(F.col("fp").alias("a"), "clump"), "a").select("a", "b")
@@ -376,8 +382,8 @@ def _wide_tiles(members: DataFrame, known: DataFrame, most: int) -> DataFrame:
 
 def _rooted_wide(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     @F.pandas_udf("array<long>")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([wide_fingerprint(x, shingle).view(np.int64) for x in texts], dtype=object)
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return tidied(pd.Series([wide_fingerprint(x, shingle).view(np.int64) for x in texts], dtype=object) for texts in batches)
 
     made = small_batches(docs).select("doc_id", *row_ids(), of("text").alias("words"))
     rows = store(made.withColumn("fp", F.xxhash64("words")), "simhash-wide")
