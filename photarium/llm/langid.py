@@ -194,7 +194,8 @@ def predict_of(model: Model | None, text: Column) -> Column:
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         return tidied(map(predicted, batches))
 
-    return of(text)
+    # so named, a filter on the result stays behind it; else it would be predicted once for the filter and again for the rest
+    return of.asNondeterministic()(text)
 
 
 def identify(docs: DataFrame) -> DataFrame:

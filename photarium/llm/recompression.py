@@ -295,7 +295,8 @@ def cleaned_of(text: Column, spans: Column, window: int = WINDOW) -> Column:
             out.append(own)
         return pd.Series(out, dtype=object)
 
-    return of(text, spans)
+    # so named, a filter on the result stays behind it; else texts would be cleaned once for the filter and again for the rest
+    return of.asNondeterministic()(text, spans)
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
