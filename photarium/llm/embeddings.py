@@ -1,13 +1,15 @@
-"""Near-duplicate embeddings: exactly in blocks within small labels, by audited NN-descent in large ones.
+"""Near-duplicate embeddings: NN-descent connects them, an exact check counts all links and connects what it has missed. One way for labels
+of any size.
 
-Labels of up to EXACT distinct vectors are compared whole. In a larger one the state is a neighbour graph: for each distinct vector the list of its k nearest known ones with the same label. It starts from random
-projections: in each of TABLES sign codes the vectors of a label are sorted, and neighbours in that order are compared. Each round then
-compares every vector with the neighbours of some of its neighbours, and keeps what is nearer than its list's last. A list that is full of
-links is saturated: its k grows. Rounds end when links stop coming. An audit compares a bounded sample with all vectors, exactly, and
-takes the mean recall of vectors, not of links, on its own for vectors with few of them; while it is too low, more tables and rounds
-follow. A label whose recall is still too low after PASSES, or of which the sample holds too few linked vectors to tell, is compared whole
-too, at a cost that grows with the square of its size. What is reported are pairs at or above the threshold, computed in double precision,
-so none below it.
+The state is a neighbour graph: for each distinct vector the list of its K nearest known ones with the same label. It starts from random
+projections: by each of TABLES sign codes the vectors of a label are sorted, and neighbours in that order are compared. Each round then
+compares vectors with the neighbours of some of their neighbours, and keeps what is nearer than a list's last. Lists hold nothing beyond
+twice the angle of a link, since what is farther has no linked neighbour in common. Rounds end when links stop coming.
+
+What the graph links is one component. The check compares all vectors of a label, block against block, from these components on: it counts
+the links of each vector and joins components between which there is a link. So results do not depend on how much the descent finds, nor on
+a label's size; the check's cost grows with the square of that size. A pair is decided once, in single precision where that is beyond doubt
+and in double precision near the threshold.
 
 Equal vectors are one node with a multiplicity. Blocks and lists are bounded, so no task grows with a label's or a cluster's share.
 """
@@ -21,34 +23,30 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from photarium.llm.common import cut, drop, store
+from photarium.llm.common import cut, drop, release, store
 from photarium.llm.components import connected_components
 
 THRESHOLD = 0.93
-#: Sign codes a pass, bits of a code, rows of a sorted run compared at once, nearest kept of each.
-TABLES = 10
+#: Sign codes, bits of a code, rows of a sorted run compared at once, nearest kept of each.
+TABLES = 4
 CODE_BITS = 40
 BLOCK = 128
 NEAREST = 4
-#: Neighbours in a list at first, growth of a saturated list, neighbours through which a vector looks further.
+#: Neighbours in a list, neighbours through which a vector looks further; most vectors that look through the same one, and most that offer
+#: the same one.
 K = 8
-GROWTH = 4
 MIDDLE = 6
+CROWD = 64
 ROUNDS = 10
 #: Gain of links, as a share, at which rounds end.
 GAIN = 0.002
-#: The audit: vectors in the first sample and in the last, vectors with few links (up to K) that must be seen of a label, least recall,
-#: passes before the rest is compared exactly.
-AUDIT = 400
-AUDIT_MOST = 6400
-SEEN = 100
-RECALL = 0.97
-PASSES = 4
-#: Distinct vectors of a label up to which all are compared, and rows of a block in such a comparison.
-EXACT = 8192
-EXACT_BLOCK = 4096
+#: Vectors of a block in the check, and of a part of it that is compared at once.
+EXACT_BLOCK = 32768
+TILE = 2048
 #: Values of a comparison that are held at once.
 CELLS = 1 << 22
+#: More than what sums of products in another order differ by, in double precision.
+ROUNDING = 1e-12
 
 
 def nodes_of(rows: DataFrame, id_column: str, vector: str, label: str) -> DataFrame:
@@ -74,26 +72,22 @@ def unit(vecs: list[bytes], size: int) -> np.ndarray:
     return raw / np.linalg.norm(raw, axis=1, keepdims=True)
 
 
-def _codes(nodes: DataFrame, first: int, size: int) -> DataFrame:
-    """(node, label, vec, table, code) for TABLES tables from `first` on."""
+def _codes(nodes: DataFrame, table: int, size: int) -> DataFrame:
+    """(node, label, vec, code)."""
 
-    @F.pandas_udf("array<long>")
+    @F.pandas_udf("long")
     def of(vecs: pd.Series) -> pd.Series:
-        out: list = [None] * len(vecs)
+        out = np.empty(len(vecs), np.int64)
         by_length: dict[int, list[int]] = {}
         for i, x in enumerate(vecs):
             by_length.setdefault(len(x), []).append(i)
         for length, own in by_length.items():
             v = unit([vecs.iloc[i] for i in own], size)
-            codes = np.empty((len(own), TABLES), np.int64)
-            for t in range(TABLES):
-                planes = np.random.default_rng([first + t, length]).standard_normal((v.shape[1], CODE_BITS))
-                codes[:, t] = (v @ planes > 0) @ (1 << np.arange(CODE_BITS - 1, -1, -1, dtype=np.int64))
-            for i, row in zip(own, codes):
-                out[i] = row
-        return pd.Series(out, dtype=object)
+            planes = np.random.default_rng([table, length]).standard_normal((v.shape[1], CODE_BITS))
+            out[own] = (v @ planes > 0) @ (1 << np.arange(CODE_BITS - 1, -1, -1, dtype=np.int64))
+        return pd.Series(out)
 
-    return nodes.select("node", "label", "vec", F.posexplode(of("vec")).alias("table", "code"))
+    return nodes.select("node", "label", "vec", of("vec").alias("code"))
 
 
 def _lists(u: np.ndarray, w: np.ndarray, sim: np.ndarray) -> pd.DataFrame:
@@ -103,8 +97,8 @@ def _lists(u: np.ndarray, w: np.ndarray, sim: np.ndarray) -> pd.DataFrame:
 LIST = "u long, w long, sim double"
 
 
-def project(nodes: DataFrame, first: int, size: int) -> DataFrame:
-    """Candidate lists (u, w, sim) from sorted sign codes."""
+def project(nodes: DataFrame, table: int, size: int, far: float) -> DataFrame:
+    """Candidate lists (u, w, sim) from a sorted sign code, sim being at least `far`."""
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = pd.DataFrame()
@@ -118,9 +112,9 @@ def project(nodes: DataFrame, first: int, size: int) -> DataFrame:
             yield from compare(held)
 
     def compare(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        label, table, vecs, node = rows["label"].to_numpy(), rows["table"].to_numpy(), rows["vec"].tolist(), rows["node"].to_numpy()
+        label, vecs, node = rows["label"].to_numpy(), rows["vec"].tolist(), rows["node"].to_numpy()
         length = np.array([len(x) for x in vecs])
-        edge = np.flatnonzero((label[1:] != label[:-1]) | (table[1:] != table[:-1]) | (length[1:] != length[:-1])) + 1
+        edge = np.flatnonzero((label[1:] != label[:-1]) | (length[1:] != length[:-1])) + 1
         for part in np.split(np.arange(len(rows)), edge):
             for at in range(0, max(1, len(part) - BLOCK // 2), BLOCK // 2):
                 own = part[at : at + BLOCK]
@@ -129,28 +123,30 @@ def project(nodes: DataFrame, first: int, size: int) -> DataFrame:
                     sims = v @ v.T
                     np.fill_diagonal(sims, -2)
                     best = np.argpartition(-sims, min(NEAREST, len(own) - 1) - 1, axis=1)[:, :NEAREST]
-                    yield _lists(np.repeat(node[own], best.shape[1]), node[own][best].ravel(), np.take_along_axis(sims, best, axis=1).ravel())
+                    sims = np.take_along_axis(sims, best, axis=1)
+                    i, j = np.nonzero(sims >= far)
+                    yield _lists(node[own][i], node[own][best[i, j]], sims[i, j])
 
-    coded = _codes(nodes, first, size).repartitionByRange("table", "label", "code", "node").sortWithinPartitions("table", "label", "code", "node")
-    return coded.select("table", "label", "node", "vec").mapInPandas(runs, LIST).where("u != w")
+    coded = _codes(nodes, table, size).repartitionByRange("label", "code", "node").sortWithinPartitions("label", "code", "node")
+    return coded.select("label", "node", "vec").mapInPandas(runs, LIST).where("u != w")
 
 
-def keep_nearest(lists: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The k nearest of each list; sizes(u, k)."""
-    once = lists.groupBy("u", "w").agg(F.max("sim").alias("sim")).join(sizes, "u")
+def keep_nearest(lists: DataFrame) -> DataFrame:
+    """The K nearest of each list."""
     rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "w"))
-    return once.withColumn("_n", rank).where("_n <= k").select("u", "w", "sim")
+    return lists.groupBy("u", "w").agg(F.max("sim").alias("sim")).withColumn("_n", rank).where(F.col("_n") <= K).select("u", "w", "sim")
 
 
-def step(graph: DataFrame, sizes: DataFrame, nodes: DataFrame, size: int, turn: int) -> DataFrame:
+def step(graph: DataFrame, nodes: DataFrame, size: int, turn: int, far: float) -> DataFrame:
     """New candidates (u, w, sim), nearer than the last of u's list: neighbours of MIDDLE neighbours of each vector."""
-    last = graph.groupBy("u").agg(F.count("*").alias("n"), F.min("sim").alias("low")).join(sizes, "u")
-    last = last.select("u", F.when(F.col("n") < F.col("k"), F.lit(-2.0)).otherwise(F.col("low")).alias("low"))
-    known = nodes.select(F.col("node").alias("u"), "vec").join(last, "u")
+    last = graph.groupBy("u").agg(F.when(F.count("*") < K, F.lit(far)).otherwise(F.min("sim")).alias("low"))
+    known = nodes.select(F.col("node").alias("u"), "vec").join(last, "u", "left").withColumn("low", F.coalesce("low", F.lit(far)))
     pick = F.row_number().over(Window.partitionBy("u").orderBy(F.xxhash64("u", "w", F.lit(turn))))
     looking = graph.withColumn("_n", pick).where(F.col("_n") <= MIDDLE).select("u", F.col("w").alias("middle"), F.lit(True).alias("looks"))
     # a middle offers its list and itself's known neighbours the other way round are those that look through it
     offered = graph.select(F.col("w").alias("u"), F.col("u").alias("middle"), F.lit(False).alias("looks"))
+    crowd = [F.row_number().over(Window.partitionBy(x).orderBy(F.xxhash64("middle", "u", F.lit(turn)))) for x in ("middle", "u")]
+    looking, offered = (x.withColumn("_n", n).where(F.col("_n") <= CROWD).drop("_n") for x, n in zip((looking, offered), crowd))
     around = looking.union(offered).join(known, "u").select("middle", "looks", "u", "low", "vec")
 
     def joins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -190,140 +186,91 @@ def step(graph: DataFrame, sizes: DataFrame, nodes: DataFrame, size: int, turn:
     return around.repartition("middle").sortWithinPartitions("middle").mapInPandas(joins, LIST)
 
 
-def descend(graph: DataFrame, sizes: DataFrame, nodes: DataFrame, size: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Rounds until links stop coming and no list is saturated. Both tables are stored; what they replace is deleted."""
-    links = linked = -1
+def search(nodes: DataFrame, size: int, threshold: float) -> DataFrame:
+    """The neighbour graph (u, w, sim) of nodes(node, label, vec), stored. What it replaces is deleted."""
+    far = 2 * threshold**2 - 1 if threshold > 0 else -1.0
+    graph = None
+    for table in range(TABLES):
+        lists = project(nodes, table, size, far)
+        graph = _replaced(graph, lists if graph is None else graph.union(lists))
+    links = 0
     for turn in range(ROUNDS):
-        full = graph.where(F.col("sim") >= threshold).groupBy("u").agg(F.count("*").alias("links")).join(sizes, "u")
-        found, vectors, saturated = full.agg(F.coalesce(F.sum("links"), F.lit(0)), F.count("*"), F.count_if(F.col("links") >= F.col("k"))).first()
-        if not saturated and links >= 0 and found - links <= GAIN * max(links, 1) and vectors - linked <= GAIN * max(linked, 1):
+        found = graph.where(F.col("sim") >= threshold).count()
+        if found - links <= GAIN * links:
             break
-        links, linked = found, vectors
-        grown = sizes.join(full.select("u", "links"), "u", "left")
-        new_sizes = store(grown.select("u", F.when(F.col("links") >= F.col("k"), F.col("k") * GROWTH).otherwise(F.col("k")).alias("k")), "nn-sizes")
-        drop(sizes)
-        new = store(keep_nearest(graph.union(step(graph, new_sizes, nodes, size, turn)), new_sizes), "nn-graph")
-        drop(graph)
-        graph, sizes = new, new_sizes
-    return graph, sizes
+        links = found
+        graph = _replaced(graph, graph.union(step(graph, nodes, size, turn, far)))
+    return graph
 
 
-def audit(nodes: DataFrame, graph: DataFrame, size: int, threshold: float, amount: int) -> tuple[list[tuple], bool]:
-    """((label, length), links, those in the graph) for each vector of the sample that has links, and whether the sample is the whole table.
+def _replaced(graph: DataFrame | None, lists: DataFrame) -> DataFrame:
+    new = store(keep_nearest(lists), "nn-graph")
+    if graph is not None:
+        drop(graph)
+    release(new.sparkSession)
+    return new
 
-    The sample is bounded by amount, its comparison is exact and reads every vector once.
-    """
-    sample = nodes.orderBy(F.xxhash64("node", F.lit("audit"))).limit(amount).collect()
-    by: dict[tuple, list] = {}
-    for r in sample:
-        by.setdefault((r["label"], len(r["vec"])), []).append((r["node"], bytes(r["vec"])))
 
-    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        queries = {key: (np.array([x for x, _ in own], np.int64), unit([v for _, v in own], size)) for key, own in by.items()}
-        for batch in batches:
-            keys: dict[tuple, list[int]] = {}
-            for i, (label, vec) in enumerate(zip(batch["label"], batch["vec"])):
-                keys.setdefault((label, len(vec)), []).append(i)
-            node = batch["node"].to_numpy()
-            for key, own in keys.items():
-                if key in queries:
-                    names, v = queries[key]
-                    sims = v @ unit([batch["vec"].iloc[i] for i in own], size).T
-                    i, j = np.nonzero(sims >= threshold)
-                    yield pd.DataFrame({"u": names[i], "w": node[own][j]})
-
-    true = nodes.mapInPandas(exact, "u long, w long").where("u != w")
-    got = graph.where(F.col("sim") >= threshold).select("u", "w", F.lit(1).alias("got"))
-    rows = true.join(got, ["u", "w"], "left").groupBy("u").agg(F.count("*").alias("true"), F.count("got").alias("got")).collect()
-    group = {node: key for key, own in by.items() for node, _ in own}
-    return [(group[r["u"]], r["true"], r["got"]) for r in rows], len(sample) < amount
-
-
-def certified(nodes: DataFrame, graph: DataFrame, size: int, threshold: float, groups: set[tuple]) -> set[tuple]:
-    """Those of groups, (label, length), in which enough vectors with few links were seen, and recall a vector is high."""
-    amount = AUDIT
+def merged(up: np.ndarray, near: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """up, the least group that each group is connected with, after links `near` between rows of the groups one and rows of the groups two."""
     while True:
-        seen, whole = audit(nodes, graph, size, threshold, amount)
-        every: dict[tuple, list] = {g: [] for g in groups}
-        few: dict[tuple, list] = {g: [] for g in groups}
-        for group, true, got in seen:
-            every[group].append(got / true)
-            if true <= K:
-                few[group].append(got / true)
-        if whole or amount >= AUDIT_MOST or all(len(x) >= SEEN for x in few.values()):
-            high = lambda x: not x or sum(x) >= RECALL * len(x)
-            return {g for g in groups if (whole or len(few[g]) >= SEEN) and high(every[g]) and high(few[g])}
-        amount *= 4
-
-
-def search(nodes: DataFrame, size: int, threshold: float, groups: set[tuple]) -> tuple[DataFrame, set[tuple]]:
-    """The neighbour graph of nodes(node, label, vec), stored, and the groups in which it is good enough."""
-    graph = sizes = None
-    sure: set[tuple] = set()
-    for turn in range(PASSES):
-        lists = project(nodes, turn * TABLES, size)
-        if sizes is None:
-            sizes = store(nodes.select(F.col("node").alias("u"), F.lit(K).alias("k")), "nn-sizes")
-        else:
-            lists = lists.union(graph)
-        new = store(keep_nearest(lists, sizes), "nn-graph")
-        if graph is not None:
-            drop(graph)
-        graph, sizes = descend(new, sizes, nodes, size, threshold)
-        sure = certified(nodes, graph, size, threshold, groups)
-        if sure == groups:
-            break
-    return graph, sure
+        a, b, new = up[one], up[two], up.copy()
+        np.minimum.at(new, a, np.where(near, b[None, :], len(up)).min(axis=1))
+        np.minimum.at(new, b, np.where(near, a[:, None], len(up)).min(axis=0))
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == up).all():
+            return up
+        up = new
 
 
 def compare_all(nodes: DataFrame, size: int, threshold: float) -> DataFrame:
-    """(u, w, others) of nodes(node, label, length, vec, times, n), n being the size of a group: all vectors of a group, block against block.
+    """(u, others, a, b) of nodes(node, label, length, vec, times, root, n), n being the size of a group: all vectors of a group, block against
+    block.
 
-    A vector's links are the sum of its others; the edges (u, w) connect what the links connect.
+    A vector's links are the sum of its others; a is its root and b one that is connected with it, so that all (a, b) join the roots.
     """
+    span = TILE
     blocks = F.ceil(F.col("n") / EXACT_BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    placed = nodes.where("n > 1").select("label", "length", "node", "vec", "times", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    tiled = placed.select("label", "length", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "vec", "times")
+    placed = nodes.where("n > 1").select("label", "length", "node", "vec", "times", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    tiled = placed.select("label", "length", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "vec", "times", "root")
+
+    def linked(v: np.ndarray, short: np.ndarray, x: slice, y: slice) -> np.ndarray:
+        sims = short[x] @ short[y].T
+        margin = (v.shape[1] + 4) * 2.0**-22  # beyond the rounding of single precision
+        near = sims >= threshold - margin
+        if x == y:  # both directions of a pair from one value
+            near = np.triu(near, 1)
+        if near.any():
+            i, j = np.nonzero(near & (sims < threshold + margin))
+            for at in range(0, len(i), 1 << 16):
+                p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+                near[p, q] = np.einsum("ij,ij->i", v[x][p], v[y][q]) >= threshold
+        return near
 
     def tile(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("own", kind="stable")
         node, times, v = rows["node"].to_numpy(), rows["times"].to_numpy(), unit(rows["vec"].tolist(), size)
+        short = v.astype(np.float32)
+        root, group = np.unique(rows["root"].to_numpy(), return_inverse=True)
+        others, up = np.zeros(len(rows), np.int64), np.arange(len(root))
         same = rows["i"].iloc[0] == rows["j"].iloc[0]
         # rows of one block against those of the other, or a block against itself
         half = len(rows) if same else int((rows["own"] == rows["i"]).sum())
-        right = 0 if same else half
-        near = np.empty((half, len(rows) - right), bool)
-        for at in range(0, half, 512):
-            near[at : at + 512] = v[at : min(at + 512, half)] @ v[right:].T >= threshold
-        if same:  # both directions of a pair from one value
-            near = np.triu(near, 1)
-            near |= near.T
-        others, label = np.zeros(len(rows), np.int64), np.arange(len(rows))
-        a, b = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
-        near = near[np.ix_(a, b)]
-        b = b + right
-        for at in range(0, len(a), 512):
-            part = near[at : at + 512]
-            others[a[at : at + 512]] = part @ times[b]
-            if not same:
-                others[b] += times[a[at : at + 512]] @ part
-        while len(a):
-            new = label.copy()
-            for at in range(0, len(a), 512):
-                part = near[at : at + 512]
-                least = np.where(part, label[b][None, :], len(rows)).min(axis=1)
-                new[a[at : at + 512]] = np.minimum(new[a[at : at + 512]], least)
-                back = np.where(part, new[a[at : at + 512]][:, None], len(rows)).min(axis=0)
-                new[b] = np.minimum(new[b], back)
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
-        linked = others > 0
-        return pd.DataFrame({"u": node[linked], "w": node[label[linked]], "others": others[linked]})
+        for at in range(0, half, span):
+            for to in range(at if same else half, len(rows), span):
+                near = linked(v, short, slice(at, min(at + span, half)), slice(to, min(to + span, len(rows))))
+                a, b = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+                if len(a):
+                    near, a, b = near[np.ix_(a, b)], a + at, b + to
+                    others[a] += near @ times[b]
+                    others[b] += times[a] @ near
+                    up = merged(up, near, group[a], group[b])
+        has = others > 0
+        return pd.DataFrame({"u": node[has], "others": others[has], "a": root[group[has]], "b": root[up[group[has]]]})
 
-    return tiled.groupBy("label", "length", "i", "j").applyInPandas(tile, "u long, w long, others long")
+    return tiled.groupBy("label", "length", "i", "j").applyInPandas(tile, "u long, others long, a long, b long")
 
 
 def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, id_column: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
@@ -333,35 +280,22 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, id_column: st
     component. Equal vectors of a label link with each other and share their links. Vectors of different length never link. Rows without
     an id take part; their component may be null. An empty table gives no rows; other columns are not read.
     """
-    spark = rows.sparkSession
     every = nodes_of(rows, id_column, vector, label)
     size = 4 if dict(rows.dtypes)[vector] == "array<float>" else 8
     nodes = store(every.where("node is not null").groupBy("node").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.count("*").alias("times")), "nn-nodes")
-    groups = cut(nodes.groupBy("label", F.length("vec").alias("length")).agg(F.count("*").alias("n")))
-    sized = nodes.withColumn("length", F.length("vec")).join(groups, ["label", "length"])
     times = nodes.select("node", "times")
-    large = {(r["label"], r["length"]) for r in groups.where(F.col("n") > EXACT).collect()}
-    if large:
-        big = store(sized.where(F.col("n") > EXACT).select("node", "label", "vec"), "nn-large")
-        graph, sure = search(big, size, threshold, large)
-        drop(big)
-        group_type = groups.select("label", "length").schema
-        good = spark.createDataFrame(sorted(sure), group_type)
-        rest = sized.join(F.broadcast(good), ["label", "length"], "left_anti")
-        found = cut(compare_all(rest, size, threshold))
-        close = graph.where(F.col("sim") >= threshold).select("u", "w")
-        links = close.union(close.select(F.col("w").alias("u"), F.col("u").alias("w"))).distinct()
-        kept = sized.join(F.broadcast(good), ["label", "length"], "left_semi").select(F.col("node").alias("u"))
-        links = cut(links.join(kept, "u"))
-        drop(graph)
-        searched = links.join(times.withColumnRenamed("node", "w"), "w").select("u", "w", F.col("times").alias("others"))
-        found = found.union(searched)
-    else:
-        found = cut(compare_all(sized, size, threshold))
-    roots = cut(connected_components(found, "u", "w"))
+    graph = search(nodes.select("node", "label", "vec"), size, threshold)
+    # what rounding may decide otherwise is left to the check
+    roots = cut(connected_components(graph.where(F.col("sim") >= threshold + ROUNDING), "u", "w"))
+    drop(graph)
+    groups = cut(nodes.groupBy("label", F.length("vec").alias("length")).agg(F.count("*").alias("n")))
+    sized = nodes.withColumn("length", F.length("vec")).join(groups, ["label", "length"]).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    found = cut(compare_all(sized, size, threshold))
+    joined = cut(connected_components(found, "a", "b"))
     counted = found.groupBy(F.col("u").alias("node")).agg(F.sum("others").alias("others"))
-    own = times.join(counted, "node", "left").join(roots, "node", "left")
-    own = own.select("node", (F.col("times") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root"))
+    own = times.join(counted, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    own = own.join(joined.select(F.col("node").alias("root"), F.col("root").alias("least_root")), "root", "left")
+    own = own.select("node", (F.col("times") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("least_root", "root").alias("root"))
     least = every.where("node is not null").groupBy("node").agg(F.min("id").alias("least")).join(own, "node")
     named = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "n_links", "component_id")
     out = every.select("id", "node").join(named, "node", "left")

@@ -505,6 +505,37 @@ def test_isolated_embedding_links_beside_a_large_cluster(spark, monkeypatch, exa
     assert {i: r["component_id"] for i, r in got.items()} == dict(enumerate(label.tolist()))
 
 
+@pytest.mark.parametrize("given", ["all", "half", "none"])
+def test_embedding_links_do_not_depend_on_the_descent(spark, monkeypatch, given):
+    """Small labels go the same way as large ones, and what the descent lacks the check adds; here blocks and tiles are many."""
+    monkeypatch.setattr(embeddings, "EXACT_BLOCK", 150)
+    monkeypatch.setattr(embeddings, "TILE", 32, raising=False)
+    graphs, search = [], embeddings.search
+
+    def spy(*args, **kwargs):
+        graph = search(*args, **kwargs)
+        graphs.append(sorted((r["u"], r["w"]) for r in graph.where("sim >= 0.93").collect()))
+        if given == "all":
+            return graph
+        return embeddings.store(graph.where("u % 2 = 0 and w % 2 = 0" if given == "half" else "false"), "nn-graph")
+
+    monkeypatch.setattr(embeddings, "search", spy)
+    rng = np.random.default_rng(9)
+    hot, chain = rng.normal(size=24), np.linspace(0, 3, 40)
+    vectors = [hot + rng.normal(size=24) * 0.05 for _ in range(80)] + [p + rng.normal(size=24) * 0.1 for p in rng.normal(size=(120, 24)) for _ in range(2)]
+    vectors += [np.cos(x) * np.eye(24)[0] + np.sin(x) * np.eye(24)[1] for x in chain] + [vectors[3]] * 3
+    v = np.array([x.astype(np.float32) for x in vectors])
+    labels = np.array([i // 2 % 4 == 0 for i in range(len(v))]).astype(int)
+    unit = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.93) & (labels[:, None] == labels[None, :])
+    got = embeddings.near_duplicates(spark.createDataFrame([(i, x.tolist(), int(labels[i])) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int")).collect()
+    label = np.arange(len(v))
+    while (label != (label := np.where(near, label[None, :], len(v)).min(axis=1))).any():
+        pass
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {i: (int(near[i].sum()) - 1, int(label[i])) for i in range(len(v))}
+    assert len(graphs) == 1 and len(graphs[0]) > 100
+
+
 def test_every_language_has_a_reference(spark):
     rows = [(i, f"word{i} other{i} third{i} " * (300 - i)) for i in range(210)]
     df = frame(spark, rows, lang=F.concat(F.lit("l"), F.col("doc_id")))
